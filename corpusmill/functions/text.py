@@ -138,13 +138,16 @@ def balanced_end(code: Column | str, end: Column | str) -> Column:
 
     def scan(width: int) -> Column:
         chars = F.split(F.substring(code, end + 1, F.lit(width)), "")
-        start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("done"))
+
+        def state(depth: Column, n: Column, done: Column) -> Column:
+            return F.named_struct(F.lit("depth"), depth, F.lit("n"), n, F.lit("done"), done)
 
         def step(acc: Column, ch: Column) -> Column:
             depth = acc["depth"] + F.when(ch == "(", 1).when(ch == ")", -1).otherwise(0)
-            moved = F.struct(depth.alias("depth"), (acc["n"] + 1).alias("n"), (depth == 0).alias("done"))
+            moved = state(depth, acc["n"] + 1, depth == 0)
             return F.when(acc["done"] | (ch == ""), acc).otherwise(moved)
 
+        start = state(F.lit(0), F.lit(0), F.lit(False))
         return F.aggregate(chars, start, step, lambda acc: F.when(acc["done"], end + acc["n"]))
 
     at_end_of_text = F.length(F.substring(code, end + 1, F.lit(1))) == 0

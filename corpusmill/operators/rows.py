@@ -106,6 +106,23 @@ def score_batches(
     return df.mapInPandas(run, schema)
 
 
+def salted_lookup(
+    left: DataFrame, right: DataFrame, keys: list[str], spread: str, only: Column | None = None, salts: int = 16
+) -> DataFrame:
+    """Left join with a list that is unique on ``keys`` and much smaller than ``left``.
+
+    Each list row is repeated once per salt, so the left rows of a hot key meet it in
+    ``salts`` places. Rows outside ``only`` are not looked up: they take salts of their own,
+    which match nothing and spread evenly. One pass over ``left``; Spark broadcasts the list
+    instead when its measured size allows.
+    """
+    only = F.lit(True) if only is None else only
+    hashed = F.xxhash64(spread)
+    salt = F.when(only, F.pmod(hashed, F.lit(salts))).otherwise(-1 - F.pmod(hashed, F.lit(1 << 20)))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+    return left.withColumn("_salt", salt).join(copies, [*keys, "_salt"], "left").drop("_salt")
+
+
 def spread_lookup(
     left: DataFrame, right: DataFrame, keys: list[str], spread: str, hot_share: int = 1024
 ) -> DataFrame:

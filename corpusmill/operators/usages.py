@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
-from corpusmill.operators.rows import NO_LABEL, spread_lookup
+from corpusmill.operators.rows import NO_LABEL, salted_lookup
 
 
 def explode_usages(df: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def usage_is_valid(with_unlabelled: bool = True) -> Column:
 def in_catalog(usages: DataFrame, catalog: DataFrame, id_col: str = "row_id") -> DataFrame:
     """Drop usages of unlabelled rows whose ``Class.call`` the catalogue does not list."""
     listed = catalog.select("fqn").distinct().withColumn("_listed", F.lit(True))
-    known = spread_lookup(usages, listed, ["fqn"], id_col)
+    known = salted_lookup(usages, listed, ["fqn"], id_col, only=F.col("api") == NO_LABEL)
     return known.filter((F.col("api") != NO_LABEL) | F.col("_listed")).drop("_listed")
 
 
