@@ -7,7 +7,6 @@ A word is held as text of its byte symbols in hex, ``<61><6263>``; a merge is th
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +26,7 @@ END_OF_TEXT = "<|endoftext|>"
 CANDIDATES = 256
 MERGES_PER_ROUND = 32
 ROUNDS_PER_CHECKPOINT = 8
+MEMO_SIZE = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -56,7 +56,8 @@ def word_counts(df: DataFrame, text: str = "source_code") -> DataFrame:
 
 def pair_counts(words: DataFrame) -> DataFrame:
     """How often two symbols are neighbours, ``(left, right, cnt)``."""
-    symbols = words.select(F.regexp_extract_all("symbols", F.lit("<([0-9A-F]+)>"), F.lit(1)).alias("s"), "cnt")
+    inner = F.substring(F.col("symbols"), F.lit(2), F.length("symbols") - 2)
+    symbols = words.select(F.split(inner, "><", -1).alias("s"), "cnt")
     neighbours = F.transform(
         F.sequence(F.lit(0), F.size("s") - 2),
         lambda i: F.struct(F.get("s", i).alias("left"), F.get("s", i + 1).alias("right")),
@@ -113,7 +114,9 @@ def train_bpe(
     number, reach the driver, which takes as many merges from them as are sure.
     """
     rows = df if n_rows is None else head_rows(df.select(id_col, text), n_rows, id_col=id_col)
-    words = cut_lineage(word_counts(rows, text).select("symbols", "cnt"))
+    # the rounds are bound by computation, so the words are spread over all cores
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    words = cut_lineage(word_counts(rows, text).select("symbols", "cnt").repartition(cores))
     tokens = [END_OF_TEXT] + [f"{b:02X}" for b in range(256)]
     known, merges, rounds = set(tokens), [], 0
     while len(tokens) < vocab_size:
@@ -159,8 +162,11 @@ def word_encoder(bpe: Bpe):
         rank.setdefault((left, right), i)
     ids = {token: i for i, token in enumerate(bpe.tokens)}
 
-    @lru_cache(maxsize=1 << 18)
+    memo: dict[str, list[int]] = {}
+
     def encode_word(word: str) -> list[int]:
+        if word in memo:
+            return memo[word]
         symbols = [f"{b:02X}" for b in word.encode("utf-8")]
         while len(symbols) > 1:
             best = min(zip(symbols, symbols[1:]), key=lambda p: rank.get(p, len(rank)))
@@ -172,7 +178,10 @@ def word_encoder(bpe: Bpe):
                 merged.append(symbols[i] + symbols[i + 1] if hit else symbols[i])
                 i += 2 if hit else 1
             symbols = merged
-        return [ids[s] for s in symbols]
+        if len(memo) >= MEMO_SIZE:
+            memo.clear()
+        memo[word] = [ids[s] for s in symbols]
+        return memo[word]
 
     def encode_batch(words: pa.Array) -> pa.Array:
         n_words = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)

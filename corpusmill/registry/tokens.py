@@ -55,7 +55,8 @@ def bpe_sql(n: int = N_MERGES) -> str:
 
 MERGE_ROWS = " UNION ALL ".join(f"SELECT {i - 1} AS rank, l AS \"left\", r AS \"right\", cnt FROM b{i}" for i in range(1, N_MERGES + 1))
 VOCAB_IDS = " ".join(f"WHEN t = (SELECT l || r FROM b{i}) THEN {256 + i}" for i in range(1, N_MERGES + 1))
-ENCODED = f"""{bpe_sql()}, wi AS (SELECT word, list_transform(regexp_extract_all(s, '<([0-9A-F]+)>', 1), lambda t: CASE {VOCAB_IDS} ELSE CAST('0x' || t AS INT) + 1 END) AS ids FROM w{N_MERGES}),
+ENCODED = f"""{bpe_sql()}, wi AS (SELECT word, list(CASE {VOCAB_IDS} ELSE TRY_CAST('0x' || t AS INT) + 1 END ORDER BY j) AS ids FROM (
+  SELECT word, unnest(x) AS t, unnest(range(len(x))) AS j FROM (SELECT word, regexp_extract_all(s, '<([0-9A-F]+)>', 1) AS x FROM w{N_MERGES})) GROUP BY word),
 doc_ids AS (SELECT doc_id AS row_id, flatten(list(ids ORDER BY i)) AS ids FROM toks JOIN wi USING (word) GROUP BY doc_id)
 """
 
