@@ -124,25 +124,24 @@ def salted_lookup(
 
 
 def spread_lookup(
-    left: DataFrame, right: DataFrame, keys: list[str], spread: str, hot_share: int = 1024
+    left: DataFrame, right: DataFrame, keys: list[str], n_left: str, spread: Column, hot_share: int = 1024
 ) -> DataFrame:
-    """Left join with a table that is unique on ``keys``, safe against hot keys on the left.
+    """Left join with a large table that is unique on ``keys`` and counts the left rows of each.
 
-    Keys that hold at least one in ``hot_share`` left rows are, by that definition, at most
-    ``hot_share`` many: their right rows are broadcast. Their left rows then pass the shuffled
-    join under a key made from ``spread``, so they are spread evenly and match nothing there.
+    Keys of at least one in ``hot_share`` left rows are at most ``hot_share`` many by that
+    definition, so their right rows are broadcast. Their left rows then pass the shuffled join
+    under a salt made from ``spread``: they go everywhere and match nothing there.
     """
-    values = [c for c in right.columns if c not in keys]
-    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = left.agg(F.count(F.lit(1)).alias("_n")).scalar()
-    hot_keys = counts.filter(F.col("_n") * hot_share >= total).select(*keys)
-    hot = right.join(F.broadcast(hot_keys), keys).select(
+    values = [c for c in right.columns if c not in (*keys, n_left)]
+    total = right.agg(F.sum(n_left)).scalar()
+    hot = right.filter(F.col(n_left) * hot_share >= total).select(
         *keys, F.struct(*values).alias("_hot"), F.lit(True).alias("_is_hot")
     )
     marked = left.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.when(F.col("_is_hot"), F.col(spread).cast("string")).otherwise("")
+        "_salt", F.when(F.col("_is_hot"), F.xxhash64(spread)).otherwise(F.lit(0).cast("long"))
     )
-    cold = right.select(*keys, F.lit("").alias("_salt"), F.struct(*values).alias("_cold"))
+    # a hot row whose salt happens to be 0 may match below; it then finds the same values
+    cold = right.select(*keys, F.lit(0).cast("long").alias("_salt"), F.struct(*values).alias("_cold"))
     joined = marked.join(cold, [*keys, "_salt"], "left")
     return joined.select(
         *left.columns, *[F.coalesce(F.col(f"_hot.{v}"), F.col(f"_cold.{v}")).alias(v) for v in values]
