@@ -53,11 +53,6 @@ def completion_features(ctx: Column | str, gt: Column | str, length: int, pad_id
     )
 
 
-def _part(digest: Column, start: int) -> Column:
-    """Eight hex digits of a digest as a number below 2**32."""
-    return F.conv(F.substring(digest, start, 8), 16, 10).cast("long")
-
-
 def mlm_mask(
     ids: Column | str,
     row_id: Column | str,
@@ -75,26 +70,22 @@ def mlm_mask(
     flagged in ``special_mask`` are never chosen.
     """
     ids, row_id = _col(ids), _col(row_id)
-    cut = int(p * 2**32)
-    eighty, ninety = int(0.8 * 2**32), int(0.9 * 2**32)
 
-    def draw(x: Column, i: Column) -> Column:
+    def below(digest: Column, start: int, share: float) -> Column:
+        # eight hex digits as a number below 2**32; their text has the same order
+        return F.substring(digest, start, 8) < f"{int(share * 2**32):08x}"
+
+    def digested(x: Column, i: Column) -> Column:
         digest = F.md5(F.concat_ws(":", F.lit(str(seed)), row_id.cast("string"), i.cast("string")))
-        chosen = _part(digest, 1) < cut
-        if special_mask is not None:
-            chosen = chosen & (F.get(_col(special_mask), i) == 0)
-        how = _part(digest, 9)
-        new = (
-            F.when(how < eighty, mask_id)
-            .when(how < ninety, (_part(digest, 17) % vocab_size).cast("int"))
-            .otherwise(x)
-        )
-        return F.struct(
-            F.when(chosen, new).otherwise(x).alias("id"), F.when(chosen, x).otherwise(IGNORED).alias("label")
+        may = F.lit(True) if special_mask is None else F.get(_col(special_mask), i) == 0
+        return F.named_struct(F.lit("x"), x, F.lit("d"), digest, F.lit("chosen"), may & below(digest, 1, p))
+
+    def drawn(t: Column) -> Column:
+        other = (F.conv(F.substring(t["d"], 17, 8), 16, 10).cast("long") % vocab_size).cast("int")
+        new = F.when(below(t["d"], 9, 0.8), mask_id).when(below(t["d"], 9, 0.9), other).otherwise(t["x"])
+        return F.named_struct(
+            F.lit("id"), F.when(t["chosen"], new).otherwise(t["x"]), F.lit("label"), F.when(t["chosen"], t["x"]).otherwise(IGNORED)
         )
 
-    drawn = F.transform(ids, draw)
-    return F.struct(
-        F.transform(drawn, lambda d: d["id"]).alias("input_ids"),
-        F.transform(drawn, lambda d: d["label"]).alias("labels"),
-    )
+    tokens = F.transform(F.transform(ids, digested), drawn)
+    return F.struct(tokens["id"].alias("input_ids"), tokens["label"].alias("labels"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 # What counts as whitespace and as a line break in the source data.
 WHITESPACE = "[\\s\\x1C-\\x1F]"
 LINE_BREAK = "\\r\\n|[\\n\\r\\x0B\\f\\x1C\\x1D\\x1E\\u0085\\u2028\\u2029]"
+RARE_BREAK = "[\\r\\x0B\\f\\x1C\\x1D\\x1E\\u0085\\u2028\\u2029]"
 
 # Marks of generated files, and strings that end a generated statement.
 GENERATED_MARKS = ["auto-generated", "autogenerated", "automatically generated"]
@@ -36,10 +37,16 @@ def content_hash(c: Column | str) -> Column:
 
 
 def line_count(c: Column | str) -> Column:
-    """Number of lines; a final line break does not open another line."""
+    """Number of lines; a final line break does not open another line.
+
+    Texts whose only breaks are newlines, nearly all, are counted by byte lengths alone.
+    """
     c = _col(c)
+    newlines = F.octet_length(c) - F.octet_length(F.replace(c, F.lit("\n"), F.lit("")))
+    open_end = F.when((F.octet_length(c) == 0) | F.endswith(c, F.lit("\n")), 0).otherwise(1)
     body = F.regexp_replace(c, f"({LINE_BREAK})\\z", "")
-    return F.when(F.length(c) == 0, 0).otherwise(F.size(F.split(body, LINE_BREAK, -1)))
+    by_split = F.when(F.octet_length(c) == 0, 0).otherwise(F.size(F.split(body, LINE_BREAK, -1)))
+    return F.when(c.rlike(RARE_BREAK), by_split).otherwise(newlines + open_end)
 
 
 def is_autogenerated(c: Column | str, scan_width: int = 5) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.operators.position import BITS, Order, dense_position, running
+from corpusmill.session import cut_lineage
 
 DOC = ("pair_id", "side")
 
@@ -91,7 +92,7 @@ def normalize_edges(edges: DataFrame, doc: Sequence[str] = DOC) -> DataFrame:
     Edges are read by position, parents before the target; the first name seen is ``var_0``.
     """
     keys = list(doc)
-    names = edges.select(*keys, "pos", F.posexplode(F.concat("parents", F.array("name"))).alias("k", "_name"))
+    names = edges.select(*keys, "pos", "relation", F.posexplode(F.concat("parents", F.array("name"))).alias("k", "_name"))
     first = names.groupBy(*keys, "_name").agg(F.min(F.struct("pos", "k")).alias("_first"))
     first = first.select(*keys, "_name", F.col("_first.pos").alias("_p"), F.col("_first.k").alias("_k"))
     order = Order((F.col("_p"), F.col("_k")), (F.shiftright(F.col("_p").cast("long"), BITS),))
@@ -99,10 +100,10 @@ def normalize_edges(edges: DataFrame, doc: Sequence[str] = DOC) -> DataFrame:
         *keys, "_name", F.concat(F.lit("var_"), F.col("_no").cast("string")).alias("_var")
     )
     renamed = names.join(numbered, [*keys, "_name"]).groupBy(*keys, "pos").agg(
-        F.array_sort(F.collect_list(F.struct("k", "_var"))).alias("_vars")
+        F.max("relation").alias("relation"), F.array_sort(F.collect_list(F.struct("k", "_var"))).alias("_vars")
     )
     variables = F.col("_vars._var")
-    return edges.select(*keys, "pos", "relation").join(renamed, [*keys, "pos"]).select(
+    return renamed.select(
         *keys,
         "pos",
         F.element_at(variables, -1).alias("var"),
@@ -122,8 +123,13 @@ def edge_matches(edges: DataFrame, keys: Sequence[str] = ("pair_id",)) -> DataFr
 
 
 def normalized(edges: DataFrame, doc: Sequence[str] = DOC) -> DataFrame:
-    """Raw edges to connected, merged and renamed ones."""
-    return normalize_edges(merge_edges(connected_edges(edges, doc), doc), doc)
+    """Raw edges to connected, merged and renamed ones.
+
+    Merging first gives the same edges and fewer of them; they are written once, as the
+    steps after it read them several times.
+    """
+    merged = cut_lineage(merge_edges(edges, doc))
+    return normalize_edges(connected_edges(merged, doc), doc)
 
 
 def dataflow_match(edges: DataFrame, keys: Sequence[str] = ("pair_id",), by: Sequence[str] = ()) -> DataFrame:

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def dedup_first(df: DataFrame, key: Column | str, order: str = "row_id") -> DataFrame:
-    """The first row, by ``order``, of each ``key``.
+    """The first row, by the unique column ``order``, of each ``key``.
 
-    The rank filter is pushed below the shuffle: each task sends on one row per key at
-    most, so a key with very many copies does not pile up in one reducer.
+    The minimum per key is taken over ``(key, order)`` alone and merged within each task
+    before the shuffle, so very many copies of one text weigh nothing. The rows themselves
+    are then kept by their unique id: they move once at most and are sorted by no window.
     """
-    window = Window.partitionBy(key).orderBy(order)
-    return df.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") == 1).drop("_rank")
+    key = F.col(key) if isinstance(key, str) else key
+    first = df.groupBy(key.alias("_key")).agg(F.min(order).alias(order)).select(order)
+    return df.join(first, order, "left_semi").select(*df.columns)
 
 
 def duplicate_fraction(df: DataFrame, key: Column | str) -> DataFrame:

@@ -17,7 +17,7 @@ def prepare_corpus(
     line_max: int = 250,
     drop_generated: bool = False,
 ) -> DataFrame:
-    """Exact dedup, then the length filter, in one lazy plan with one shuffle on the hash.
+    """Exact dedup and the length filter in one lazy plan; whole rows are shuffled once at most.
 
     The first copy of a text claims its hash even when it is too long to stay, so a shorter
     copy of it goes as well.

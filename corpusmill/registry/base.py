@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.sources.corpus import spread_small
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -33,7 +35,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """The corpus: ``row_id, source_code, domain``."""
-    return table(spark, folder, "documents").select(
+    return spread_small(table(spark, folder, "documents")).select(
         F.col("doc_id").alias("row_id"), F.col("text").alias("source_code"), F.col("source").alias("domain")
     )
 
@@ -118,7 +120,7 @@ FROM {events}
 
 def view(spark: SparkSession, folder: str, text: str) -> DataFrame:
     names = [n for n in ("events", "conversations", "documents") if "{%s}" % n in text]
-    return spark.sql(text, **{n: table(spark, folder, n) for n in names})
+    return spark.sql(text, **{n: spread_small(table(spark, folder, n)) for n in names})
 
 
 def sql_view(text: str) -> str:
@@ -149,7 +151,7 @@ def call_preds(spark: SparkSession, folder: str) -> DataFrame:
         which = (F.col("event_id") + 3 * k + F.col("user_id")) % 11
         return F.coalesce(F.get(names, which.cast("int")), F.lit("other"))
 
-    return table(spark, folder, "events").select(
+    return spread_small(table(spark, folder, "events")).select(
         F.col("event_id").alias("sample_id"),
         F.get(F.array(*[F.lit(a) for a in apis]), (F.col("event_id") % 6).cast("int")).alias("api"),
         F.col("event_type").alias("call"),

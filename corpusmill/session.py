@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a skewed join side even where that costs one more exchange
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # hash instead of sort the kept side of a join where it fits
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     # min/max/count of ids come from parquet footers
     "spark.sql.parquet.aggregatePushdown.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
@@ -26,6 +28,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         builder = builder.config(key, value)
     spark = (
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        # small inputs, heavy expressions: do not merge partitions below this
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .getOrCreate()
