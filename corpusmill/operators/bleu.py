@@ -45,25 +45,22 @@ def _sides(pairs: DataFrame, max_order: int, keep: Sequence[str]) -> DataFrame:
         "_hyp",
         F.posexplode("_refs").alias("ref_no", "_ref"),
     )
-    sides = per_ref.select(
-        *keep,
-        "pair_id",
-        "ref_no",
-        *LENGTHS,
-        F.explode(
-            F.array(
-                F.struct(F.lit(True).alias("is_ref"), F.col("_ref").alias("toks")),
-                F.struct(F.lit(False).alias("is_ref"), F.col("_hyp").alias("toks")),
-            )
-        ).alias("_s"),
-    )
-    orders = sides.select("*", F.explode(F.sequence(F.lit(0), F.lit(max_order))).alias("n"))
-    grams = F.when(F.col("n") == 0, F.array(F.lit(""))).otherwise(
-        F.transform(ngrams("_s.toks", F.greatest(F.col("n"), F.lit(1))), lambda g: F.array_join(g, " "))
-    )
-    return orders.select(
-        *keep, "pair_id", "ref_no", *LENGTHS, "n", F.col("_s.is_ref").alias("is_ref"), F.explode(grams).alias("gram")
-    )
+    grams = F.concat(_grams(F.col("_ref"), True, max_order), _grams(F.col("_hyp"), False, max_order))
+    return per_ref.select(*keep, "pair_id", "ref_no", *LENGTHS, F.inline(grams))
+
+
+def _grams(tokens: Column, is_ref: bool, max_order: int) -> Column:
+    """Array of ``(is_ref, n, gram)``; the mark of ``n = 0`` first."""
+
+    def entry(n: int, text: Column) -> Column:
+        return F.named_struct(F.lit("is_ref"), F.lit(is_ref), F.lit("n"), F.lit(n), F.lit("gram"), text)
+
+    def of_order(n: int) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(tokens) - n, F.lit(0)))
+        all_grams = F.transform(starts, lambda i: entry(n, F.concat_ws(" ", *[F.get(tokens, i + j) for j in range(n)])))
+        return F.when(F.size(tokens) >= n, all_grams).otherwise(F.slice(all_grams, 1, 0))
+
+    return F.concat(F.array(entry(0, F.lit(""))), *[of_order(n) for n in range(1, max_order + 1)])
 
 
 def _lengths() -> list[Column]:
