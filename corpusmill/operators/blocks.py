@@ -67,7 +67,7 @@ def assign_batches(
     df: DataFrame, size: int, seed: int | None = None, id_col: str = "row_id", groups: Sequence[str] = ()
 ) -> DataFrame:
     """Add ``batch`` and ``slot``: rows in id order, or in seeded random order, ``size`` at a time."""
-    order = by_id(id_col) if seed is None else by_hash(seed, id_col)
+    order = by_id(id_col) if seed is None else by_hash(seed, id_col, digits=3 if groups else 4)
     placed = dense_position(df, order, list(groups), "_pos")
     return placed.withColumns(
         {"batch": F.floor(F.col("_pos") / size), "slot": F.col("_pos") % size}

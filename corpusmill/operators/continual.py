@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators.blocks import assign_batches
 from corpusmill.operators.position import by_hash, dense_position, rank_cut, seed_key, within_cut
+from corpusmill.session import cut_lineage
 
 
 def from_task_on(n_exp: int, column: str = "task_id", start: int = 0) -> Column:
@@ -77,9 +78,10 @@ def episodic_memory(df: DataFrame, n: int = 250, seed: int = 42, id_col: str = "
     The rows are filtered by the key of the ``n``-th one, so they are neither sorted nor moved.
     """
     order = by_hash(seed, id_col)
-    cuts = rank_cut(df.select("exp_id", id_col), order, lambda total: F.lit(n), ["exp_id"])
+    cuts = rank_cut(df.select("exp_id", id_col), order, [lambda total: F.lit(n)], ["exp_id"])
     # one row per experience
-    return df.join(cuts, "exp_id").filter(within_cut(order)).select(*df.columns)
+    cuts = cuts.select("exp_id", F.struct("cut0", "cut1").alias("_cut"))
+    return df.join(cuts, "exp_id").filter(within_cut(order, F.col("_cut"))).select(*df.columns)
 
 
 def balanced_sample(
@@ -89,9 +91,10 @@ def balanced_sample(
 
     Buffers are read in seeded order and from the start again when used up.
     """
-    n_buffers = mem.select("exp_id").distinct().count()
+    # a memory of bounded size, read several times below
+    placed = cut_lineage(dense_position(mem.select("exp_id", id_col), by_hash(seed, id_col), ["exp_id"], "pos", "size"))
+    n_buffers = placed.select("exp_id").distinct().count()
     per_buffer = sample_size // n_buffers if n_buffers else 0
-    placed = dense_position(mem.select("exp_id", id_col), by_hash(seed, id_col), ["exp_id"], "pos", "size")
     buffers = placed.groupBy("exp_id").agg(F.first("size").alias("size"))
     numbered = buffers.withColumn("_buffer", F.row_number().over(Window.orderBy("exp_id")) - 1)  # one row per buffer
     draws = mem.sparkSession.range(steps * per_buffer * n_buffers).select(
@@ -122,15 +125,15 @@ def replay_batches(
     The side with fewer batches starts over until the other one ends. With an empty memory
     there are the current rows alone.
     """
+    n_cur, n_mem = -(-cur.count() // batch_size), -(-mem.count() // batch_size_mem)
+    n_batches = max(n_cur, n_mem)
     current = assign_batches(cur.select(id_col), batch_size, seed, id_col)
     memory = assign_batches(mem.select(id_col), batch_size_mem, seed, id_col)
-    n_cur = F.coalesce(current.agg(F.max("batch") + 1).scalar(), F.lit(0))
-    n_mem = F.coalesce(memory.agg(F.max("batch") + 1).scalar(), F.lit(0))
-    longest = F.greatest(n_cur, n_mem)
     # one copy each, unless the bounded memory has more batches than the current rows
-    turns = F.sequence(F.col("batch"), longest - 1, F.greatest(n_cur, F.lit(1)))
+    turns = F.sequence(F.col("batch"), F.lit(n_batches - 1), F.lit(max(n_cur, 1)))
     own = current.select(F.explode(turns).alias("batch"), "slot", F.lit(False).alias("from_memory"), id_col)
-    batches = current.select("batch").union(memory.select("batch")).distinct()
-    turn = batches.withColumn("_mem", F.col("batch") % F.greatest(n_mem, F.lit(1)))
-    replayed = turn.join(memory.withColumnRenamed("batch", "_mem"), "_mem")
-    return own.unionByName(replayed.select("batch", "slot", F.lit(True).alias("from_memory"), id_col))
+    turn = cur.sparkSession.range(n_batches).select(F.col("id").alias("_turn"), (F.col("id") % max(n_mem, 1)).alias("batch"))
+    replayed = turn.join(memory, "batch").select(
+        F.col("_turn").alias("batch"), "slot", F.lit(True).alias("from_memory"), id_col
+    )
+    return own.unionByName(replayed)

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.operators.position import BITS, Order, dense_position, running
+from corpusmill.operators.position import BITS, Order, dense_position, running, running_max
 from corpusmill.session import cut_lineage
 
 DOC = ("pair_id", "side")
@@ -23,10 +23,8 @@ def def_use_edges(tokens: DataFrame, doc: Sequence[str] = DOC) -> DataFrame:
     computed from each variable used in its statement. Either may have no source.
     """
     keys = list(doc)
-    seen = running(
-        tokens, [*keys, "name"], "stmt_id", F.when(F.col("is_def"), F.col("pos")),
-        F.max, lambda a, b: F.greatest(a, b), "_def_pos", before=True,
-    )
+    own_def = F.when(F.col("is_def"), F.col("pos"))
+    seen = running(tokens, [*keys, "name"], "stmt_id", {"_def_pos": running_max(own_def, before=True)})
     found = F.col("_def_pos").isNotNull()
     uses = seen.filter(~F.col("is_def")).select(
         *keys, "name", "pos", F.lit("comesFrom").alias("relation"),

@@ -15,11 +15,12 @@ def hits_at_k(samples: DataFrame, ks: Sequence[int] = (1, 5, 10), truth: str = "
     call, 1 for an API, 3 for the grand total; ``rate_k`` is rounded to four places.
     """
     place = F.array_position(preds, F.col(truth))
-    placed = samples.select("api", "call", place.alias("_at"))
-    hits = [F.count_if(F.col("_at").between(1, k)).alias(f"hit_{k}") for k in ks]
-    rolled = placed.rollup("api", "call").agg(
-        F.grouping_id().alias("level"), *hits, F.count(F.lit(1)).alias("n_test")
+    calls = samples.select("api", "call", place.alias("_at")).groupBy("api", "call").agg(
+        *[F.count_if(F.col("_at").between(1, k)).alias(f"hit_{k}") for k in ks], F.count(F.lit(1)).alias("n_test")
     )
+    # the rows are counted once; only the counts are rolled up
+    sums = [F.sum(c).alias(c) for c in [*(f"hit_{k}" for k in ks), "n_test"]]
+    rolled = calls.rollup("api", "call").agg(F.grouping_id().alias("level"), *sums)
     rates = [F.round(F.col(f"hit_{k}") / F.col("n_test"), 4).alias(f"rate_{k}") for k in ks]
     return rolled.select("*", *rates)
 

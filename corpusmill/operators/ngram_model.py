@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.operators.rows import spread_lookup
+from corpusmill.session import cut_lineage
 
 START = -1
 
@@ -57,7 +58,8 @@ def score_ngram(
         return scored.agg(
             F.sum("seen").alias("n_tokens"), (F.sum(F.col("nll") * F.col("seen")) / F.sum("seen")).alias("loss")
         )
-    rows = spread_lookup(grams, scored.drop("seen"), ["ctx", "next"], "n_rows", F.struct(*keys))
+    scored = cut_lineage(scored.drop("seen"))
+    rows = spread_lookup(grams, scored, ["ctx", "next"], "n_rows", F.struct(*keys))
     return rows.groupBy(*keys).agg(
         F.sum("cnt").alias("n_tokens"), (F.sum(F.col("nll") * F.col("cnt")) / F.sum("cnt")).alias("loss")
     )

@@ -101,68 +101,80 @@ def dense_position(
 
 
 def rank_cut(
-    df: DataFrame, order: Order, k: Callable[[Column], Column], groups: list[str] | None = None
+    df: DataFrame, order: Order, ks: list[Callable[[Column], Column]], groups: list[str] | None = None
 ) -> DataFrame:
-    """Per group the sort key of its ``k``-th row, as columns ``cut0, cut1, ...``.
+    """Per group and entry of ``ks`` the sort key of its ``k``-th row, as ``which, cut0, cut1, ...``.
 
-    ``k`` maps the group size to a rank. Only the bucket that holds that rank is sorted, so
-    the rows themselves never move: compare their key with the cut instead. Groups with
-    ``k < 1`` are absent; a rank behind the end means the last row.
+    Each ``k`` maps the group size to a rank. Only the buckets that hold those ranks are
+    sorted, so the rows themselves never move: compare their key with the cut instead.
+    Ranks below 1 give no row; a rank behind the end means the last row.
     """
     groups = list(groups or [])
     wanted = list(groups)
     rows, counts, names = _bucketed(df, order, groups)
+    ranks = F.array(*[F.least(k(F.col("_total")).cast("long"), F.col("_total")) for k in ks])
     target = (
         _offsets(counts, groups, names)
-        .withColumn("_k", F.least(k(F.col("_total")).cast("long"), F.col("_total")))
+        .select("*", F.posexplode(ranks).alias("which", "_k"))
         .filter((F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_before") + F.col("_n")))
-        .select(*groups, *names, (F.col("_k") - F.col("_before")).alias("_nth"))
+        .groupBy(*groups, *names)
+        .agg(F.collect_list(F.struct("which", (F.col("_k") - F.col("_before")).alias("nth"))).alias("_wanted"))
     )
     keys = [c.alias(f"cut{i}") for i, c in enumerate(order.columns)]
     window = Window.partitionBy(*groups, *names).orderBy(*[F.col(f"cut{i}") for i in range(len(keys))])
-    return (
+    ranked = (
         rows.select(*groups, *names, *keys)
         .join(target, [*groups, *names])
         .withColumn("_rn", F.row_number().over(window))
-        .filter(F.col("_rn") == F.col("_nth"))
-        .select(*wanted, *[f"cut{i}" for i in range(len(keys))])
+        .select("*", F.explode(F.filter("_wanted", lambda w: w["nth"] == F.col("_rn"))).alias("_w"))
     )
+    return ranked.select(*wanted, F.col("_w.which").alias("which"), *[f"cut{i}" for i in range(len(keys))])
 
 
-def within_cut(order: Order) -> Column:
-    """Is the row at or before the cut that :func:`rank_cut` gave its group?"""
-    key = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(order.columns)])
-    cut = F.struct(*[F.col(f"cut{i}").alias(f"c{i}") for i in range(len(order.columns))])
+def within_cut(order: Order, cut: Column) -> Column:
+    """Is the row at or before the cut, a struct ``(cut0, ...)``? A null cut is before all rows."""
+    key = F.struct(*[c.alias(f"cut{i}") for i, c in enumerate(order.columns)])
     return F.coalesce(key <= cut, F.lit(False))
 
 
-def running(
-    df: DataFrame,
-    groups: list[str],
-    order: str,
-    value: Column,
-    agg: Callable[[Column], Column],
-    combine: Callable[[Column, Column], Column],
-    out: str,
-    before: bool = False,
-    bits: int = 20,
-) -> DataFrame:
-    """Running ``agg`` of ``value`` along ``order``; with ``before`` only over smaller keys.
+@dataclass(frozen=True)
+class Running:
+    """A running aggregate; with ``before`` only over smaller keys.
 
     ``combine`` merges the value carried in from earlier buckets with the one inside the
-    bucket and must pass nulls over (``F.least``, ``F.greatest``). Rows with equal keys see
-    the same value.
+    bucket and must pass nulls over, as ``F.least`` and ``F.greatest`` do.
     """
-    rows = df.withColumn("_bucket", F.shiftright(F.col(order).cast("long"), bits)).withColumn("_value", value)
-    per_bucket = rows.groupBy(*groups, "_bucket").agg(agg(F.col("_value")).alias("_v"))
-    carry_window = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_bucket.withColumn("_carry", agg(F.col("_v")).over(carry_window)).drop("_v")
-    last = -1 if before else 0
-    inside = (
-        Window.partitionBy(*groups, "_bucket").orderBy(order).rangeBetween(Window.unboundedPreceding, last)
+
+    value: Column
+    agg: Callable[[Column], Column]
+    combine: Callable[[Column, Column], Column]
+    before: bool = False
+
+
+def running_min(value: Column, before: bool = False) -> Running:
+    return Running(value, F.min, lambda a, b: F.least(a, b), before)
+
+
+def running_max(value: Column, before: bool = False) -> Running:
+    return Running(value, F.max, lambda a, b: F.greatest(a, b), before)
+
+
+def running(df: DataFrame, groups: list[str], order: str, outs: dict[str, Running], bits: int = 20) -> DataFrame:
+    """Add running aggregates along ``order``. Rows with equal keys see the same value."""
+    rows = df.withColumn("_bucket", F.shiftright(F.col(order).cast("long"), bits)).withColumns(
+        {f"_value_{name}": r.value for name, r in outs.items()}
     )
-    return (
-        rows.join(carried, [*groups, "_bucket"])
-        .withColumn(out, combine(F.col("_carry"), agg(F.col("_value")).over(inside)))
-        .select(*df.columns, out)
+    per_bucket = rows.groupBy(*groups, "_bucket").agg(
+        *[r.agg(F.col(f"_value_{name}")).alias(f"_carry_{name}") for name, r in outs.items()]
     )
+    earlier = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_bucket.select(
+        *groups, "_bucket", *[r.agg(F.col(f"_carry_{name}")).over(earlier).alias(f"_carry_{name}") for name, r in outs.items()]
+    )
+    inside = Window.partitionBy(*groups, "_bucket").orderBy(order)
+
+    def total(name: str, r: Running) -> Column:
+        frame = inside.rangeBetween(Window.unboundedPreceding, -1 if r.before else 0)
+        return r.combine(F.col(f"_carry_{name}"), r.agg(F.col(f"_value_{name}")).over(frame)).alias(name)
+
+    return rows.join(carried, [*groups, "_bucket"]).select(*df.columns, *[total(n, r) for n, r in outs.items()])

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.operators.position import by_id, rank_cut, within_cut
+from corpusmill.operators.position import by_id, rank_cut
 
 # The ordinal of each domain in a continual run, and the label of rows outside them.
 TASKS = {"general": 0, "security": 1, "android": 2, "web": 3, "guava": 4}
@@ -90,7 +90,7 @@ def head_rows(df: DataFrame, n: int, batch: int = 1000, id_col: str = "row_id")
     """
     order = by_id(id_col)
     rows = -(-n // batch) * batch
-    cut = rank_cut(df.select(id_col), order, lambda total: F.lit(rows))
+    cut = rank_cut(df.select(id_col), order, [lambda total: F.lit(rows)])
     return df.filter(F.col(id_col) <= cut.select("cut0").scalar())
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.scores import safe_exp
-from corpusmill.operators.position import running
+from corpusmill.operators.position import running, running_max, running_min
+from corpusmill.session import cut_lineage
 
 
 def thin_log(log: DataFrame, every: int = 50, skip_zero: bool = False) -> DataFrame:
@@ -92,24 +93,21 @@ def early_stop(
     rows = log.select(
         (F.col("exp_id") if criteria == "exp" else F.lit(0)).alias("exp_id"), "step", (F.col(value) * sign).alias("_v")
     )
-    least = lambda a, b: F.least(a, b)
-    first = running(rows, groups, "step", F.col("step"), F.min, least, "_first")
+    first = running_min(F.col("step"))
     if slack == 0:
-        state = running(
-            first, groups, "step",
-            F.struct("_v", F.when(F.col("step") == F.col("_first"), 0).otherwise(F.col("step")).alias("at")),
-            F.min, least, "_best",
-        ).select("*", F.col("_best._v").alias("_best_v"), F.col("_best.at").alias("_best_at"))
-    else:
-        earlier = running(first, groups, "step", F.col("_v"), F.min, least, "_earlier", before=True)
-        records = earlier.filter(F.col("_earlier").isNull() | (F.col("_v") < F.col("_earlier")))
-        updates = _updates(records.select(*groups, "step", "_v"), groups, slack).select(
-            *groups, "step", F.col("_v").alias("_new")
+        best = running_min(F.struct("_v", "step"))
+        state = running(rows, groups, "step", {"_first": first, "_best": best}).select(
+            *groups, "step", "_first", F.col("_best._v").alias("_best_v"), F.col("_best.step").alias("_best_at")
         )
-        marked = first.join(updates, [*groups, "step"], "left")
-        at = F.when(F.col("_new").isNull(), None).when(F.col("step") == F.col("_first"), 0).otherwise(F.col("step"))
-        best = running(marked, groups, "step", F.col("_new"), F.min, least, "_best_v")
-        state = running(best, groups, "step", at, F.max, lambda a, b: F.greatest(a, b), "_best_at")
+    else:
+        seen = running(rows, groups, "step", {"_first": first, "_earlier": running_min(F.col("_v"), before=True)})
+        seen = cut_lineage(seen)
+        records = seen.filter(F.col("_earlier").isNull() | (F.col("_v") < F.col("_earlier")))
+        updates = _updates(records.select(*groups, "step", "_v"), groups, slack)
+        marked = seen.join(updates.withColumnRenamed("_v", "_new"), [*groups, "step"], "left")
+        at = F.when(F.col("_new").isNotNull(), F.col("step"))
+        state = running(marked, groups, "step", {"_best_v": running_min(F.col("_new")), "_best_at": running_max(at)})
+    state = state.withColumn("_best_at", F.when(F.col("_best_at") == F.col("_first"), 0).otherwise(F.col("_best_at")))
     stops = (F.col("step") > F.col("_first")) & (F.col("step") - F.col("_best_at") >= patience)
     now = F.struct("_best_at", "_best_v")
     ends = state.groupBy(*groups).agg(

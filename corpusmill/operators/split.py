@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.operators.position import Order, by_hash, by_id, rank_cut, within_cut
@@ -12,13 +12,11 @@ def slice_splits(
     df: DataFrame, n_ft: int = 500_000, n_valid: int = 100_000, id_col: str = "row_id"
 ) -> DataFrame:
     """Add ``split``: the first rows by id fine-tune, the next validate, the rest train."""
-    order, ids = by_id(id_col), df.select(id_col)
-
-    def cut(n: int) -> Column:
-        last = rank_cut(ids, order, lambda total: F.lit(n)).select("cut0").scalar()
-        return F.coalesce(F.col(id_col) <= last, F.lit(False))
-
-    return df.withColumn("split", F.when(cut(n_ft), "ft").when(cut(n_ft + n_valid), "valid").otherwise("train"))
+    cuts = rank_cut(df.select(id_col), by_id(id_col), [lambda total: F.lit(n_ft), lambda total: F.lit(n_ft + n_valid)])
+    last = [F.max(F.when(F.col("which") == i, F.col("cut0"))).alias(f"c{i}") for i in (0, 1)]
+    marked = df.withColumn("_last", cuts.agg(*last).select(F.struct("c0", "c1")).scalar())
+    split = F.when(F.col(id_col) <= F.col("_last.c0"), "ft").when(F.col(id_col) <= F.col("_last.c1"), "valid")
+    return marked.withColumn("split", split.otherwise("train")).drop("_last")
 
 
 def _share(pct: float):
@@ -28,15 +26,15 @@ def _share(pct: float):
 
 def _split(df: DataFrame, order: Order, pct: float, groups: list[str], narrow: list[str], names: tuple[str, str]) -> DataFrame:
     first, rest = names
-    cuts = rank_cut(df.select(*narrow), order, _share(pct), groups)
+    cuts = rank_cut(df.select(*narrow), order, [_share(pct)], groups)
+    key = F.struct(*[F.col(f"cut{i}") for i in range(len(order.columns))]).alias("_cut")
     if groups:
         # one row per group; Spark broadcasts it when its measured size allows
-        marked = df.join(cuts, groups, "left")
+        marked = df.join(cuts.select(*groups, key), groups, "left")
     else:
-        marked = df
-        for i in range(len(order.columns)):
-            marked = marked.withColumn(f"cut{i}", cuts.select(f"cut{i}").scalar())
-    return marked.withColumn("split", F.when(within_cut(order), first).otherwise(rest)).select(*df.columns, "split")
+        marked = df.withColumn("_cut", cuts.select(key).scalar())
+    split = F.when(within_cut(order, F.col("_cut")), first).otherwise(rest)
+    return marked.withColumn("split", split).select(*df.columns, "split")
 
 
 def stratified_split(

@@ -10,6 +10,7 @@ from corpusmill.operators import rows as R
 from corpusmill.operators import runlog as G
 from corpusmill.registry.base import LOSS_LOG, METRIC_LOG, documents, joined, r6, register, sql_view, view
 from corpusmill.registry.tokens import IDS, word_length_ids
+from corpusmill.session import cut_lineage
 
 LOSSES, METRICS = sql_view(LOSS_LOG), sql_view(METRIC_LOG)
 V = 64
@@ -39,7 +40,8 @@ def _(spark, folder):
 @register("score_ngram", f"WITH {MODEL} SELECT row_id, CAST(sum(cnt) AS BIGINT) AS n_tokens, round(sum(nll * cnt) / sum(cnt), 6) AS loss FROM scored GROUP BY row_id")
 def _(spark, folder):
     train, test = train_test(spark, folder)
-    return N.score_ngram(test, N.train_ngram(train, 3), V, 3, 0.5, keys=["row_id"]).withColumn("loss", r6("loss"))
+    model = cut_lineage(N.train_ngram(train, 3))  # read three times
+    return N.score_ngram(test, model, V, 3, 0.5, keys=["row_id"]).withColumn("loss", r6("loss"))
 
 
 @register("ngram_perplexity", f"WITH {MODEL} SELECT CAST(sum(cnt) AS BIGINT) AS n_tokens, round(sum(nll * cnt) / sum(cnt), 6) AS loss, round(exp(sum(nll * cnt) / sum(cnt)), 6) AS perplexity FROM scored")

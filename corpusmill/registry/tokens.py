@@ -104,14 +104,19 @@ def _(spark, folder):
     )
 
 
-@register("write_vocab")
+VOCAB_ROWS = f"""SELECT 0 AS id, '<|endoftext|>' AS token, -1 AS rank UNION ALL
+  SELECT CAST(b + 1 AS BIGINT), upper(lpad(to_hex(b), 2, '0')), -1 FROM (SELECT unnest(range(256)) AS b) UNION ALL
+  SELECT 257 + rank, "left" || "right", rank FROM ({MERGE_ROWS})"""
+
+
+@register("write_vocab", f"{bpe_sql()} {VOCAB_ROWS}")
 def _(spark, folder):
     path = scratch_path(spark, "vocab")
-    # enough merges for rounds of several
-    write_vocab(train_bpe(documents(spark, folder), 257 + 40, n_rows=None), spark, path)
-    merges, vocab = spark.read.parquet(f"{path}/merges"), spark.read.parquet(f"{path}/vocab")
-    load_bpe(merges, vocab)
-    return vocab.join(merges, vocab["token"] == F.concat("left", "right"), "left").select("id", "token", "rank", "cnt")
+    write_vocab(small_bpe(spark, folder), spark, path)
+    bpe = load_bpe(spark.read.parquet(f"{path}/merges"), spark.read.parquet(f"{path}/vocab"))
+    merged = bpe.merge_table(spark).select(F.concat("left", "right").alias("token"), "rank")
+    rows = bpe.vocab_table(spark).join(merged, "token", "left")
+    return rows.select(F.col("id").cast("long").alias("id"), "token", F.coalesce("rank", F.lit(-1)).cast("long").alias("rank"))
 
 
 # --- lengths ------------------------------------------------------------------------------

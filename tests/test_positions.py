@@ -37,7 +37,7 @@ def test_dense_position(spark, kind, bits):
 def test_rank_cut(spark, kind, k):
     ids = ids_of(kind)
     df = spark.createDataFrame([(i,) for i in ids], "row_id long")
-    cut = [r["cut0"] for r in P.rank_cut(df, P.by_id(bits=4), lambda n: F.lit(k)).collect()]
+    cut = [r["cut0"] for r in P.rank_cut(df, P.by_id(bits=4), [lambda n: F.lit(k)]).collect()]
     assert cut == ([] if k == 0 else [sorted(ids)[min(k, 200) - 1]])
 
 
@@ -46,10 +46,12 @@ def test_running(spark, before):
     rng = random.Random(5)
     rows = [(g, step, rng.randrange(50)) for g in range(3) for step in range(0, 60, 2)]
     df = spark.createDataFrame(rows, "g int, step long, v int").repartition(4)
-    got = P.running(df, ["g"], "step", F.col("v"), F.min, lambda a, b: F.least(a, b), "low", before=before, bits=3)
+    outs = {"low": P.running_min(F.col("v"), before), "high": P.running_max(F.col("v"))}
+    got = P.running(df, ["g"], "step", outs, bits=3)
     for r in got.collect():
         seen = [v for g, s, v in rows if g == r["g"] and (s < r["step"] or (s == r["step"] and not before))]
         assert r["low"] == (min(seen) if seen else None)
+        assert r["high"] == max(v for g, s, v in rows if g == r["g"] and s <= r["step"])
 
 
 def test_splits_are_exact_and_complete(spark):
