@@ -138,27 +138,27 @@ def usage_start(code: Column | str, idx: Column | str, cls: Column | str, call:
 def balanced_end(code: Column | str, end: Column | str) -> Column:
     """Offset behind the parenthesis that closes the argument list opened at ``end``; null if unbalanced.
 
-    Where no parenthesis stands at ``end`` the span grows by one. Nearly all calls close
-    within the short window, so the long one is only evaluated for the rest.
+    Where no parenthesis stands at ``end`` the span grows by one. The text is cut before each
+    parenthesis, so the fold takes one step per parenthesis. Nearly all calls close within
+    the short window; the long one is only evaluated for the rest.
     """
     code, end = _col(code), _col(end)
 
-    def scan(width: int) -> Column:
-        chars = F.split(F.substring(code, end + 1, F.lit(width)), "")
-
-        def state(depth: Column, n: Column, done: Column) -> Column:
-            return F.named_struct(F.lit("depth"), depth, F.lit("n"), n, F.lit("done"), done)
+    def state(depth: Column, n: Column, done: Column) -> Column:
+        return F.named_struct(F.lit("depth"), depth, F.lit("n"), n, F.lit("done"), done)
 
-        def step(acc: Column, ch: Column) -> Column:
-            depth = acc["depth"] + F.when(ch == "(", 1).when(ch == ")", -1).otherwise(0)
-            moved = state(depth, acc["n"] + 1, depth == 0)
-            return F.when(acc["done"] | (ch == ""), acc).otherwise(moved)
+    def step(acc: Column, piece: Column) -> Column:
+        depth = acc["depth"] + F.when(piece.startswith("("), 1).otherwise(-1)
+        moved = state(depth, acc["n"] + F.when(depth == 0, 1).otherwise(F.length(piece)), depth == 0)
+        return F.when(acc["done"], acc).otherwise(moved)
 
+    def scan(width: int) -> Column:
+        pieces = F.split(F.substring(code, end + 1, F.lit(width)), "(?=[()])", -1)
         start = state(F.lit(0), F.lit(0), F.lit(False))
-        return F.aggregate(chars, start, step, lambda acc: F.when(acc["done"], end + acc["n"]))
+        return F.aggregate(pieces, start, step, lambda acc: F.when(acc["done"], end + acc["n"]))
 
-    at_end_of_text = F.length(F.substring(code, end + 1, F.lit(1))) == 0
-    return F.when(at_end_of_text, end + 1).otherwise(F.coalesce(scan(256), scan(MAX_SCAN)))
+    first = F.substring(code, end + 1, F.lit(1))
+    return F.when(~first.isin("(", ")"), end + 1).otherwise(F.coalesce(scan(256), scan(MAX_SCAN)))
 
 
 # --- predictions --------------------------------------------------------------------------

@@ -23,7 +23,7 @@ WORD = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 # Fixed value: the one token that stands for no text.
 END_OF_TEXT = "<|endoftext|>"
 
-CANDIDATES = 256
+CANDIDATES = 1024
 MERGES_PER_ROUND = 32
 ROUNDS_PER_CHECKPOINT = 8
 MEMO_SIZE = 1 << 18
@@ -75,24 +75,26 @@ def _apply(symbols: Column, merges: list[tuple[str, str, int]]) -> Column:
 def sure_merges(top: list[tuple[str, str, int]], known: set[str], complete: bool, most: int) -> list[tuple[str, str, int]]:
     """The leading pairs that one-at-a-time merging would choose in this order.
 
-    A merge can only lower or create pairs that hold one of its symbols, and none of those
-    ends up above the count its old symbols had. So the next pair is sure as long as no pair
-    of at least its count, other than those already chosen, shares a symbol with them. A pair
-    of equal symbols, or one whose joint symbol exists already, can raise others and ends
-    the list, as does a tie that reaches the end of an incomplete ``top``.
+    Merging ``(l, r)`` changes the counts of pairs that start with ``r`` or end with ``l``, and
+    of no others: the symbol of any other pair has a different neighbour there. The pairs it
+    creates come from those same pairs and cannot exceed their counts. So the next pair is
+    sure while no pair of at least its count starts with a chosen ``r`` or ends with a chosen
+    ``l``. A pair of equal symbols, or one whose joint symbol exists already, can raise others
+    and ends the list, as does a tie that reaches the end of an incomplete ``top``.
     """
     chosen: list[tuple[str, str, int]] = []
-    touched: set[str] = set()
+    lefts: set[str] = set()
+    rights: set[str] = set()
     made: set[str] = set()
     for left, right, count in top:
         if chosen:
             if not complete and top[-1][2] == count:
                 break
-            rivals = [p for p in top if p[2] >= count and p not in chosen]
-            if any(p[0] in touched or p[1] in touched for p in rivals):
+            if any(n >= count and (x in rights or y in lefts) for x, y, n in top):
                 break
         chosen.append((left, right, count))
-        touched |= {left, right}
+        lefts.add(left)
+        rights.add(right)
         if left == right or left + right in known | made or len(chosen) == most:
             break
         made.add(left + right)

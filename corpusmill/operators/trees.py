@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusmill.session import cut_lineage, scratch_path
 
 TREE = ("pair_id", "side")
+MAX_ROUNDS = 40  # trees up to 2**40 deep
 
 
 def node_depth(nodes: DataFrame, tree: Sequence[str] = TREE) -> DataFrame:
@@ -20,8 +21,11 @@ def node_depth(nodes: DataFrame, tree: Sequence[str] = TREE) -> DataFrame:
     """
     keys = list(tree)
     up = nodes.withColumns({"_up": F.col("parent"), "depth": F.when(F.col("parent").isNull(), 1).otherwise(2)})
-    up = cut_lineage(up)
+    up, rounds = cut_lineage(up), 0
     while not up.filter(F.col("_up").isNotNull()).isEmpty():
+        rounds += 1
+        if rounds > MAX_ROUNDS:
+            raise ValueError("the node table holds a cycle")
         above = up.select(*keys, F.col("node").alias("_up"), F.col("_up").alias("_next"), F.col("depth").alias("_more"))
         open_ = up.filter(F.col("_up").isNotNull()).join(above, [*keys, "_up"])
         closed = up.filter(F.col("_up").isNull())

@@ -69,11 +69,10 @@ def _(spark, folder):
     return read_corpus(spark, path).select("row_id", F.md5("source_code").alias("text_md5"), "domain")
 
 
-@register("flatten_ood_stats", f"SELECT domain, api, CAST(api_order AS BIGINT) AS api_order, row_id FROM {LBL} WHERE row_id % 30 <> 1 OR domain <> 'web'")
+@register("flatten_ood_stats", f"SELECT domain, api, CAST(api_order AS BIGINT) AS api_order, row_id FROM {LBL}")
 def _(spark, folder):
     # nested input derived from the label rows: one map per domain and per 1024 ids
-    rows = ood_labels(spark, folder).filter("row_id % 30 <> 1 OR domain <> 'web'")
-    per_api = rows.groupBy("domain", "api", "api_order", F.shiftright("row_id", 10).alias("chunk")).agg(
+    per_api = ood_labels(spark, folder).groupBy("domain", "api", "api_order", F.shiftright("row_id", 10).alias("chunk")).agg(
         F.collect_list("row_id").alias("ids")
     )
     entries = per_api.groupBy("domain", "chunk").agg(

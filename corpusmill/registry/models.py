@@ -5,10 +5,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from corpusmill.functions import text as X
 from corpusmill.operators import ngram_model as N
 from corpusmill.operators import rows as R
 from corpusmill.operators import runlog as G
-from corpusmill.registry.base import LOSS_LOG, METRIC_LOG, documents, joined, r6, register, sql_view, view
+from corpusmill.registry.base import LOSS_LOG, METRIC_LOG, documents, joined, r6, register, sql_view, table, view
+from corpusmill.registry.scores import words
 from corpusmill.registry.tokens import IDS, word_length_ids
 from corpusmill.session import cut_lineage
 
@@ -17,18 +19,28 @@ V = 64
 
 
 def train_test(spark, folder):
-    rows = word_length_ids(spark, folder)
-    return rows.filter("row_id % 5 <> 0"), rows.filter("row_id % 5 = 0")
+    """Trained on the documents, tested on the conversations."""
+    turns = table(spark, folder, "conversations").select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("row_id"),
+        F.transform(X.ws_tokens("text"), lambda t: F.length(t)).alias("input_ids"),
+    )
+    return word_length_ids(spark, folder), turns
 
 
-# contexts of two tokens, -1 before the start of a row
-GRAMS = f"""SELECT row_id, concat(p[i], ' ', p[i + 1]) AS ctx, p[i + 2] AS next, count(*) AS cnt FROM (
-  SELECT row_id, p, unnest(range(1, len(p) - 1)) AS i FROM (SELECT row_id, list_concat([-1, -1], ids) AS p FROM ({IDS})))
-  GROUP BY ALL"""
-MODEL = f"""g AS (SELECT * FROM ({GRAMS})),
-model AS (SELECT ctx, next, CAST(sum(cnt) AS BIGINT) AS cnt, CAST(sum(sum(cnt)) OVER (PARTITION BY ctx) AS BIGINT) AS ctx_cnt FROM g WHERE row_id % 5 <> 0 GROUP BY ctx, next),
+TURNS = f"SELECT conv_id * 100 + turn AS row_id, list_transform({words('text')}, lambda t: length(t)) AS ids FROM conversations"
+
+
+def grams_sql(ids: str) -> str:
+    """Contexts of two tokens, -1 before the start of a row."""
+    return f"""SELECT row_id, concat(p[i], ' ', p[i + 1]) AS ctx, p[i + 2] AS next, count(*) AS cnt FROM (
+      SELECT row_id, p, unnest(range(1, len(p) - 1)) AS i FROM (SELECT row_id, list_concat([-1, -1], ids) AS p FROM ({ids})))
+      GROUP BY ALL"""
+
+
+MODEL = f"""g AS (SELECT * FROM ({grams_sql(TURNS)})),
+model AS (SELECT ctx, next, CAST(sum(cnt) AS BIGINT) AS cnt, CAST(sum(sum(cnt)) OVER (PARTITION BY ctx) AS BIGINT) AS ctx_cnt FROM ({grams_sql(IDS)}) GROUP BY ctx, next),
 scored AS (SELECT g.row_id, g.cnt, -ln((coalesce(m.cnt, 0) + 0.5::DOUBLE) / (coalesce(c.ctx_cnt, 0) + 0.5::DOUBLE * {V})) AS nll FROM g
-  LEFT JOIN model m ON g.ctx = m.ctx AND g.next = m.next LEFT JOIN (SELECT DISTINCT ctx, ctx_cnt FROM model) c ON g.ctx = c.ctx WHERE g.row_id % 5 = 0)"""
+  LEFT JOIN model m ON g.ctx = m.ctx AND g.next = m.next LEFT JOIN (SELECT DISTINCT ctx, ctx_cnt FROM model) c ON g.ctx = c.ctx)"""
 TOP = """top AS (SELECT ctx, list(next ORDER BY rn) AS preds FROM (SELECT ctx, next, row_number() OVER (PARTITION BY ctx ORDER BY cnt DESC, next) AS rn FROM model) WHERE rn <= 10 GROUP BY ctx)"""
 
 
@@ -58,7 +70,7 @@ def _(spark, folder):
 
 @register(
     "ngram_hits",
-    f"""WITH {MODEL}, {TOP}, s AS (SELECT length(ctx) AS api, list_position(preds, next) AS place, cnt FROM g LEFT JOIN top USING (ctx) WHERE row_id % 5 = 0)
+    f"""WITH {MODEL}, {TOP}, s AS (SELECT list_position(preds, next) AS place, cnt FROM g LEFT JOIN top USING (ctx))
         SELECT CAST(coalesce(sum(cnt) FILTER (WHERE place = 1), 0) AS BIGINT) AS hit_1, CAST(coalesce(sum(cnt) FILTER (WHERE place <= 5), 0) AS BIGINT) AS hit_5,
                CAST(coalesce(sum(cnt) FILTER (WHERE place <= 10), 0) AS BIGINT) AS hit_10, CAST(sum(cnt) AS BIGINT) AS n_test FROM s""",
 )
@@ -67,10 +79,9 @@ def _(spark, folder):
     train, test = train_test(spark, folder)
     preds = N.topk_next(N.train_ngram(train, 3))
     grams = N.context_counts(test, 3).join(preds, "ctx", "left")
-    samples = grams.select(F.lit("x").alias("api"), F.col("next").alias("call"), F.coalesce("preds", F.array().cast("array<int>")).alias("preds"), "cnt")
-    place = F.array_position("preds", F.col("call"))
+    place = F.coalesce(F.array_position("preds", F.col("next")), F.lit(0))
     sums = [F.sum(F.when(place.between(1, k), F.col("cnt")).otherwise(0)).alias(f"hit_{k}") for k in (1, 5, 10)]
-    return samples.agg(*sums, F.sum("cnt").alias("n_test"))
+    return grams.agg(*sums, F.sum("cnt").alias("n_test"))
 
 
 # --- run logs -----------------------------------------------------------------------------

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -56,13 +57,25 @@ def test_training_with_several_merges_per_round_is_exact(spark):
     assert bpe.merges == want and len(bpe.tokens) == 297
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_training_on_random_text_is_exact(spark, seed):
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 7))) for _ in range(60)]
+    texts = [" ".join(rng.choices(words, weights=range(60), k=50)) for _ in range(12)]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id long, source_code string")
+    bpe = train_bpe(df, 257 + 60, n_rows=None)
+    assert bpe.merges == brute_bpe(texts, len(bpe.merges))
+
+
 def test_sure_merges():
     top = [("a", "b", 9), ("c", "d", 8), ("b", "x", 7), ("e", "f", 6)]
     assert sure_merges(top, set(), True, 9) == [("a", "b", 9), ("c", "d", 8)]
+    # sharing a left or a right symbol does no harm
+    assert sure_merges([("a", "b", 9), ("a", "d", 8), ("c", "b", 7)], set(), True, 9) == [("a", "b", 9), ("a", "d", 8), ("c", "b", 7)]
     assert sure_merges([("a", "a", 9), ("c", "d", 8)], set(), True, 9) == [("a", "a", 9)]
     assert sure_merges([("a", "b", 9), ("c", "d", 8)], {"ab"}, True, 9) == [("a", "b", 9)]
     # a tie behind the chosen pair that shares a symbol, or that may go on out of sight
-    assert sure_merges([("a", "b", 9), ("c", "d", 8), ("e", "b", 8)], set(), True, 9) == [("a", "b", 9)]
+    assert sure_merges([("a", "b", 9), ("c", "d", 8), ("e", "a", 8)], set(), True, 9) == [("a", "b", 9)]
     assert sure_merges([("a", "b", 9), ("c", "d", 8)], set(), False, 9) == [("a", "b", 9)]
 
 
