@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.operators.rows import spread_lookup
+from corpusmill.operators.lookup import spread_lookup
 from corpusmill.session import cut_lineage
 
 START = -1

@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.operators.lookup import bounded_lookup
+
 BITS = 21
 
 
@@ -122,9 +124,10 @@ def rank_cut(
     )
     keys = [c.alias(f"cut{i}") for i, c in enumerate(order.columns)]
     window = Window.partitionBy(*groups, *names).orderBy(*[F.col(f"cut{i}") for i in range(len(keys))])
+    # one bucket per group and rank: all other rows are dropped before the shuffle
+    found = bounded_lookup(rows.select(*groups, *names, *keys), target, [*groups, *names], "cut0")
     ranked = (
-        rows.select(*groups, *names, *keys)
-        .join(target, [*groups, *names])
+        found.filter(F.col("_wanted").isNotNull())
         .withColumn("_rn", F.row_number().over(window))
         .select("*", F.explode(F.filter("_wanted", lambda w: w["nth"] == F.col("_rn"))).alias("_w"))
     )

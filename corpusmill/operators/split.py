@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.operators.lookup import bounded_lookup
 from corpusmill.operators.position import Order, by_hash, by_id, rank_cut, within_cut
 
 
@@ -24,13 +25,12 @@ def _share(pct: float):
     return lambda total: F.floor(total * F.lit(float(pct)))
 
 
-def _split(df: DataFrame, order: Order, pct: float, groups: list[str], narrow: list[str], names: tuple[str, str]) -> DataFrame:
+def _split(df: DataFrame, order: Order, pct: float, groups: list[str], id_col: str, names: tuple[str, str]) -> DataFrame:
     first, rest = names
-    cuts = rank_cut(df.select(*narrow), order, [_share(pct)], groups)
+    cuts = rank_cut(df.select(*groups, id_col), order, [_share(pct)], groups)
     key = F.struct(*[F.col(f"cut{i}") for i in range(len(order.columns))]).alias("_cut")
     if groups:
-        # one row per group; Spark broadcasts it when its measured size allows
-        marked = df.join(cuts.select(*groups, key), groups, "left")
+        marked = bounded_lookup(df, cuts.select(*groups, key), groups, id_col)
     else:
         marked = df.withColumn("_cut", cuts.select(key).scalar())
     split = F.when(within_cut(order, F.col("_cut")), first).otherwise(rest)
@@ -41,12 +41,12 @@ def stratified_split(
     df: DataFrame, by: str = "api", pct: float = 0.10, seed: int = 42, id_col: str = "row_id"
 ) -> DataFrame:
     """Per value of ``by`` a seeded random share of the rows is ``test``, the rest ``train``."""
-    return _split(df, by_hash(seed, id_col), pct, [by], [by, id_col], ("test", "train"))
+    return _split(df, by_hash(seed, id_col), pct, [by], id_col, ("test", "train"))
 
 
 def random_split_exact(df: DataFrame, pct: float = 0.10, seed: int = 42, id_col: str = "row_id") -> DataFrame:
     """A seeded random share of exact size is ``test``, the rest ``train``."""
-    return _split(df, by_hash(seed, id_col), pct, [], [id_col], ("test", "train"))
+    return _split(df, by_hash(seed, id_col), pct, [], id_col, ("test", "train"))
 
 
 def prefix_split(
@@ -54,4 +54,4 @@ def prefix_split(
 ) -> DataFrame:
     """Per group the first share of rows, by id, is ``valid``, the rest ``train``."""
     groups = groups or []
-    return _split(df, by_id(id_col), pct, groups, [*groups, id_col], ("valid", "train"))
+    return _split(df, by_id(id_col), pct, groups, id_col, ("valid", "train"))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
-from corpusmill.operators.rows import NO_LABEL, salted_lookup
+from corpusmill.operators.lookup import salted_lookup
+from corpusmill.operators.rows import NO_LABEL
 
 
 def explode_usages(df: DataFrame) -> DataFrame:

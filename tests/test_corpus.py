@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import labels as L
+from corpusmill.operators import lookup as K
 from corpusmill.operators import rows as R
 from corpusmill.operators import usages as U
 from corpusmill.operators.dedup import dedup_first
@@ -89,11 +90,14 @@ def test_samples(spark):
 def test_lookups_with_hot_keys(spark):
     left = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
     right = left.groupBy("k").agg(F.count("*").alias("n")).filter("k % 5 <> 2").withColumn("v", F.col("k") * 10)
-    joined = R.spread_lookup(left, right, ["k"], "n", F.col("id"), hot_share=10)
+    joined = K.spread_lookup(left, right, ["k"], "n", F.col("id"), hot_share=10)
     assert joined.columns == ["id", "k", "v"] and joined.count() == 3000
     assert joined.filter("k % 5 <> 2 AND (v IS NULL OR v <> k * 10)").count() == 0
     assert joined.filter("k % 5 = 2 AND v IS NOT NULL").count() == 0
     listed = right.select("k", "v")
-    salted = R.salted_lookup(left, listed, ["k"], "id", only=F.col("id") < 1000)
+    salted = K.salted_lookup(left, listed, ["k"], "id", only=F.col("id") < 1000)
     assert salted.count() == 3000 and salted.filter("id >= 1000 AND v IS NOT NULL").count() == 0
     assert salted.filter("id < 1000 AND k % 5 <> 2 AND (v IS NULL OR v <> k * 10)").count() == 0
+    for most in (10, 100_000):
+        found = K.bounded_lookup(left, listed, ["k"], "id", max_rows=most)
+        assert found.count() == 3000 and found.filter("k % 5 <> 2 AND (v IS NULL OR v <> k * 10)").count() == 0
