@@ -128,4 +128,4 @@ def bleu(
             for i in range(len(w))
         ]
     p = smooth(nums, dens, method, hyp_len, fifth, **constants)
-    return F.when(nums[0] == 0, 0.0).otherwise(brevity_penalty(ref_len, hyp_len) * weighted_mean(p, w))
+    return F.when(F.coalesce(nums[0], F.lit(0)) == 0, 0.0).otherwise(brevity_penalty(ref_len, hyp_len) * weighted_mean(p, w))

@@ -27,16 +27,6 @@ OOD_LABELS = T.StructType(
     ]
 )
 
-USAGE = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("cls", T.StringType()),
-            T.StructField("call", T.StringType()),
-            T.StructField("idx", T.IntegerType()),
-        ]
-    )
-)
-
 MERGES = T.StructType(
     [
         T.StructField("rank", T.IntegerType()),

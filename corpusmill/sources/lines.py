@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import strip
+from corpusmill.session import cut_lineage
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -56,7 +57,8 @@ def write_line_pairs(df: DataFrame, folder: str, order: str = "sample_id") -> No
     """Write ``predictions`` and ``gt`` below ``folder``, one line per sample in sample order.
 
     The sort ranges over the part files, so their names in order give the samples in order.
+    Predictions may be costly or drawn at random, so they are computed once for both files.
     """
-    ordered = df.orderBy(order)
+    ordered = cut_lineage(df.select(order, "prediction", "ground_truth")).orderBy(order)
     ordered.select(F.col("prediction").alias("value")).write.mode("overwrite").text(f"{folder}/predictions")
     ordered.select(F.col("ground_truth").alias("value")).write.mode("overwrite").text(f"{folder}/gt")

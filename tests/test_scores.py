@@ -72,6 +72,10 @@ def test_edges(spark):
     assert B.corpus_bleu_smooth(rows.filter("pair_id = 0")).first()["bleu"] == 0.0
 
 
+def test_no_pairs_score_zero(spark):
+    assert B.corpus_bleu(frame(spark, (["a"], "a")).filter("pair_id > 9")).first()["bleu"] == 0.0
+
+
 def brute_recall(refs, hyp, keywords, n):
     """Clipped matches and totals of the references, summed over them."""
     grams = lambda t: Counter(tuple(t[i : i + n]) for i in range(len(t) - n + 1))
