@@ -109,7 +109,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
-def window_hashes(words: np.ndarray, first: np.ndarray, length: int, second: bool = False) -> np.ndarray:
+def window_hashes(words: np.ndarray, first: np.ndarray, length: int | np.ndarray, second: bool = False) -> np.ndarray:
     """Hash of ``words[i : i + length]`` for each i in ``first``; ``second`` gives an independent one."""
     if second:
         words = mixed(words ^ np.uint64(_SECOND_BASE))

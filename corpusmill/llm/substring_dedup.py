@@ -3,7 +3,7 @@
 ``COVER`` is a difference cover of ``PERIOD``: for any two positions i and j one shift below ``PERIOD`` brings both onto
 cover positions. Of each text only the short windows (anchors) at cover positions are hashed; two equal windows of
 ``length`` words therefore share an anchor at the same place inside them. Only windows around anchors that occur
-again are extended: they are hashed whole, with 128 bits, and counted.
+again are extended: they are hashed whole, with 96 bits, and counted. Of equal whole texts only the first is extended.
 
 A hash that occurs several times in one Arrow batch is known to be repeated at once and leaves the batch as one row,
 so a passage found in a third of all texts puts at most one row per batch on the partition of its hash.
@@ -17,11 +17,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from corpusmill.llm import hashing as H
 
 PERIOD = 21
 COVER = (0, 1, 4, 14, 16)
+SURE, SILENT, WHOLE = 1, 2, 4
+"""Of a hash: known to be repeated; not to be reported back; that of a whole text."""
+COPY = 0x2545F4914F6CDD1D
+_ROWS = "hash long, hash2 int, key long, value long, flags int"
 _BREAKS = H.white_space()
 
 
@@ -36,21 +41,28 @@ def remove_repeats(docs: DataFrame, length: int = 35) -> DataFrame:
     if length < PERIOD + 4:
         raise ValueError(f"length must be at least {PERIOD + 4}")
     H.bounded_batches(docs.sparkSession)
-    texts = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("key")).repartition("key")
-    anchors = texts.mapInArrow(_finder(length, _anchors), "hash long, hash2 long, key long, value long, sure boolean")
-    hits = _repeated(anchors, "hash").alias("anchors")
+    kind = docs.schema["doc_id"].dataType
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) if isinstance(kind, IntegralType) else F.xxhash64("doc_id")
+    texts = docs.select("doc_id", "text", key.alias("key")).repartition("key")
+    hits = _repeated(texts.mapInArrow(_finder(length, _anchors), _ROWS))
     candidates = texts.join(hits.hint("shuffle_hash"), "key").select("doc_id", "text", "key", "found")
-    windows = candidates.mapInArrow(_finder(length, _windows), "hash long, hash2 long, key long, value long, sure boolean")
-    repeats = _repeated(windows, "hash", "hash2")
+    repeats = _repeated(candidates.mapInArrow(_finder(length, _windows), _ROWS))
     marked = texts.join(repeats.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "found")
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return marked.mapInArrow(_remover(length), f"doc_id {id_type}, n_words long, n_removed long, kept string")
+    return marked.mapInArrow(_remover(length), f"doc_id {kind.simpleString()}, n_words long, n_removed long, kept string")
 
 
-def _repeated(rows: DataFrame, *hashes: str) -> DataFrame:
-    """``key, found``: for each text the hashes that occur more than once."""
-    times = F.count("*").over(Window.partitionBy(*hashes))
-    return rows.withColumn("times", times).filter("sure OR times > 1").groupBy("key").agg(F.collect_list("value").alias("found"))
+def _repeated(rows: DataFrame) -> DataFrame:
+    """``key, found``: for each text the hashes that occur more than once.
+
+    A text that is a copy as a whole gets its hash if it is the first of its copies, else the hash marked as copy.
+    """
+    same = Window.partitionBy("hash", "hash2")
+    rows = rows.withColumn("times", F.count("*").over(same)).withColumn("least", F.min("key").over(same))
+    flag = F.col("flags").bitwiseAND
+    copy = (flag(WHOLE) > 0) & (F.col("key") > F.col("least"))
+    found = F.coalesce("value", F.when(copy, F.col("hash").bitwiseXOR(F.lit(COPY))).otherwise(F.col("hash")))
+    back = rows.filter((flag(SILENT) == 0) & ((flag(SURE) > 0) | (F.col("times") > 1)))
+    return back.select("key", found.alias("found")).groupBy("key").agg(F.collect_list("found").alias("found"))
 
 
 def _prepared(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,6 +72,12 @@ def _prepared(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return H.word_hashes(data, starts, ends), first, np.repeat(np.arange(len(first) - 1), np.diff(first))
 
 
+def _whole(words: np.ndarray, first: np.ndarray, length: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The texts that have a window, and the hash of their whole word sequence."""
+    texts = np.flatnonzero(np.diff(first) >= length)
+    return texts, H.mixed(H.window_hashes(words, first[texts], np.diff(first)[texts], second))
+
+
 def _anchor_places(first: np.ndarray, text: np.ndarray, length: int) -> np.ndarray:
     """Cover positions at which an anchor fits into a text that has a window."""
     on = np.zeros(PERIOD, bool)
@@ -83,47 +101,78 @@ def _found(batch: pa.RecordBatch) -> np.ndarray:
     return np.unique(H.unsigned(column.flatten()))
 
 
-def _anchors(batch: pa.RecordBatch, length: int) -> tuple:
+def _anchors(batch: pa.RecordBatch, length: int) -> list[np.ndarray]:
+    """Hash, second hash, text, flags and value of all anchors and of all whole texts."""
     words, first, text = _prepared(batch)
     at = _anchor_places(first, text, length)
-    return (H.window_hashes(words, at, length - PERIOD + 1), None, text[at])
-
-
-def _windows(batch: pa.RecordBatch, length: int) -> tuple:
+    one = H.window_hashes(words, at, length - PERIOD + 1)
+    texts, whole = _whole(words, first, length)
+    second = _whole(words, first, length, second=True)[1] | np.uint64(1)
+    return [
+        np.concatenate([one, whole]),
+        np.concatenate([np.zeros(len(one), np.int32), second.astype(np.int32)]),
+        np.concatenate([text[at], texts]),
+        np.concatenate([np.zeros(len(one), np.int32), np.full(len(texts), WHOLE, np.int32)]),
+    ]
+
+
+def _windows(batch: pa.RecordBatch, length: int) -> list[np.ndarray]:
+    """The windows around repeated anchors; of copies of a whole text, those of the first only."""
     words, first, text = _prepared(batch)
+    found = _found(batch)
+    texts, whole = _whole(words, first, length)
+    role = np.zeros(len(first) - 1, np.int8)
+    role[texts[np.isin(whole ^ np.uint64(COPY), found)]] = 2
+    role[texts[np.isin(whole, found)]] = 1
     at = _anchor_places(first, text, length)
-    hit = at[np.isin(H.window_hashes(words, at, length - PERIOD + 1), _found(batch))]
+    hit = at[(role[text[at]] < 2) & np.isin(H.window_hashes(words, at, length - PERIOD + 1), found)]
     at = _around(hit, first, text, length)
-    return H.window_hashes(words, at, length), H.window_hashes(words, at, length, second=True), text[at]
+    return [
+        H.window_hashes(words, at, length),
+        H.window_hashes(words, at, length, second=True).astype(np.int32),
+        text[at],
+        (role[text[at]] == 1) * np.int32(SURE | SILENT),
+        texts[role[texts] > 0],
+        whole[role[texts] > 0],
+    ]
 
 
 def _finder(length: int, hashed):
-    """Rows ``hash, hash2, key, value, sure``: each hash of a batch once, and again for each further text it is in.
+    """Rows of ``_ROWS``: each hash of a batch once, and again for each further text it is in.
 
     The further rows are known to be repeats; they are dealt by their text, not by their hash.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two, text = hashed(batch, length)
-            key = H.unsigned(batch.column("key"))[text]
-            order = np.lexsort((text, one)) if two is None else np.lexsort((text, two, one))
-            one, key, text = one[order], key[order], text[order]
-            two = None if two is None else two[order]
+            one, two, text, flags, *copies = hashed(batch, length)
+            keys = H.unsigned(batch.column("key"))
+            order = np.lexsort((text, two, one))
+            one, two, text, flags = one[order], two[order], text[order], flags[order]
             new = np.ones(len(one), bool)
-            new[1:] = one[1:] != one[:-1] if two is None else (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-            run = np.cumsum(new) - 1
-            sure = np.bincount(run, minlength=len(run))[run] > 1 if len(run) else np.zeros(0, bool)
-            keep = new.copy()
-            keep[1:] |= text[1:] != text[:-1]
-            dealt = np.where(new, one, H.mixed(key + np.arange(len(one), dtype=np.uint64)))[keep]
-            other = (dealt if two is None else np.where(new, two, 0)[keep]) if two is not None else np.zeros(len(dealt), np.uint64)
-            columns = [H.signed(dealt), H.signed(other), H.signed(key[keep]), H.signed(one[keep]), sure[keep]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["hash", "hash2", "key", "value", "sure"])
+            new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+            run, begin = np.cumsum(new) - 1, np.flatnonzero(new)
+            if len(one):
+                many = np.diff(np.append(begin, len(one))) > 1
+                flags = flags | (many | (np.bitwise_or.reduceat(flags, begin) & SURE > 0)).astype(np.int32)[run] * np.int32(SURE)
+            further = ~new & ((flags & SILENT) == 0)
+            further[1:] &= text[1:] != text[:-1]
+            value = np.where(flags & WHOLE > 0, one ^ np.uint64(COPY), one)
+            parts = [(one[new], two[new], keys[text[new]], flags[new], None), _dealt(keys[text[further]], value[further])]
+            if copies:
+                parts.append(_dealt(keys[copies[0]], copies[1]))
+            for hash1, hash2, key, flag, back in parts:
+                columns = [pa.array(H.signed(hash1)), pa.array(hash2), pa.array(H.signed(key)), pa.nulls(len(key), pa.int64()) if back is None else pa.array(H.signed(back)), pa.array(flag)]
+                yield pa.RecordBatch.from_arrays(columns, ["hash", "hash2", "key", "value", "flags"])
 
     return find
 
 
+def _dealt(key: np.ndarray, value: np.ndarray) -> tuple:
+    """Rows that only carry a value back to its text."""
+    return H.mixed(key ^ H.mixed(value)), np.full(len(key), -1, np.int32), key, np.full(len(key), SURE, np.int32), value
+
+
 def _remover(length: int):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,7 +181,10 @@ def _remover(length: int):
             again = np.zeros(len(words) + 1, np.int64)
             found = _found(batch)
             if len(found) and len(inside):
-                at = inside[np.isin(H.window_hashes(words, inside, length), found)]
+                texts, whole = _whole(words, first, length)
+                copy = np.zeros(len(first), bool)
+                copy[texts[np.isin(whole, found)]] = True
+                at = inside[copy[text[inside]] | np.isin(H.window_hashes(words, inside, length), found)]
                 np.add.at(again, at, 1)
                 np.add.at(again, at + length, -1)
             gone = np.cumsum(again)[:-1] > 0
