@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.llm.decontaminate import contamination
 from corpusmill.llm.minhash import near_duplicates
 from corpusmill.llm.substring_dedup import remove_repeats
 
@@ -67,3 +68,26 @@ FROM reach JOIN n USING (doc_id) GROUP BY doc_id
 @query("op2_minhash", NEAR)
 def minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85, words=5)
+
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SHARED = f"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex({LOWER}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS ws FROM documents),
+b AS (SELECT item_id, list_filter(string_split_regex({LOWER}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS ws FROM benchmark),
+i AS (SELECT DISTINCT item_id, least(10, len(ws)) AS size, unnest(list_transform(range(1, len(ws) - least(10, len(ws)) + 2), lambda p: array_to_string(ws[p:p + least(10, len(ws)) - 1], ' '))) AS t
+      FROM b WHERE len(ws) > 0),
+w AS (SELECT doc_id, size, unnest(range(1, len(ws) - size + 2)) AS p, ws FROM d, (SELECT DISTINCT size FROM i) WHERE len(ws) >= size),
+hit AS (SELECT doc_id, p, w.size AS size, item_id FROM w JOIN i ON i.size = w.size AND i.t = array_to_string(ws[p:p + w.size - 1], ' ')),
+n AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, p + unnest(range(0, size)) AS q FROM hit) GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+
+@query("op3_decontamination", SHARED)
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
