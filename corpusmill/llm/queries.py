@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.decontaminate import contamination
+from corpusmill.llm import pii
 from corpusmill.llm.minhash import near_duplicates
 from corpusmill.llm.substring_dedup import remove_repeats
 
@@ -91,3 +92,53 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def _kind_sql(kind: str, order: int, pattern: str, check: str) -> str:
+    """Matches of one kind with their offsets, from the pieces between them; ``check`` is a condition on match ``m``."""
+    return f"""
+SELECT doc_id, {order} AS k, '{kind}' AS kind, start, start + length(m) AS stop, m FROM (
+  SELECT doc_id, m, list_sum(list_transform(ps[1:i], lambda x: length(x))) + list_sum(list_transform(list_prepend('', ms[1:i - 1]), lambda x: length(x))) AS start
+  FROM (SELECT doc_id, ms, ps, unnest(ms) AS m, unnest(range(1, len(ms) + 1)) AS i
+        FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS ps FROM t)))
+WHERE {check}"""
+
+
+def _spans_sql(kinds: list[tuple[str, str, str]], counts: str) -> str:
+    """Counts and the digest of the base spans; the list of all spans is left out."""
+    union = " UNION ALL ".join(_kind_sql(k, i, p, c) for i, (k, p, c) in enumerate(kinds))
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ({union}),
+g AS (SELECT doc_id, string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, k) AS spans, {counts} FROM s GROUP BY doc_id)
+SELECT doc_id, {{columns}}, sha256(coalesce(spans, '')) AS base_sha256 FROM t LEFT JOIN g USING (doc_id)
+"""
+
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"""length({_DIGITS}) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i:
+  CASE WHEN (length({_DIGITS}) - i) % 2 = 0 THEN CAST({_DIGITS}[i] AS INT)
+       ELSE 2 * CAST({_DIGITS}[i] AS INT) - CASE WHEN CAST({_DIGITS}[i] AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"""
+PERSONAL = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(m, '.'), lambda p: CAST(p AS HUGEINT) > 255)) = 0"),
+    ("card", r"[0-9]([\x20-]?[0-9])+", _LUHN),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 10 AND 15"),
+]
+_COUNTS = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k, _, _ in PERSONAL)
+_COLUMNS = ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k, _, _ in PERSONAL)
+
+
+@query("op4_pii")
+def personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
+    base = F.filter("pii", lambda x: x["order"] < len(pii.BASE))
+    counts = [_times("pii", kind) for kind in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.span_list(base), 256).alias("base_sha256"), pii.span_list(F.col("pii")).alias("spans"))
+
+
+def _times(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+CHECKS = {"op4_pii": _spans_sql(PERSONAL, _COUNTS).format(columns=_COLUMNS)}
+"""SQL for those columns of a query that SQL can give; tests compare with it."""
