@@ -49,6 +49,11 @@ def column_bytes(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> tup
     return _LOWER[data] if lower else data, offsets - offsets[0]
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z in lower case."""
+    return _LOWER[data]
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte positions where the words begin and end, and the number of words before each text (and after the last)."""
     inside = ~breaks[data]

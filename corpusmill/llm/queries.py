@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.decontaminate import contamination
-from corpusmill.llm import pii
+from corpusmill.llm import pii, secrets
 from corpusmill.llm.minhash import near_duplicates
 from corpusmill.llm.substring_dedup import remove_repeats
 
@@ -140,5 +140,22 @@ def _times(spans: str, kind: str) -> Column:
     return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
-CHECKS = {"op4_pii": _spans_sql(PERSONAL, _COUNTS).format(columns=_COLUMNS)}
+SECRETS = [
+    ("assign", r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+""", r"""length(regexp_extract(m, '[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 6"""),
+    ("access", "AKIA[A-Z0-9]+", "length(m) >= 20"),
+    ("hex", "[0-9a-f]+", "length(m) >= 24"),
+]
+_SECRET_COUNTS = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k, _, _ in SECRETS)
+_SECRET_COLUMNS = ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k, _, _ in SECRETS)
+
+
+@query("op5_secrets")
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets")
+    base = F.filter("secrets", lambda x: x["kind"].isin(*secrets.BASE))
+    counts = [_times("secrets", kind) for kind in secrets.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.span_list(base), 256).alias("base_sha256"), pii.span_list(F.col("secrets")).alias("spans"))
+
+
+CHECKS = {"op5_secrets": _spans_sql(SECRETS, _SECRET_COUNTS).format(columns=_SECRET_COLUMNS), "op4_pii": _spans_sql(PERSONAL, _COUNTS).format(columns=_COLUMNS)}
 """SQL for those columns of a query that SQL can give; tests compare with it."""
