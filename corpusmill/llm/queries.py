@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.decontaminate import contamination
 from corpusmill.llm import pii, secrets
 from corpusmill.llm.minhash import near_duplicates
+from corpusmill.llm.quality import fit_quality, held_out, score_quality
 from corpusmill.llm.substring_dedup import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,5 +158,16 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.span_list(base), 256).alias("base_sha256"), pii.span_list(F.col("secrets")).alias("spans"))
 
 
+GOOD = 0.7
+"""Documents that score less are rejected."""
+
+
+@query("op6_quality")
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 CHECKS = {"op5_secrets": _spans_sql(SECRETS, _SECRET_COUNTS).format(columns=_SECRET_COLUMNS), "op4_pii": _spans_sql(PERSONAL, _COUNTS).format(columns=_COLUMNS)}
 """SQL for those columns of a query that SQL can give; tests compare with it."""
