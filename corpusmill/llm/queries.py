@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.llm.ann import nearest
 from corpusmill.llm.decontaminate import contamination
 from corpusmill.llm import pii, secrets
 from corpusmill.llm.minhash import near_duplicates
@@ -169,5 +170,10 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
+@query("op7_ann")
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 CHECKS = {"op5_secrets": _spans_sql(SECRETS, _SECRET_COUNTS).format(columns=_SECRET_COLUMNS), "op4_pii": _spans_sql(PERSONAL, _COUNTS).format(columns=_COLUMNS)}
 """SQL for those columns of a query that SQL can give; tests compare with it."""
