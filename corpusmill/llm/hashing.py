@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 
 SEGMENT = 1 << 20
 """Bytes hashed at a time; a single word may not be longer, else it is hashed by itself."""
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 6 << 20
 """Arrow batches end at this size, so that memory does not follow the length of the texts."""
 
 _BYTE_VALUES = np.random.default_rng(20).integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
