@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.ann import nearest
 from corpusmill.llm.decontaminate import contamination
-from corpusmill.llm import pii, secrets
+from corpusmill.llm import pii, secrets, warc
 from corpusmill.llm.minhash import near_duplicates
 from corpusmill.llm.quality import fit_quality, held_out, score_quality
 from corpusmill.llm.substring_dedup import remove_repeats
@@ -175,5 +175,24 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def _header(name: str, alias: str) -> Column:
+    return F.get(F.filter("headers", lambda h: h["name"] == name), 0)["value"].alias(alias)
+
+
+@query("op8_warc")
+def warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.derived_records(warc.response_records(table(spark, sf_dir, "pages")))
+    return records.select(
+        _header("WARC-Type", "warc_type"),
+        _header("WARC-Record-ID", "record_id"),
+        _header("WARC-Refers-To", "refers_to"),
+        _header("WARC-Target-URI", "target_uri"),
+        _header("WARC-Source-Payload-Digest", "source_payload_digest"),
+        _header("WARC-Block-Digest", "block_digest"),
+        F.octet_length("content").cast("long").alias("content_length"),
+        F.sha2("content", 256).alias("content_sha256"),
+    )
+
+
 CHECKS = {"op5_secrets": _spans_sql(SECRETS, _SECRET_COUNTS).format(columns=_SECRET_COLUMNS), "op4_pii": _spans_sql(PERSONAL, _COUNTS).format(columns=_COLUMNS)}
 """SQL for those columns of a query that SQL can give; tests compare with it."""
