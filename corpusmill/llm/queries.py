@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.ann import nearest
 from corpusmill.llm.decontaminate import contamination
-from corpusmill.llm import pii, secrets, warc
+from corpusmill.llm import pii, secrets, sentencepiece, warc
 from corpusmill.llm.minhash import near_duplicates
 from corpusmill.llm.quality import fit_quality, held_out, score_quality
 from corpusmill.llm.substring_dedup import remove_repeats
@@ -194,5 +194,14 @@ def warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query("op9_sentencepiece")
+def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sentencepiece.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), SENTENCEPIECE_MODEL)
+    return out.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.sha2(F.array_join("tokens", ","), 256).alias("tokens_sha256"), "same")
+
+
 CHECKS = {"op5_secrets": _spans_sql(SECRETS, _SECRET_COUNTS).format(columns=_SECRET_COLUMNS), "op4_pii": _spans_sql(PERSONAL, _COUNTS).format(columns=_COLUMNS)}
 """SQL for those columns of a query that SQL can give; tests compare with it."""
