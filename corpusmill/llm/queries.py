@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.ann import nearest
 from corpusmill.llm.decontaminate import contamination
 from corpusmill.llm import pii, secrets, sentencepiece, warc
+from corpusmill.llm.html_text import main_text
 from corpusmill.llm.minhash import near_duplicates
 from corpusmill.llm.quality import fit_quality, held_out, score_quality
 from corpusmill.llm.substring_dedup import remove_repeats
@@ -203,5 +204,10 @@ def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.sha2(F.array_join("tokens", ","), 256).alias("tokens_sha256"), "same")
 
 
+@query("op10_html_text")
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 CHECKS = {"op5_secrets": _spans_sql(SECRETS, _SECRET_COUNTS).format(columns=_SECRET_COLUMNS), "op4_pii": _spans_sql(PERSONAL, _COUNTS).format(columns=_COLUMNS)}
 """SQL for those columns of a query that SQL can give; tests compare with it."""
