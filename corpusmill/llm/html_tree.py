@@ -118,7 +118,7 @@ def blocks_of(page: str) -> list[Block]:
         if tag is None:
             continue
         tag = tag.lower()
-        if tag in BLOCK:
+        if tag in BLOCK and not (m["end"] and tag != "p" and not open_tags.get(tag)):
             number += 1
         if m["end"]:
             if open_tags.get(tag):
