@@ -18,9 +18,6 @@ RARE_BREAK = "[\\r\\x0B\\f\\x1C\\x1D\\x1E\\u0085\\u2028\\u2029]"
 GENERATED_MARKS = ["auto-generated", "autogenerated", "automatically generated"]
 STOP_STRINGS = ["\n//", "\n@", "\nif", ");", ") {", "\n{", ")\n", ")."]
 
-# Fixed value: the farthest a closing parenthesis is looked for.
-MAX_SCAN = 10001
-
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -57,6 +54,8 @@ def is_autogenerated(c: Column | str, scan_width: int = 5) -> Column:
 
 def strip_comments(c: Column | str) -> Column:
     """Replace C-style comments by a space, keep quoted literals, drop blank lines."""
+    # extraction, not replacement: what stands between comments and literals is a piece as well,
+    # and a line comment ends at a newline only, as it does in Java source
     pieces = F.regexp_extract_all(
         _col(c),
         F.lit(r"""(?s)//[^\n]*|/\*.*?\*/|'(?:\\.|[^\\'])*+'|"(?:\\.|[^\\"])*+"|[^/'"]+|."""),
@@ -135,12 +134,12 @@ def usage_start(code: Column | str, idx: Column | str, cls: Column | str, call:
     return F.struct(F.when(is_receiver, at).otherwise(idx).alias("start"), (idx + F.length(call)).alias("end"))
 
 
-def balanced_end(code: Column | str, end: Column | str) -> Column:
+def balanced_end(code: Column | str, end: Column | str, max_scan: int | None = None) -> Column:
     """Offset behind the parenthesis that closes the argument list opened at ``end``; null if unbalanced.
 
     Where no parenthesis stands at ``end`` the span grows by one. The text is cut before each
-    parenthesis, so the fold takes one step per parenthesis. Nearly all calls close within
-    the short window; the long one is only evaluated for the rest.
+    parenthesis, so the fold takes one step per parenthesis. ``max_scan`` limits how far the
+    closing one is looked for; by default that is the end of the text.
     """
     code, end = _col(code), _col(end)
 
@@ -152,13 +151,13 @@ def balanced_end(code: Column | str, end: Column | str) -> Column:
         moved = state(depth, acc["n"] + F.when(depth == 0, 1).otherwise(F.length(piece)), depth == 0)
         return F.when(acc["done"], acc).otherwise(moved)
 
-    def scan(width: int) -> Column:
-        pieces = F.split(F.substring(code, end + 1, F.lit(width)), "(?=[()])", -1)
-        start = state(F.lit(0), F.lit(0), F.lit(False))
-        return F.aggregate(pieces, start, step, lambda acc: F.when(acc["done"], end + acc["n"]))
-
+    width = F.length(code) if max_scan is None else F.lit(max_scan)
+    pieces = F.split(F.substring(code, end + 1, width), "(?=[()])", -1)
+    closed = F.aggregate(
+        pieces, state(F.lit(0), F.lit(0), F.lit(False)), step, lambda acc: F.when(acc["done"], end + acc["n"])
+    )
     first = F.substring(code, end + 1, F.lit(1))
-    return F.when(~first.isin("(", ")"), end + 1).otherwise(F.coalesce(scan(256), scan(MAX_SCAN)))
+    return F.when(~first.isin("(", ")"), end + 1).otherwise(closed)
 
 
 # --- predictions --------------------------------------------------------------------------

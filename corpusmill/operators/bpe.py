@@ -104,7 +104,7 @@ def sure_merges(top: list[tuple[str, str, int]], known: set[str], complete: bool
 def train_bpe(
     df: DataFrame,
     vocab_size: int = 32_768,
-    n_rows: int | None = 200_000,
+    n_rows: int | None = None,
     text: str = "source_code",
     id_col: str = "row_id",
     min_count: int = 1,
@@ -112,6 +112,8 @@ def train_bpe(
 ) -> Bpe:
     """Merge the most frequent pair until the vocabulary is full; ties by symbol text.
 
+    All rows are counted; ``n_rows`` limits that to the first rows by id.
+
     One job per round counts pairs over the distinct words; its top candidates, a bounded
     number, reach the driver, which takes as many merges from them as are sure.
     """

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.operators.blocks import assign_batches
-from corpusmill.operators.lookup import bounded_lookup
+from corpusmill.operators.lookup import lookup
 from corpusmill.operators.position import by_hash, dense_position, rank_cut, seed_key, within_cut
 from corpusmill.session import cut_lineage
 
@@ -81,7 +81,7 @@ def episodic_memory(df: DataFrame, n: int = 250, seed: int = 42, id_col: str = "
     order = by_hash(seed, id_col)
     cuts = rank_cut(df.select("exp_id", id_col), order, [lambda total: F.lit(n)], ["exp_id"])
     cuts = cuts.select("exp_id", F.struct("cut0", "cut1").alias("_cut"))
-    marked = bounded_lookup(df, cuts, ["exp_id"], id_col)
+    marked = lookup(df, cuts, ["exp_id"])
     return marked.filter(within_cut(order, F.col("_cut"))).select(*df.columns)
 
 

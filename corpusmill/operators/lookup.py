@@ -6,36 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def bounded_lookup(
-    left: DataFrame, right: DataFrame, keys: list[str], spread: str, max_rows: int = 20_000
-) -> DataFrame:
-    """Left join that leaves the left rows where they are if the list is short.
-
-    At most ``max_rows + 1`` list rows are fetched to find out. A list that fits is broadcast;
-    a longer one is joined by :func:`salted_lookup`.
-    """
-    rows = right.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return salted_lookup(left, right, keys, spread)
-    short = left.sparkSession.createDataFrame(rows, right.schema)
-    return left.join(F.broadcast(short), keys, "left")
-
-
-def salted_lookup(
-    left: DataFrame, right: DataFrame, keys: list[str], spread: str, only: Column | None = None, salts: int = 16
-) -> DataFrame:
-    """Left join with a list that is unique on ``keys`` and much smaller than ``left``.
+def lookup(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join with a list that is unique on ``keys``, by one plan for lists of any length.
 
-    Each list row is repeated once per salt, so the left rows of a hot key meet it in
-    ``salts`` places. Rows outside ``only`` are not looked up: they take salts of their own,
-    which match nothing and spread evenly. One pass over ``left``; Spark broadcasts the list
-    instead when its measured size allows.
+    Spark broadcasts the list when its measured size allows; in a shuffled join AQE splits the
+    left rows of a hot key, each part meeting the list's one row.
     """
-    only = F.lit(True) if only is None else only
-    hashed = F.xxhash64(spread)
-    salt = F.when(only, F.pmod(hashed, F.lit(salts))).otherwise(-1 - F.pmod(hashed, F.lit(1 << 20)))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-    return left.withColumn("_salt", salt).join(copies, [*keys, "_salt"], "left").drop("_salt")
+    return left.join(right, keys, "left")
 
 
 def spread_lookup(

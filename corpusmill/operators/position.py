@@ -15,9 +15,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.operators.lookup import bounded_lookup
+from corpusmill.operators.lookup import lookup
 
-BITS = 21
+BITS = 14
 
 
 @dataclass(frozen=True)
@@ -29,9 +29,13 @@ class Order:
 
 
 def by_id(column: str = "row_id", bits: int = BITS) -> Order:
-    """Order by a unique integer. Two bucket levels bound every scan to ``2**bits`` rows."""
+    """Order by a unique integer.
+
+    Three bucket levels bound every scan to ``2**bits`` rows up to ids of ``2**(4 * bits)``, and
+    a dense table of ids has one bucket for so many rows: its tasks grow with it.
+    """
     c = F.col(column).cast("long")
-    return Order((c,), (F.shiftright(c, 2 * bits), F.shiftright(c, bits)))
+    return Order((c,), tuple(F.shiftright(c, level * bits) for level in (3, 2, 1)))
 
 
 def seed_key(seed: int, column: str = "row_id") -> Column:
@@ -39,10 +43,10 @@ def seed_key(seed: int, column: str = "row_id") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(column).cast("string")))
 
 
-def by_hash(seed: int, column: str = "row_id", digits: int = 3) -> Order:
-    """Seeded random order. The leading hex digits are even buckets by construction."""
+def by_hash(seed: int, column: str = "row_id", digits: tuple[int, ...] = (2, 5)) -> Order:
+    """Seeded random order. The leading hex digits are even buckets by construction: up to a million of them."""
     key = seed_key(seed, column)
-    return Order((key, F.col(column).cast("long")), (F.substring(key, 1, digits),))
+    return Order((key, F.col(column).cast("long")), tuple(F.substring(key, 1, n) for n in digits))
 
 
 def seeded_shuffle(df: DataFrame, seed: int, column: str = "row_id") -> DataFrame:
@@ -125,7 +129,7 @@ def rank_cut(
     keys = [c.alias(f"cut{i}") for i, c in enumerate(order.columns)]
     window = Window.partitionBy(*groups, *names).orderBy(*[F.col(f"cut{i}") for i in range(len(keys))])
     # one bucket per group and rank: all other rows are dropped before the shuffle
-    found = bounded_lookup(rows.select(*groups, *names, *keys), target, [*groups, *names], "cut0")
+    found = lookup(rows.select(*groups, *names, *keys), target, [*groups, *names])
     ranked = (
         found.filter(F.col("_wanted").isNotNull())
         .withColumn("_rn", F.row_number().over(window))
@@ -162,7 +166,7 @@ def running_max(value: Column, before: bool = False) -> Running:
     return Running(value, F.max, lambda a, b: F.greatest(a, b), before)
 
 
-def running(df: DataFrame, groups: list[str], order: str, outs: dict[str, Running], bits: int = 20) -> DataFrame:
+def running(df: DataFrame, groups: list[str], order: str, outs: dict[str, Running], bits: int = 16) -> DataFrame:
     """Add running aggregates along ``order``. Rows with equal keys see the same value."""
     rows = df.withColumn("_bucket", F.shiftright(F.col(order).cast("long"), bits)).withColumns(
         {f"_value_{name}": r.value for name, r in outs.items()}

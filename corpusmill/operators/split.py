@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.operators.lookup import bounded_lookup
+from corpusmill.operators.lookup import lookup
 from corpusmill.operators.position import Order, by_hash, by_id, rank_cut, within_cut
 
 
@@ -30,7 +30,7 @@ def _split(df: DataFrame, order: Order, pct: float, groups: list[str], id_col: s
     cuts = rank_cut(df.select(*groups, id_col), order, [_share(pct)], groups)
     key = F.struct(*[F.col(f"cut{i}") for i in range(len(order.columns))]).alias("_cut")
     if groups:
-        marked = bounded_lookup(df, cuts.select(*groups, key), groups, id_col)
+        marked = lookup(df, cuts.select(*groups, key), groups)
     else:
         marked = df.withColumn("_cut", cuts.select(key).scalar())
     split = F.when(within_cut(order, F.col("_cut")), first).otherwise(rest)

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
-from corpusmill.operators.lookup import salted_lookup
 from corpusmill.operators.rows import NO_LABEL
 
 
@@ -41,16 +40,32 @@ def usage_is_valid(with_unlabelled: bool = True) -> Column:
     return (F.col("call") != "<init>") & right_class & (F.col("idx") >= 0) & at_index
 
 
+def _listed(usages: DataFrame, catalog: DataFrame, id_col: str) -> DataFrame:
+    """``(id_col, _listed)``: the numbers of the unlabelled usages of a row that the catalogue lists.
+
+    Only ids, numbers and names move. A name in very many usages is a hot key of the join,
+    whose left side AQE splits.
+    """
+    asked = usages.filter(F.col("api") == NO_LABEL).select(id_col, "usage_no", "fqn")
+    known = asked.join(catalog.select("fqn").distinct(), "fqn", "left_semi")
+    return known.groupBy(id_col).agg(F.collect_list("usage_no").alias("_listed"))
+
+
 def in_catalog(usages: DataFrame, catalog: DataFrame, id_col: str = "row_id") -> DataFrame:
     """Drop usages of unlabelled rows whose ``Class.call`` the catalogue does not list."""
-    listed = catalog.select("fqn").distinct().withColumn("_listed", F.lit(True))
-    known = salted_lookup(usages, listed, ["fqn"], id_col, only=F.col("api") == NO_LABEL)
-    return known.filter((F.col("api") != NO_LABEL) | F.col("_listed")).drop("_listed")
+    marked = usages.join(_listed(usages, catalog, id_col), id_col, "left")
+    listed = F.coalesce(F.array_contains("_listed", F.col("usage_no")), F.lit(False))
+    return marked.filter((F.col("api") != NO_LABEL) | listed).select(*usages.columns)
 
 
 def _valid_usages(df: DataFrame, catalog: DataFrame | None) -> DataFrame:
-    valid = explode_usages(df).filter(usage_is_valid())
-    return valid if catalog is None else in_catalog(valid, catalog)
+    """Valid usages with their method's columns; a text is moved once, before its usages are unfolded."""
+    if catalog is None:
+        return explode_usages(df).filter(usage_is_valid())
+    asked = explode_usages(df.filter(F.col("api") == NO_LABEL)).filter(usage_is_valid())
+    marked = explode_usages(df.join(_listed(asked, catalog, "row_id"), "row_id", "left")).filter(usage_is_valid())
+    listed = F.coalesce(F.array_contains("_listed", F.col("usage_no")), F.lit(False))
+    return marked.filter((F.col("api") != NO_LABEL) | listed).drop("_listed")
 
 
 def call_samples(df: DataFrame, catalog: DataFrame | None = None) -> DataFrame:

@@ -53,12 +53,12 @@ def _(spark, folder):
 
 @register(
     "read_corpus",
-    "SELECT source AS domain, count(*) AS n_rows, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents WHERE n_chars > 500 GROUP BY source",
+    "SELECT source AS domain, count(*) AS n_rows, CAST(sum(length(text)) AS BIGINT) AS n_chars, min(md5(text)) AS least_md5 FROM documents GROUP BY source",
 )
 def _(spark, folder):
-    docs = read_corpus(spark, f"{folder}/documents.parquet").filter("n_chars > 500")
+    docs = read_corpus(spark, f"{folder}/documents.parquet")
     return docs.groupBy(F.col("source").alias("domain")).agg(
-        F.count("*").alias("n_rows"), F.sum("n_chars").alias("n_chars")
+        F.count("*").alias("n_rows"), F.sum(F.length("text")).alias("n_chars"), F.min(F.md5("text")).alias("least_md5")
     )
 
 
@@ -120,10 +120,10 @@ def _(spark, folder):
 
 @register(
     "tag_experience",
-    f"SELECT row_id, CAST(CASE domain WHEN 'web' THEN 0 WHEN 'general' THEN 1 END AS BIGINT) AS exp_id FROM {M} WHERE domain IN ('web', 'general')",
+    f"SELECT row_id, CAST(CASE domain WHEN 'web' THEN 0 WHEN 'general' THEN 1 WHEN 'guava' THEN 2 WHEN 'android' THEN 3 WHEN 'security' THEN 4 END AS BIGINT) AS exp_id FROM {M} WHERE domain <> 'NaN'",
 )
 def _(spark, folder):
-    tagged = R.tag_experience(methods(spark, folder), ["web", "general"])
+    tagged = R.tag_experience(methods(spark, folder), ["web", "general", "guava", "android", "security"])
     return tagged.select("row_id", F.col("exp_id").cast("long").alias("exp_id"))
 
 
@@ -232,11 +232,11 @@ def _(spark, folder):
     return L.select_id(methods(spark, folder), ood_labels(spark, folder)).select("row_id", "source_code")
 
 
-@register("concat_sets", f"SELECT row_id, domain FROM {M} WHERE domain = 'web' UNION ALL SELECT row_id, domain FROM {M} WHERE domain = 'guava' UNION ALL SELECT row_id, domain FROM {M} WHERE domain = 'web'")
+@register("concat_sets", f"SELECT row_id, domain FROM {M} UNION ALL SELECT row_id, domain FROM {M} WHERE domain = 'web'")
 def _(spark, folder):
     rows = methods(spark, folder).select("row_id", "domain")
-    web, guava = R.filter_domain(rows, "web"), R.filter_domain(rows, "guava")
-    return R.concat_sets(web, guava, web)
+    parts = [R.filter_domain(rows, d) for d in ("general", "security", "android", "web", "guava", "NaN")]
+    return R.concat_sets(*parts, parts[3])
 
 
 # --- order and splits ---------------------------------------------------------------------

@@ -43,7 +43,7 @@ CLOSED = f"""
 SELECT * FROM (
   SELECT *, list_position(list_transform(range(1, length(rest) + 1), lambda i:
       length(replace(substr(rest, 1, i), '(', '')) - length(replace(substr(rest, 1, i), ')', ''))), 0) AS n_close
-  FROM (SELECT *, substr(source_code, call_end + 1, 10001) AS rest FROM ({LOCATED}))) WHERE n_close IS NOT NULL"""
+  FROM (SELECT *, substr(source_code, call_end + 1) AS rest FROM ({LOCATED}))) WHERE n_close IS NOT NULL"""
 
 
 @register("parse_api_seq", f"SELECT row_id, usage_no, cls, call, CAST(idx AS BIGINT) AS idx FROM ({USAGES})")
@@ -78,10 +78,10 @@ def _(spark, folder):
 
 @register(
     "balanced_end",
-    r"""SELECT pair_id, CAST(CASE WHEN length(t) = 1 THEN 1 ELSE list_position(list_transform(range(2, least(length(t), 10002) + 1), lambda i:
+    r"""SELECT pair_id, CAST(CASE WHEN length(t) = 1 THEN 1 ELSE list_position(list_transform(range(2, length(t) + 1), lambda i:
             length(replace(substr(t, 2, i - 1), '(', '')) - length(replace(substr(t, 2, i - 1), ')', ''))), 0) + 1 END AS BIGINT) AS end_at
         FROM (SELECT pair_id, concat('f(', replace(replace(ref, '.', ')'), ',', '('), ')') AS t FROM """ + P + r""") WHERE
-        list_position(list_transform(range(2, least(length(t), 10002) + 1), lambda i:
+        list_position(list_transform(range(2, length(t) + 1), lambda i:
             length(replace(substr(t, 2, i - 1), '(', '')) - length(replace(substr(t, 2, i - 1), ')', ''))), 0) IS NOT NULL""",
 )
 def _(spark, folder):

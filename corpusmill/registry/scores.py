@@ -338,12 +338,12 @@ def _(spark, folder):
     return B.weighted_bleu(rows, keys).select(r6("bleu").alias("bleu"), r6(by_tokens).alias("bleu_tokens"))
 
 
-@register("safe_exp", "SELECT event_id, round(exp(value / 10), 6) AS small, exp(value * 1000) = 'inf'::DOUBLE AS overflow FROM (SELECT event_id, least(value, 100) AS value FROM events)")
+@register("safe_exp", "SELECT event_id, round(exp(value / 50), 6) AS small, exp(value * 1000) = 'inf'::DOUBLE AS overflow FROM events")
 def _(spark, folder):
     from corpusmill.registry.base import table
 
-    events = table(spark, folder, "events").select("event_id", F.least("value", F.lit(100.0)).alias("value"))
-    return events.select("event_id", r6(SC.safe_exp(F.col("value") / 10)).alias("small"), (SC.safe_exp(F.col("value") * 1000) == float("inf")).alias("overflow"))
+    events = table(spark, folder, "events")
+    return events.select("event_id", r6(SC.safe_exp(F.col("value") / 50)).alias("small"), (SC.safe_exp(F.col("value") * 1000) == float("inf")).alias("overflow"))
 
 
 @register(

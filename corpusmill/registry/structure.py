@@ -38,9 +38,10 @@ def _(spark, folder):
     return T.subtrees(nodes(spark, folder)).withColumn("depth", F.col("depth").cast("long"))
 
 
-@register("subtree_matches", f"WITH {SUBTREES}, {MATCHED} SELECT pair_id, matched, total FROM tm")
+@register("subtree_matches", f"""WITH {SUBTREES}, {MATCHED} SELECT pair_id, coalesce(matched, 0) AS matched, coalesce(total, 0) AS total
+FROM (SELECT DISTINCT pair_id FROM sub) LEFT JOIN tm USING (pair_id)""")
 def _(spark, folder):
-    return T.subtree_matches(T.subtrees(nodes(spark, folder))).filter("total > 0")
+    return T.subtree_matches(T.subtrees(nodes(spark, folder)))
 
 
 @register("syntax_match", f"WITH {SUBTREES}, {MATCHED} SELECT round(sum(matched) / sum(total), 6) AS score FROM tm")

@@ -18,6 +18,8 @@ SETTINGS = {
     # min/max/count of ids come from parquet footers
     "spark.sql.parquet.aggregatePushdown.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # the state of streams may outgrow the memory
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -30,6 +32,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         # small inputs, heavy expressions: do not merge partitions below this
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
+        # small files, heavy expressions: more, smaller splits
+        .config("spark.sql.files.maxPartitionBytes", "4MB")
+        .config("spark.sql.files.openCostInBytes", "64KB")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .getOrCreate()
@@ -41,7 +46,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if folder is None:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")

@@ -16,15 +16,6 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Deal out a table that has fewer splits than there are cores; leave a larger one as it is.
-
-    For work bound by computation on inputs of one or a few files.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def write_corpus(df: DataFrame, path: str, max_records: int = 1_000_000, partition_by: list[str] | None = None) -> None:
     """Write Parquet shards of at most ``max_records`` rows."""
     writer = df.write.mode("overwrite").option("maxRecordsPerFile", max_records)

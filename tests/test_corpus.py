@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmill.functions import text as X
 from corpusmill.operators import labels as L
 from corpusmill.operators import lookup as K
 from corpusmill.operators import rows as R
@@ -95,9 +96,27 @@ def test_lookups_with_hot_keys(spark):
     assert joined.filter("k % 5 <> 2 AND (v IS NULL OR v <> k * 10)").count() == 0
     assert joined.filter("k % 5 = 2 AND v IS NOT NULL").count() == 0
     listed = right.select("k", "v")
-    salted = K.salted_lookup(left, listed, ["k"], "id", only=F.col("id") < 1000)
-    assert salted.count() == 3000 and salted.filter("id >= 1000 AND v IS NOT NULL").count() == 0
-    assert salted.filter("id < 1000 AND k % 5 <> 2 AND (v IS NULL OR v <> k * 10)").count() == 0
-    for most in (10, 100_000):
-        found = K.bounded_lookup(left, listed, ["k"], "id", max_rows=most)
-        assert found.count() == 3000 and found.filter("k % 5 <> 2 AND (v IS NULL OR v <> k * 10)").count() == 0
+    found = K.lookup(left, listed, ["k"])
+    assert found.count() == 3000 and found.filter("k % 5 <> 2 AND (v IS NULL OR v <> k * 10)").count() == 0
+
+
+def test_the_catalogue_join_moves_no_text_per_usage(spark):
+    rows = [(i, "List.add(1); Map.get(2)", "List.add 5|Map.get 17|", "NaN", "NaN") for i in range(3)]
+    df = spark.createDataFrame(rows, "row_id long, source_code string, api_seq string, domain string, api string")
+    catalog = spark.createDataFrame([("Map.get",)], "fqn string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        samples = U.call_samples(df, catalog)
+        plan = samples._jdf.queryExecution().optimizedPlan().toString()
+        assert samples.count() == 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    semi = plan[plan.index("LeftSemi") :]
+    assert "source_code" not in semi.split("Generate")[0]
+
+
+def test_a_long_argument_list_keeps_its_sample(spark):
+    code = "x.add(" + "a" * 20_000 + ");"
+    df = spark.createDataFrame([(0, code, "List.add 2|", "general", "List")], "row_id long, source_code string, api_seq string, domain string, api string")
+    assert U.usage_samples(df).first()["ground_truth"] == code[2:-1]
+    assert df.select(X.balanced_end("source_code", F.lit(5), max_scan=10)).first()[0] is None
