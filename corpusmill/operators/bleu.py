@@ -29,10 +29,15 @@ LENGTHS = ["hyp_len", "min_ref_len", "closest_ref_len"]
 def _sides(pairs: DataFrame, max_order: int, keep: Sequence[str]) -> DataFrame:
     """N-grams of each reference and, beside it, of the hypothesis, with the pair's lengths.
 
-    One more row per side with ``n = 0`` sees to it that no pair is lost.
+    One more row per side with ``n = 0`` sees to it that no pair is lost. A missing text counts
+    as empty, and no reference as one empty reference.
     """
+    refs = F.when(F.size("refs") > 0, F.col("refs")).otherwise(F.array(F.lit("")))
     tokens = pairs.select(
-        *keep, "pair_id", F.transform("refs", lambda r: ws_tokens(r)).alias("_refs"), ws_tokens("hyp").alias("_hyp")
+        *keep,
+        "pair_id",
+        F.transform(refs, lambda r: ws_tokens(F.coalesce(r, F.lit("")))).alias("_refs"),
+        ws_tokens(F.coalesce("hyp", F.lit(""))).alias("_hyp"),
     ).repartition("pair_id")
     hyp_len = F.size("_hyp").cast("long")
     ref_lens = F.transform("_refs", lambda r: F.size(r).cast("long"))
@@ -119,8 +124,8 @@ def recall_terms(
 
 
 def exact_match(pairs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Share of rows whose hypothesis equals its first reference, in per cent."""
-    same = (F.get("refs", F.lit(0)) == F.col("hyp")).cast("int")
+    """Share of all rows whose hypothesis equals its first reference, in per cent; a missing text equals none."""
+    same = F.coalesce((F.get("refs", F.lit(0)) == F.col("hyp")).cast("int"), F.lit(0))
     return pairs.groupBy(*keep).agg(F.round(100 * F.avg(same), 2).alias("accuracy"))
 
 

@@ -24,13 +24,13 @@ def perplexity(
 ) -> DataFrame:
     """``(*by, loss, perplexity)`` from batch losses.
 
-    Losses are weighted by their ``n_rows``. With ``batch_size`` every batch counts that often
+    Losses are weighted by their ``n_rows``; a missing loss has no weight. With ``batch_size`` every batch counts that often
     instead, and ``n_rows`` cuts the sequence of losses behind so many rows.
     """
     weight = F.col("n_rows") if batch_size is None else F.lit(batch_size)
     if batch_size is not None and n_rows is not None:
         weight = F.greatest(F.least(weight, n_rows - F.col("batch") * batch_size), F.lit(0))
-    mean = F.try_divide(F.sum(F.col("loss") * weight), F.sum(weight))
+    mean = F.try_divide(F.sum(F.col("loss") * weight), F.sum(F.when(F.col("loss").isNotNull(), weight)))
     return log.groupBy(*by).agg(mean.alias("loss")).withColumn("perplexity", safe_exp("loss"))
 
 
@@ -48,7 +48,8 @@ def loss_report(log: DataFrame) -> DataFrame:
     """
     sets = [["exp_id", "epoch", "batch"], ["exp_id", "epoch"], ["exp_id"], []]
     return log.groupingSets(sets, "exp_id", "epoch", "batch").agg(
-        F.grouping_id().alias("grain"), (F.sum(F.col("loss") * F.col("n_rows")) / F.sum("n_rows")).alias("loss")
+        F.grouping_id().alias("grain"),
+        F.try_divide(F.sum(F.col("loss") * F.col("n_rows")), F.sum(F.when(F.col("loss").isNotNull(), F.col("n_rows")))).alias("loss"),
     )
 
 

@@ -25,7 +25,7 @@ from corpusmill.registry.base import (
     table,
 )
 from corpusmill.session import scratch_path
-from corpusmill.sources.corpus import read_corpus, read_json_corpus, write_corpus
+from corpusmill.sources.corpus import read_corpus, read_json_corpus, read_raw_corpus, write_corpus
 
 HASH = r"md5(regexp_replace(source_code, '\s+', '', 'g'))"
 # splitlines: a final line break opens no line
@@ -62,6 +62,15 @@ def _(spark, folder):
     )
 
 
+@register("prepare_raw", f"SELECT md5(source_code) AS text_md5, count(*) AS n FROM (SELECT source_code FROM ({MARKED}) QUALIFY row_number() OVER (PARTITION BY hash ORDER BY row_id) = 1) GROUP BY 1")
+def _(spark, folder):
+    # written without ids, in the order of the ids, and numbered when it is read
+    path = scratch_path(spark, "raw")
+    documents(spark, folder).orderBy("row_id").select("source_code", "domain").write.json(path)
+    raw = read_raw_corpus(spark, path, "source_code string, domain string")
+    return prepare_corpus(raw, line_max=1 << 30).groupBy(F.md5("source_code").alias("text_md5")).agg(F.count("*").alias("n"))
+
+
 @register("write_corpus", f"SELECT row_id, md5(source_code) AS text_md5, domain FROM ({DOCUMENTS})")
 def _(spark, folder):
     path = scratch_path(spark, "corpus")

@@ -2,13 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def read_json_corpus(spark: SparkSession, folder: str, schema: StructType | str) -> DataFrame:
-    """All ``*.json`` files of a folder, one object per line; large files are split between tasks."""
-    return spark.read.schema(schema).option("pathGlobFilter", "*.json").json(folder)
+def read_json_corpus(spark: SparkSession, folder: str, schema: StructType | str, mode: str = "FAILFAST") -> DataFrame:
+    """All ``*.json`` files of a folder, one object per line; large files are split between tasks.
+
+    A line that cannot be read is an error. With ``mode="PERMISSIVE"`` and a string column
+    ``_corrupt_record`` in the schema it is kept there instead.
+    """
+    return spark.read.schema(schema).option("pathGlobFilter", "*.json").option("mode", mode).json(folder)
+
+
+def file_order(file: str = "_file") -> list[Column]:
+    """Files by name, numbers of part files as numbers."""
+    part = F.regexp_extract(file, r"part-(\d+)[^/]*$", 1)
+    return [F.regexp_replace(file, r"part-\d+[^/]*$", ""), part.try_cast("long"), F.col(file)]
+
+
+def with_row_ids(df: DataFrame, id_col: str = "row_id") -> DataFrame:
+    """Number the rows of a table just read from files: by file, block of the file and place in the block.
+
+    Rows are numbered inside each block and shifted by the rows of the blocks before, one small
+    row each; no task sees the whole table. Read the same files again and the numbers are the
+    same. An id column that is there already is replaced.
+    """
+    columns = [c for c in df.columns if c != id_col]
+    placed = df.select(
+        *columns,
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_seq"),
+    )
+    blocks = placed.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per file block
+    before = Window.orderBy(*file_order(), "_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("_file", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_file", "_block").orderBy("_seq")
+    number = F.col("_before") + F.row_number().over(inside) - 1
+    return placed.join(offsets, ["_file", "_block"]).select(number.alias(id_col), *columns)
+
+
+def read_raw_corpus(spark: SparkSession, folder: str, schema: StructType | str) -> DataFrame:
+    """A JSON corpus without ids, numbered as it stands in its files."""
+    return with_row_ids(read_json_corpus(spark, folder, schema))
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:

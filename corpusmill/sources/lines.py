@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import strip
 from corpusmill.session import cut_lineage
+from corpusmill.sources.corpus import with_row_ids
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -18,20 +19,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     Rows are numbered inside each file block and shifted by the lines of the blocks before,
     so a file is read by as many tasks as it has blocks.
     """
-    lines = spark.read.text(path).select(
-        "value",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_seq"),
-    )
-    blocks = lines.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per file block
-    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select("_file", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_file", "_block").orderBy("_seq")
-    return lines.join(offsets, ["_file", "_block"]).select(
-        (F.col("_before") + F.row_number().over(inside) - 1).alias("line_no"), "value"
-    )
+    return with_row_ids(spark.read.option("lineSep", "\n").text(path), "line_no")
 
 
 def zip_lines(**columns: DataFrame) -> DataFrame:
@@ -58,7 +46,14 @@ def write_line_pairs(df: DataFrame, folder: str, order: str = "sample_id") -> No
 
     The sort ranges over the part files, so their names in order give the samples in order.
     Predictions may be costly or drawn at random, so they are computed once for both files.
+    A value with a line break, or a null, would put the files out of step and is an error.
     """
-    ordered = cut_lineage(df.select(order, "prediction", "ground_truth")).orderBy(order)
-    ordered.select(F.col("prediction").alias("value")).write.mode("overwrite").text(f"{folder}/predictions")
-    ordered.select(F.col("ground_truth").alias("value")).write.mode("overwrite").text(f"{folder}/gt")
+
+    def one_line(name: str) -> Column:
+        bad = F.concat(F.lit(f"{name} is null or holds a line break at {order} "), F.col(order).cast("string"))
+        fine = F.col(name).isNotNull() & ~F.col(name).rlike("[\\r\\n]")
+        return F.when(fine, F.col(name)).otherwise(F.raise_error(bad).cast("string")).alias(name)
+
+    ordered = cut_lineage(df.select(order, one_line("prediction"), one_line("ground_truth"))).orderBy(order)
+    ordered.select(F.col("prediction").alias("value")).write.mode("overwrite").option("lineSep", "\n").text(f"{folder}/predictions")
+    ordered.select(F.col("ground_truth").alias("value")).write.mode("overwrite").option("lineSep", "\n").text(f"{folder}/gt")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -66,15 +67,32 @@ def run_experience_stream(
 def reservoir_update(state: str, k: int = 200, seed: int = 42, id_col: str = "row_id") -> Callable[[DataFrame, int], None]:
     """Batch handler that keeps a reservoir; version ``n`` is the state after batch ``n``."""
 
+    held: list[int] = []
+
     def update(rows: DataFrame, batch_id: int) -> None:
         spark = rows.sparkSession
-        if batch_id > 0:
-            rows = spark.read.schema(rows.schema).parquet(f"{state}/{batch_id - 1}").unionByName(rows)
+        earlier = [n for n in held if n < batch_id]
+        if earlier:  # a batch without rows has written no state
+            rows = spark.read.schema(rows.schema).parquet(f"{state}/{earlier[-1]}").unionByName(rows)
+        elif batch_id > 0 and not held:  # a new process: the newest state there is
+            rows = _newest(spark, state, batch_id, rows.schema).unionByName(rows)
         reservoir(rows, k, seed, id_col).write.mode("overwrite").parquet(f"{state}/{batch_id}")
+        held.append(batch_id)
 
     return update
 
 
+def _newest(spark: SparkSession, state: str, before: int, schema: StructType) -> DataFrame:
+    """The state of the last batch before ``before`` that wrote one, or no rows."""
+    for batch_id in range(before - 1, -1, -1):
+        try:
+            return spark.read.schema(schema).parquet(f"{state}/{batch_id}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return spark.createDataFrame([], schema)
+
+
 def reservoir_stream(rows: DataFrame, n_exp: int, folder: str, k: int = 200, seed: int = 42) -> DataFrame:
     """The reservoir after all experiences; equals :func:`reservoir` over the whole table."""
     update = reservoir_update(f"{folder}/state", k, seed)
@@ -85,6 +103,8 @@ def reservoir_stream(rows: DataFrame, n_exp: int, folder: str, k: int = 200, see
         last.append(batch_id)
 
     run_experience_stream(rows, n_exp, folder, on_batch)
+    if not last:
+        return rows.limit(0)
     return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/state/{last[-1]}")
 
 

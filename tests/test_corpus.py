@@ -9,7 +9,8 @@ from corpusmill.operators import usages as U
 from corpusmill.operators.dedup import dedup_first
 from corpusmill.plans.prepare import prepare_corpus
 from corpusmill.plans.split import split_corpus
-from corpusmill.sources.corpus import read_json_corpus, write_corpus
+from corpusmill.sources.corpus import read_json_corpus, read_raw_corpus, write_corpus
+from corpusmill.sources.lines import read_line_pairs, write_line_pairs
 
 
 def test_a_long_first_copy_takes_shorter_ones_with_it(spark):
@@ -111,8 +112,8 @@ def test_the_catalogue_join_moves_no_text_per_usage(spark):
         assert samples.count() == 3
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    semi = plan[plan.index("LeftSemi") :]
-    assert "source_code" not in semi.split("Generate")[0]
+    joined = plan[plan.index("LeftSemi") :].splitlines()[1]
+    assert "Project" in joined and "usage_no" in joined and "source_code" not in joined
 
 
 def test_a_long_argument_list_keeps_its_sample(spark):
@@ -120,3 +121,31 @@ def test_a_long_argument_list_keeps_its_sample(spark):
     df = spark.createDataFrame([(0, code, "List.add 2|", "general", "List")], "row_id long, source_code string, api_seq string, domain string, api string")
     assert U.usage_samples(df).first()["ground_truth"] == code[2:-1]
     assert df.select(X.balanced_end("source_code", F.lit(5), max_scan=10)).first()[0] is None
+
+
+def test_a_raw_corpus_gets_ids_in_file_order(spark, tmp_path):
+    for n in (0, 9, 99999, 100000):
+        (tmp_path / f"part-{n:05d}-x.json").write_text("".join(f'{{"source_code": "{n} {i % 2}"}}\n' for i in range(3)))
+    raw = read_raw_corpus(spark, str(tmp_path), "source_code string").orderBy("row_id").collect()
+    assert [tuple(r) for r in raw] == [(3 * k + i, f"{n} {i % 2}") for k, n in enumerate((0, 9, 99999, 100000)) for i in range(3)]
+    assert prepare_corpus(read_raw_corpus(spark, str(tmp_path), "source_code string")).count() == 8
+
+
+def test_a_broken_line_and_a_null_id_are_errors(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"source_code": "x"}\n{"source_code": \n')
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        read_json_corpus(spark, str(tmp_path), "source_code string").collect()
+    kept = read_json_corpus(spark, str(tmp_path), "source_code string, _corrupt_record string", mode="PERMISSIVE").collect()
+    assert [r["_corrupt_record"] for r in kept if r["source_code"] is None] == ['{"source_code": ']
+    with pytest.raises(Exception, match="a row has no id"):
+        prepare_corpus(spark.createDataFrame([(None, "x")], "row_id long, source_code string")).collect()
+
+
+def test_lines_that_would_not_be_read_back_are_errors(spark, tmp_path):
+    schema = "sample_id long, prediction string, ground_truth string"
+    for bad in ("a\nb", "a\rb", None):
+        with pytest.raises(Exception, match="line break"):
+            write_line_pairs(spark.createDataFrame([(0, bad, "x")], schema), str(tmp_path / "bad"))
+    write_line_pairs(spark.createDataFrame([(1, "p\x0b", "q"), (0, "", "é")], schema), str(tmp_path / "good"))
+    back = read_line_pairs(spark, [str(tmp_path / "good/gt")], str(tmp_path / "good/predictions")).orderBy("pair_id").collect()
+    assert [tuple(r) for r in back] == [(0, ["é"], ""), (1, ["q"], "p")]

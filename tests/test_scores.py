@@ -150,3 +150,15 @@ def test_lines_keep_order_over_blocks_and_part_files(spark, tmp_path):
     write_line_pairs(samples, str(tmp_path / "out"))
     back = read_lines(spark, str(tmp_path / "out" / "gt")).orderBy("line_no").collect()
     assert [tuple(r) for r in back] == [(i, f"g{i}") for i in range(5000)]
+
+
+def test_missing_texts_and_references_lose_no_pair(spark):
+    """A missing text counts as empty, no reference as one empty reference; several references keep their lengths."""
+    rows = [(0, ["a b c d e"], "a b c d e"), (1, [], "a b"), (2, None, "c"), (3, ["x y"], None), (4, [None, "p q r"], "p q"), (5, ["k l", "k l m n"], "k l m n")]
+    df = spark.createDataFrame(rows, "pair_id long, refs array<string>, hyp string")
+    filled = spark.createDataFrame([(i, [x or "" for x in r or []] or [""], h or "") for i, r, h in rows], df.schema)
+    terms = B.bleu_terms(df).orderBy("pair_id").collect()
+    assert terms == B.bleu_terms(filled).orderBy("pair_id").collect()
+    assert [(r["m1"], r["h1"], r["min_ref_len"], r["closest_ref_len"]) for r in terms] == [(5, 5, 5, 5), (0, 2, 0, 0), (0, 1, 0, 0), (0, 0, 2, 2), (2, 2, 0, 3), (4, 4, 2, 4)]
+    assert B.exact_match(df).first()[0] == round(100 / 6, 2)
+    assert B.corpus_bleu(df).first() == B.corpus_bleu(filled).first()

@@ -35,3 +35,10 @@ def test_dedup_stream_keeps_hashes_between_batches(spark, tmp_path):
         feed(part, f"{tmp_path}/in")
         dedup_stream(spark, f"{tmp_path}/in", texts.schema, f"{tmp_path}/out", f"{tmp_path}/offsets")
     assert sorted(r["row_id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [0, 1, 3]
+
+
+def test_an_experience_without_rows_keeps_the_reservoir(spark, tmp_path):
+    rows = spark.createDataFrame([(i, 2 * (i % 2)) for i in range(20)], "row_id long, exp_id int")
+    found = reservoir_stream(rows, 3, str(tmp_path), k=5)
+    assert sorted(r["row_id"] for r in found.collect()) == sorted(r["row_id"] for r in reservoir(rows, 5).collect())
+    assert reservoir_stream(rows.limit(0), 2, str(tmp_path / "none"), k=5).count() == 0
