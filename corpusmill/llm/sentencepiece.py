@@ -141,6 +141,11 @@ class Encoder:
         self.words = Tokenizer.from_str(definition)
         self.words.normalizer = normalizers.Sequence([])
         self.split, self.known = re.compile(_WORD, re.S), {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.bytes_of = [b""] * (1 + max(vocabulary.values(), default=0))
+        for piece, i in vocabulary.items():
+            code = re.fullmatch("<0x([0-9A-F]{2})>", piece)
+            self.bytes_of[i] = bytes([int(code[1], 16)]) if code else piece.replace(MARK, " ").encode()
 
     def normalized(self, text: str) -> str:
         if self.plain:
@@ -159,7 +164,15 @@ class Encoder:
         return [np.fromiter(chain.from_iterable(map(self.known.__getitem__, w)), np.int32) for w in words]
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
-        return self.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+        return [self._decoded(x.tolist()) for x in ids]
+
+    def _decoded(self, ids: list[int]) -> str:
+        """The bytes of the pieces; the library decides what becomes of bytes that are no text."""
+        try:
+            text = b"".join(map(self.bytes_of.__getitem__, ids)).decode()
+        except UnicodeDecodeError:
+            return self.tokenizer.decode(ids, skip_special_tokens=False)
+        return text[1:] if self.prefix and text[:1] == " " else text
 
     def shown(self, text: str) -> str:
         """The text as the normaliser leaves it, which is what decoding should give."""

@@ -2,6 +2,7 @@ import base64
 import hashlib
 import struct
 
+import numpy as np
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -26,6 +27,13 @@ def test_tokens_as_the_library(spark, odd):
     assert all(r["same"] for r in SP.round_trip(docs, SENTENCEPIECE_MODEL).collect())
 
 
+def test_bytes_that_are_no_text_are_decoded_as_by_the_library():
+    library, mine = sentencepiece.SentencePieceProcessor(model_file=SENTENCEPIECE_MODEL), SP.Encoder(SP.definition_of(SENTENCEPIECE_MODEL), 1)
+    byte = lambda b: 3 + b
+    for ids in ([], [byte(0xE2), byte(0x96), byte(0x81), 300], [300, byte(0xFF)], [28705, 300], [byte(0x41)], [byte(0xC3), byte(0xA9)]):
+        assert mine.decode([np.array(ids, np.int64)])[0] == library.decode(ids), ids
+
+
 def message(*parts):
     """Protobuf fields of numbers, bytes and floats."""
 
