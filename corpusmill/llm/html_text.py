@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import hashing as H
 from corpusmill.llm.html_tree import blocks_of
+from corpusmill.session import cut_lineage
 
 MIN_PAGES, MIN_SHARE = 5, 0.1
 """A subtree is a template of its host if it is on so many pages of it, and on such a share of them."""
@@ -27,12 +28,11 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     """
     H.bounded_batches(pages.sparkSession)
     kind = pages.schema["page_id"].dataType.simpleString()
-    # as far as the first slash behind the scheme: digests are counted by it
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select("page_id", "url", F.xxhash64("page_id", "url").alias("key"), host.alias("host"), "html")
-    read = rows.mapInArrow(_read, f"page_id {kind}, url string, key long, host string, blocks array<struct<text:string,around:array<long>>>").repartition("key")
-    inside = F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["around"])))
-    subtrees = read.select("key", "host", F.explode(inside).alias("digest"))
+    # pages are read twice, so that only digests are kept between and only texts are shuffled, once
+    subtrees = cut_lineage(rows.select("key", "host", "html").mapInArrow(_subtrees, "key long, host string, digest long"))
+    read = rows.mapInArrow(_read, f"page_id {kind}, url string, key long, blocks array<struct<text:string,around:array<long>>>")
     on = subtrees.groupBy("host", "digest").agg(F.count("*").alias("pages")).filter(F.col("pages") >= min_pages)
     sizes = pages.select(host.alias("host")).groupBy("host").agg(F.count("*").alias("of"))
     templates = on.join(sizes, "host").filter(F.col("pages") >= F.col("of") * min_share).select("host", "digest")
@@ -45,5 +45,14 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [[b._asdict() for b in blocks_of(page)] if page else [] for page in batch.column("html").to_pylist()]
-        names = ["page_id", "url", "key", "host"]
+        names = ["page_id", "url", "key"]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found, _BLOCKS)], [*names, "blocks"])
+
+
+def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each digest of a page once."""
+    for batch in batches:
+        found = [sorted({d for b in blocks_of(page) for d in b.around}) if page else [] for page in batch.column("html").to_pylist()]
+        at = pa.array([i for i, digests in enumerate(found) for _ in digests], pa.int64())
+        digests = pa.array([d for digests in found for d in digests], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("host").take(at), digests], ["key", "host", "digest"])
