@@ -246,28 +246,25 @@ def weighted_bleu(
     """Recall of reference n-grams with keyword-weighted unigrams.
 
     The published scores take every reference to be 2 long in the brevity penalty;
-    ``ref_len_mode="tokens"`` counts its tokens instead.
+    ``ref_len_mode="tokens"`` counts its tokens instead, and ``"both"`` adds that score as
+    ``bleu_tokens`` from the same sums.
     """
     if method not in (1, 2):
         raise ValueError("smoothing methods 1 and 2 are defined here")
-    if ref_len_mode not in ("reference", "tokens"):
-        raise ValueError("ref_len_mode is 'reference' or 'tokens'")
+    if ref_len_mode not in ("reference", "tokens", "both"):
+        raise ValueError("ref_len_mode is 'reference', 'tokens' or 'both'")
     orders = range(1, len(weights) + 1)
-    ref_len = F.lit(2) if ref_len_mode == "reference" else F.col("closest_ref_len")
     sums = recall_terms(pairs, keywords, len(weights), keep).groupBy(*keep).agg(
         *[F.sum(f"{x}{n}").alias(f"{x}{n}") for x in "md" for n in orders],
         F.sum("hyp_len").alias("hyp_len"),
-        F.sum(ref_len).alias("ref_len"),
+        F.sum(F.lit(2)).alias("reference"),
+        F.sum("closest_ref_len").alias("tokens"),
     )
-    score = bleu(
-        [F.col(f"m{n}") for n in orders],
-        [F.col(f"d{n}") for n in orders],
-        F.col("ref_len"),
-        F.col("hyp_len"),
-        weights,
-        method,
-    )
-    return sums.select(*keep, score.alias("bleu"))
+    matched, possible = ([F.col(f"{x}{n}") for n in orders] for x in "md")
+    score = {m: bleu(matched, possible, F.col(m), F.col("hyp_len"), weights, method) for m in ("reference", "tokens")}
+    if ref_len_mode == "both":
+        return sums.select(*keep, score["reference"].alias("bleu"), score["tokens"].alias("bleu_tokens"))
+    return sums.select(*keep, score[ref_len_mode].alias("bleu"))
 
 
 def keyword_weight(tokens: DataFrame, keywords: Sequence[str], column: str = "token", other_weight: float = 0.2) -> DataFrame:

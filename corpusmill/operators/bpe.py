@@ -7,6 +7,7 @@ A word is held as text of its byte symbols in hex, ``<61><6263>``; a merge is th
 from __future__ import annotations
 
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ WORD = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 END_OF_TEXT = "<|endoftext|>"
 
 CANDIDATES = 1024
-MERGES_PER_ROUND = 32
-ROUNDS_PER_CHECKPOINT = 8
+MERGES_PER_ROUND = 128
+ROUNDS_PER_CHECKPOINT = 4
 MEMO_SIZE = 1 << 18
 
 
@@ -156,6 +157,31 @@ def write_vocab(bpe: Bpe, spark: SparkSession, path: str) -> None:
     bpe.vocab_table(spark).write.mode("overwrite").parquet(f"{path}/vocab")
 
 
+def merge_symbols(symbols: list[str], rank: dict[tuple[str, str], int]) -> list[str]:
+    """Merge neighbours, best rank first and from the left, until no pair has a rank.
+
+    Pairs wait in a heap and symbols in a linked list, so a word of n symbols takes about
+    n log n steps. A pair that one of its symbols has left meanwhile is passed over.
+    """
+    after = [*range(1, len(symbols)), -1]
+    before = list(range(-1, len(symbols) - 1))
+    waiting = [(rank[p], i, *p) for i, p in enumerate(zip(symbols, symbols[1:])) if p in rank]
+    heapify(waiting)
+    while waiting:
+        _, i, left, right = heappop(waiting)
+        j = after[i]
+        if symbols[i] != left or j < 0 or symbols[j] != right:
+            continue
+        symbols[i], symbols[j] = left + right, ""
+        after[i] = after[j]
+        if after[i] >= 0:
+            before[after[i]] = i
+        for a, b in ((before[i], i), (i, after[i])):
+            if a >= 0 and b >= 0 and (pair := (symbols[a], symbols[b])) in rank:
+                heappush(waiting, (rank[pair], a, *pair))
+    return [s for s in symbols if s]
+
+
 def word_encoder(bpe: Bpe):
     """Arrow function from arrays of words to arrays of token ids.
 
@@ -171,17 +197,7 @@ def word_encoder(bpe: Bpe):
     def encode_word(word: str) -> list[int]:
         if word in memo:
             return memo[word]
-        symbols = [f"{b:02X}" for b in word.encode("utf-8")]
-        while len(symbols) > 1:
-            best = min(zip(symbols, symbols[1:]), key=lambda p: rank.get(p, len(rank)))
-            if best not in rank:
-                break
-            merged, i = [], 0
-            while i < len(symbols):
-                hit = i + 1 < len(symbols) and (symbols[i], symbols[i + 1]) == best
-                merged.append(symbols[i] + symbols[i + 1] if hit else symbols[i])
-                i += 2 if hit else 1
-            symbols = merged
+        symbols = merge_symbols([f"{b:02X}" for b in word.encode("utf-8")], rank)
         if len(memo) >= MEMO_SIZE:
             memo.clear()
         memo[word] = [ids[s] for s in symbols]

@@ -333,9 +333,8 @@ SELECT round({bleu_sql(WPS, 'rl2', 'hl', 'mm1')}, 6) AS bleu, round({bleu_sql(WP
 
 @register("weighted_bleu", WEIGHTED)
 def _(spark, folder):
-    rows, keys = pairs(spark, folder), keyword_list("python")
-    by_tokens = B.weighted_bleu(rows, keys, ref_len_mode="tokens").select("bleu").scalar()
-    return B.weighted_bleu(rows, keys).select(r6("bleu").alias("bleu"), r6(by_tokens).alias("bleu_tokens"))
+    scores = B.weighted_bleu(pairs(spark, folder), keyword_list("python"), ref_len_mode="both")
+    return scores.select(r6("bleu").alias("bleu"), r6("bleu_tokens").alias("bleu_tokens"))
 
 
 @register("safe_exp", "SELECT event_id, round(exp(value / 50), 6) AS small, exp(value * 1000) = 'inf'::DOUBLE AS overflow FROM events")

@@ -6,7 +6,7 @@ import regex
 from pyspark.sql import functions as F
 
 from corpusmill.operators.blocks import assign_batches, pack_blocks
-from corpusmill.operators.bpe import Bpe, encode, load_bpe, sure_merges, train_bpe, write_vocab
+from corpusmill.operators.bpe import Bpe, encode, load_bpe, merge_symbols, sure_merges, train_bpe, write_vocab
 
 TEXTS = [
     "public static void main(String[] args) { return; }",
@@ -131,3 +131,27 @@ def test_batches(spark):
     assert [(r["batch"], r["slot"]) for r in plain] == [(i // 5, i % 5) for i in range(23)]
     shuffled = assign_batches(df, 5, seed=1).groupBy("batch").agg(F.count("*").alias("n")).orderBy("batch").collect()
     assert [r["n"] for r in shuffled] == [5, 5, 5, 5, 3]
+
+
+def test_a_very_long_word_is_merged_as_by_the_plain_loop():
+    draw = random.Random(2)
+    rank = {p: i for i, p in enumerate([("a", "b"), ("b", "a"), ("ab", "a"), ("a", "a"), ("aa", "aa"), ("ba", "b"), ("ab", "ab")])}
+
+    def plain(symbols):
+        while len(symbols) > 1:
+            best = min(zip(symbols, symbols[1:]), key=lambda p: rank.get(p, len(rank)))
+            if best not in rank:
+                break
+            out, i = [], 0
+            while i < len(symbols):
+                hit = symbols[i : i + 2] == list(best)
+                out.append("".join(best) if hit else symbols[i])
+                i += 2 if hit else 1
+            symbols = out
+        return symbols
+
+    for n in (0, 1, 2, 3, 5, 8, 40, 200):
+        for _ in range(20):
+            word = draw.choices("ab", k=n)
+            assert merge_symbols(list(word), rank) == plain(list(word))
+    assert len(merge_symbols(["a"] * 1_000_000, rank)) == 250_000
