@@ -10,6 +10,7 @@ from corpusmill.registry import (  # noqa: F401  (importing registers the querie
     structure,
     continual,
     streams,
+    training,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

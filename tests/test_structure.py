@@ -100,3 +100,25 @@ def test_no_reference_edges_score_zero(spark):
         "pair_id long, side string, name string, pos long, relation string, parents array<string>, parent_pos array<long>, ord long",
     )
     assert D.dataflow_match(edges).first()["score"] == 0.0
+
+
+def node_table(spark, rows):
+    return spark.createDataFrame(rows, "pair_id long, side string, node long, parent long, type string")
+
+
+def test_trees_without_root_parent_or_nodes(spark):
+    with pytest.raises(Exception, match="not in its tree"):
+        T.subtrees(node_table(spark, [(0, "ref", 0, None, "a"), (0, "ref", 2, 1, "b")])).collect()
+    with pytest.raises(Exception, match="cycle"):
+        T.node_depth(node_table(spark, [(0, "ref", 0, 1, "a"), (0, "ref", 1, 0, "b")])).collect()
+    none = node_table(spark, [])
+    assert T.subtrees(none).collect() == [] and T.syntax_match(none).first()["score"] == 0.0
+
+
+def test_a_wide_and_a_deep_tree(spark):
+    wide = [(0, "ref", i, 0 if i else None, "w") for i in range(5000)]
+    deep = [(1, "ref", i, i - 1 if i else None, "d") for i in range(20_000)]
+    found = {(r["pair_id"], r["node"]): r["sexp"] for r in T.subtrees(node_table(spark, wide + deep), digest=True).collect()}
+    assert len(found) == 1 + 19_999 and len(set(found.values())) == 20_000
+    depths = T.node_depth(node_table(spark, deep)).agg({"depth": "max"}).first()[0]
+    assert depths == 20_000
