@@ -118,23 +118,40 @@ def reservoir(df: DataFrame, k: int = 200, seed: int = 42, id_col: str = "row_id
     return df.orderBy(seed_key(seed, id_col), id_col).limit(k)
 
 
+def _n_batches(batches: DataFrame, by: list[str], name: str) -> DataFrame:
+    return batches.groupBy(*by).agg((F.max("batch") + 1).alias(name))
+
+
 def replay_batches(
-    cur: DataFrame, mem: DataFrame, batch_size: int = 2, batch_size_mem: int = 2, seed: int = 42, id_col: str = "row_id"
+    cur: DataFrame,
+    mem: DataFrame,
+    batch_size: int = 2,
+    batch_size_mem: int = 2,
+    seed: int = 42,
+    id_col: str = "row_id",
+    by: Sequence[str] = (),
+    balance: str | None = None,
 ) -> DataFrame:
-    """``(batch, slot, from_memory, id)``: each batch joins current rows and memory rows.
+    """``(*by, batch, slot, from_memory, id)``: each batch joins current rows and memory rows.
 
     The side with fewer batches starts over until the other one ends. With an empty memory
-    there are the current rows alone.
+    there are the current rows alone. ``by`` names columns of both tables, such as ``exp_id``,
+    whose values have batches of their own, all in one plan. With ``balance``, a column of
+    ``mem`` such as ``task_id``, the rows of each of its values are batched apart and every
+    batch takes ``batch_size_mem`` of each; slots then count within the value.
     """
-    n_cur, n_mem = -(-cur.count() // batch_size), -(-mem.count() // batch_size_mem)
-    n_batches = max(n_cur, n_mem)
-    current = assign_batches(cur.select(id_col), batch_size, seed, id_col)
-    memory = assign_batches(mem.select(id_col), batch_size_mem, seed, id_col)
-    # one copy each, unless the bounded memory has more batches than the current rows
-    turns = F.sequence(F.col("batch"), F.lit(n_batches - 1), F.lit(max(n_cur, 1)))
-    own = current.select(F.explode(turns).alias("batch"), "slot", F.lit(False).alias("from_memory"), id_col)
-    turn = cur.sparkSession.range(n_batches).select(F.col("id").alias("_turn"), (F.col("id") % max(n_mem, 1)).alias("batch"))
-    replayed = turn.join(memory, "batch").select(
-        F.col("_turn").alias("batch"), "slot", F.lit(True).alias("from_memory"), id_col
-    )
-    return own.unionByName(replayed)
+    all_ = ["_all"]
+    cur, mem = cur.withColumn("_all", F.lit(0)), mem.withColumn("_all", F.lit(0))
+    keys = [*by, *all_]
+    inner = [*keys, balance] if balance else keys
+    current = assign_batches(cur.select(*keys, id_col), batch_size, seed, id_col, keys)
+    memory = assign_batches(mem.select(*inner, id_col), batch_size_mem, seed, id_col, inner)
+    # the batches there are: those of the side that has more of them
+    turns = current.select(*keys, "batch").union(memory.select(*keys, "batch")).distinct().withColumnRenamed("batch", "_turn")
+
+    def taken(side: DataFrame, groups: list[str], from_memory: bool) -> DataFrame:
+        mine = turns.join(_n_batches(side, groups, "_n"), keys).withColumn("batch", F.col("_turn") % F.col("_n"))
+        rows = mine.join(side, [*groups, "batch"])
+        return rows.select(*by, F.col("_turn").alias("batch"), "slot", F.lit(from_memory).alias("from_memory"), id_col)
+
+    return taken(current, keys, False).unionByName(taken(memory, inner, True))

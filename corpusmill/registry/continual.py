@@ -119,16 +119,40 @@ def _(spark, folder):
     return C.reservoir(tasked(spark, folder)).select("row_id", "domain")
 
 
-REPLAYED = f"""WITH cur AS (SELECT row_id, row_number() OVER (ORDER BY {HASHED}) - 1 AS pos FROM ({TASKED}) WHERE task_id = 3),
-mem AS (SELECT row_id, row_number() OVER (ORDER BY {HASHED}) - 1 AS pos FROM (SELECT row_id FROM ({TASKED}) WHERE task_id < 3 ORDER BY {HASHED} LIMIT 201)),
-n AS (SELECT (SELECT max(pos) // 2 + 1 FROM cur) AS c, (SELECT max(pos) // 2 + 1 FROM mem) AS m),
-t AS (SELECT unnest(range(greatest(c, m))) AS batch, c, m FROM n)
-SELECT batch, pos % 2 AS slot, false AS from_memory, row_id FROM t JOIN cur ON cur.pos // 2 = batch % c
-UNION ALL SELECT batch, pos % 2, true, row_id FROM t JOIN mem ON mem.pos // 2 = batch % m"""
+EARLIER = f"(SELECT e.exp_id, r.row_id, r.task_id FROM ({TASKED}) r JOIN (SELECT unnest(range(1, 5)) AS exp_id) e ON r.task_id < e.exp_id)"
+RANKED = f"SELECT *, row_number() OVER (PARTITION BY exp_id ORDER BY {HASHED}) - 1 AS place FROM {EARLIER}"
+REPLAYED = f"""WITH cur AS (SELECT task_id AS exp_id, row_id, row_number() OVER (PARTITION BY task_id ORDER BY {HASHED}) - 1 AS pos FROM ({TASKED})),
+mem AS (SELECT exp_id, row_id, place AS pos FROM ({RANKED}) WHERE place < 201),
+c AS (SELECT exp_id, max(pos) // 2 + 1 AS c FROM cur GROUP BY exp_id), m AS (SELECT exp_id, max(pos) // 2 + 1 AS m FROM mem GROUP BY exp_id),
+t AS (SELECT exp_id, unnest(range(greatest(c, coalesce(m, 0)))) AS batch, c, m FROM c LEFT JOIN m USING (exp_id))
+SELECT CAST(t.exp_id AS BIGINT) AS exp_id, batch, pos % 2 AS slot, false AS from_memory, row_id FROM t JOIN cur ON cur.exp_id = t.exp_id AND cur.pos // 2 = batch % c
+UNION ALL SELECT t.exp_id, batch, pos % 2, true, row_id FROM t JOIN mem ON mem.exp_id = t.exp_id AND mem.pos // 2 = batch % m"""
+
+
+def _with_memory(spark, folder, k):
+    rows = tasked(spark, folder).select("row_id", "task_id")
+    cur = rows.withColumn("exp_id", F.col("task_id").cast("int"))
+    return cur, C.memory_sets(rows, k)
 
 
 @register("replay_batches", REPLAYED)
 def _(spark, folder):
-    rows = tasked(spark, folder)
-    memory = C.reservoir(rows.filter("task_id < 3"), 201)
-    return C.replay_batches(rows.filter("task_id = 3"), memory)
+    cur, mem = _with_memory(spark, folder, 201)
+    made = C.replay_batches(cur, mem, by=["exp_id"])
+    return made.withColumn("exp_id", F.col("exp_id").cast("long"))
+
+
+BALANCED = f"""WITH cur AS (SELECT task_id AS exp_id, row_id, row_number() OVER (PARTITION BY task_id ORDER BY {HASHED}) - 1 AS pos FROM ({TASKED})),
+mem AS (SELECT *, row_number() OVER (PARTITION BY exp_id, task_id ORDER BY {HASHED}) - 1 AS pos FROM ({RANKED}) WHERE place < 201),
+c AS (SELECT exp_id, max(pos) // 2 + 1 AS c FROM cur GROUP BY exp_id), m AS (SELECT exp_id, task_id, max(pos) // 3 + 1 AS m FROM mem GROUP BY exp_id, task_id),
+n AS (SELECT exp_id, max(m) AS m FROM m GROUP BY exp_id),
+t AS (SELECT exp_id, unnest(range(greatest(c, coalesce(n.m, 0)))) AS batch, c FROM c LEFT JOIN n USING (exp_id))
+SELECT CAST(t.exp_id AS BIGINT) AS exp_id, batch, pos % 2 AS slot, false AS from_memory, row_id FROM t JOIN cur ON cur.exp_id = t.exp_id AND cur.pos // 2 = batch % c
+UNION ALL SELECT t.exp_id, batch, pos % 3, true, mem.row_id FROM t JOIN m USING (exp_id) JOIN mem ON mem.exp_id = t.exp_id AND mem.task_id = m.task_id AND mem.pos // 3 = batch % m.m"""
+
+
+@register("replay_batches_balanced", BALANCED)
+def _(spark, folder):
+    cur, mem = _with_memory(spark, folder, 201)
+    made = C.replay_batches(cur, mem, batch_size_mem=3, by=["exp_id"], balance="task_id")
+    return made.withColumn("exp_id", F.col("exp_id").cast("long"))
