@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.operators.position import BITS, Order, dense_position, running, running_max
+from corpusmill.operators.position import running, running_max
 from corpusmill.session import cut_lineage
 
 DOC = ("pair_id", "side")
@@ -91,13 +91,12 @@ def normalize_edges(edges: DataFrame, doc: Sequence[str] = DOC) -> DataFrame:
     """
     keys = list(doc)
     names = edges.select(*keys, "pos", "relation", F.posexplode(F.concat("parents", F.array("name"))).alias("k", "_name"))
-    first = names.groupBy(*keys, "_name").agg(F.min(F.struct("pos", "k")).alias("_first"))
-    first = first.select(*keys, "_name", F.col("_first.pos").alias("_p"), F.col("_first.k").alias("_k"))
-    order = Order((F.col("_p"), F.col("_k")), (F.shiftright(F.col("_p").cast("long"), BITS),))
-    numbered = dense_position(first, order, keys, "_no").select(
-        *keys, "_name", F.concat(F.lit("var_"), F.col("_no").cast("string")).alias("_var")
-    )
-    renamed = names.join(numbered, [*keys, "_name"]).groupBy(*keys, "pos").agg(
+    # one shuffle by document; the windows and the grouping stay in its partition
+    names = names.repartition(*keys)
+    first = F.min(F.struct("pos", "k")).over(Window.partitionBy(*keys, "_name"))
+    number = F.dense_rank().over(Window.partitionBy(*keys).orderBy("_first")) - 1
+    numbered = names.withColumn("_first", first).withColumn("_var", F.concat(F.lit("var_"), number.cast("string")))
+    renamed = numbered.groupBy(*keys, "pos").agg(
         F.max("relation").alias("relation"), F.array_sort(F.collect_list(F.struct("k", "_var"))).alias("_vars")
     )
     variables = F.col("_vars._var")
