@@ -94,3 +94,11 @@ def secrets(text):
 
 def listed(spans):
     return ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in spans)
+
+
+def pairs(df):
+    return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+
+
+def ordered(rows):
+    return sorted(rows, key=str)

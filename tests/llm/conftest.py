@@ -1,11 +1,7 @@
 import random
-import sys
-from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent))
-
 CLASH = ["key", "found", "hash", "signature", "times", "component", "spans", "ws", "id_key", "text_key", "cell", "blocks"]
 
 
@@ -38,11 +34,3 @@ def odd(docs):
 @pytest.fixture(scope="session")
 def none(docs):
     return docs.limit(0)
-
-
-def pairs(df):
-    return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
-
-
-def ordered(rows):
-    return sorted(rows, key=str)

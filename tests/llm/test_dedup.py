@@ -1,6 +1,6 @@
 import brute
 import pytest
-from conftest import ordered, pairs
+from brute import ordered, pairs
 
 from corpusmill.llm import minhash as M
 from corpusmill.llm import substring_dedup as S

@@ -6,7 +6,7 @@ import brute
 import corpus_pipeline
 import duckdb
 import pytest
-from conftest import ordered, pairs
+from brute import ordered, pairs
 
 from corpusmill.llm.queries import CHECKS, ORACLES, QUERIES
 

@@ -1,5 +1,5 @@
 import brute
-from conftest import ordered, pairs
+from brute import ordered, pairs
 from pyspark.sql import functions as F
 
 from corpusmill.llm import pii, secrets
