@@ -74,7 +74,7 @@ def test_parse_api_seq(spark):
         ("f)", 1, None),
         ("foo", 3, 4),
         ("f(" + "x" * 9999 + ")", 1, 10002),
-        ("f(" + "x" * 10000 + ")", 1, None),
+        ("f(" + "x" * 10000 + ")", 1, 10003),
         ("f(" + "(x)" * 300 + ")", 1, 903),
     ],
 )
@@ -82,6 +82,12 @@ def test_balanced_end(spark, code, end, want):
     assert column(spark, [code], X.balanced_end("s", F.lit(end))) == [want]
 
 
+def test_balanced_end_within_a_limit(spark):
+    """The limit is an option: the closing parenthesis may be its last character."""
+    codes = ["f(" + "x" * n + ")" for n in (9999, 10000)]
+    assert column(spark, codes, X.balanced_end("s", F.lit(1), max_scan=10001)) == [10002, None]
+
+
 def test_usage_start(spark):
     df = spark.createDataFrame(
         [("a = List.add(b)", 9, "List", "add"), ("a = x.add(b)", 6, "List", "add"), ("add(1)", 0, "List", "add"), ("t.add(1)", 2, "List", "add")],
