@@ -13,7 +13,7 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 from pathlib import Path
 from typing import NamedTuple
 
@@ -125,10 +125,37 @@ def _merges(model: Model, ids: dict[str, int]) -> list[tuple[str, str]]:
     return out
 
 
+class _Lists:
+    """Integer lists one after the other in one array that grows by doubling."""
+
+    def __init__(self, kind: type):
+        self.values, self.begin, self.size = np.zeros(1024, kind), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.lists = self.used = 0
+
+    def extend(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        for name, count in (("values", self.used + len(values)), ("begin", self.lists + len(sizes)), ("size", self.lists + len(sizes))):
+            have = getattr(self, name)
+            if count > len(have):
+                setattr(self, name, np.concatenate([have, np.zeros(count, have.dtype)]))
+        self.values[self.used : self.used + len(values)] = values
+        self.begin[self.lists : self.lists + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.size[self.lists : self.lists + len(sizes)] = sizes
+        self.used, self.lists = self.used + len(values), self.lists + len(sizes)
+
+    def joined(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of these numbers one after the other, and where each of them ends."""
+        sizes = self.size[which]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.values[np.repeat(self.begin[which] - ends + sizes, sizes) + np.arange(total)], ends
+
+
 class Encoder:
     """Encodes with ``threads`` threads; where words are encoded apart, each distinct word once while it is remembered."""
 
-    REMEMBERED = 300_000
+    REMEMBERED = 700_000
+    TOGETHER = 64
+    """New words that one string of a batch holds; each begins with the mark, so none runs into the next."""
 
     def __init__(self, definition: str, threads: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
@@ -140,12 +167,16 @@ class Encoder:
         self.apart = self.tokenizer.pre_tokenizer is not None and not self.tokenizer.get_added_tokens_decoder()
         self.words = Tokenizer.from_str(definition)
         self.words.normalizer = normalizers.Sequence([])
-        self.split, self.known = re.compile(_WORD, re.S), {}
+        self.split, self.whole = re.compile(_WORD, re.S), re.compile(f"{MARK}+[^{MARK}]+", re.S)
+        self.known: dict[str, int] = {}
+        self.ids = _Lists(np.int32)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.bytes_of = [b""] * (1 + max(vocabulary.values(), default=0))
+        pieces = [b""] * (1 + max(vocabulary.values(), default=0))
         for piece, i in vocabulary.items():
             code = re.fullmatch("<0x([0-9A-F]{2})>", piece)
-            self.bytes_of[i] = bytes([int(code[1], 16)]) if code else piece.replace(MARK, " ").encode()
+            pieces[i] = bytes([int(code[1], 16)]) if code else piece.replace(MARK, " ").encode()
+        self.bytes = _Lists(np.uint8)
+        self.bytes.extend(np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces]))
 
     def normalized(self, text: str) -> str:
         if self.plain:
@@ -156,23 +187,45 @@ class Encoder:
         if not self.apart:
             return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         words = [self.split.findall(self.normalized(t)) for t in texts]
-        new = list(set(chain.from_iterable(words)).difference(self.known))
-        if len(self.known) + len(new) > self.REMEMBERED:
-            self.known = {}
-            new = list(set(chain.from_iterable(words)))
-        self.known.update(zip(new, (tuple(e.ids) for e in self.words.encode_batch_fast(new, add_special_tokens=False))))
-        return [np.fromiter(chain.from_iterable(map(self.known.__getitem__, w)), np.int32) for w in words]
+        counts = np.cumsum([0, *map(len, words)])
+        flat = list(chain.from_iterable(words))
+        which = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(which < 0)
+        new = list(dict.fromkeys(flat[i] for i in missing.tolist()))
+        if len(self.known) + len(new) > self.REMEMBERED and self.known:
+            self.known, self.ids = {}, _Lists(np.int32)
+            return self.encode(texts)
+        marked = list(map(self.whole.fullmatch, new))
+        self._learn([w for w, m in zip(new, marked) if m], self.TOGETHER)
+        self._learn([w for w, m in zip(new, marked) if not m], 1)
+        which[missing] = [self.known[flat[i]] for i in missing.tolist()]
+        ids, ends = self.ids.joined(which)
+        at = np.concatenate([[0], ends])[counts].tolist()
+        return [ids[a:b] for a, b in zip(at, at[1:])]
+
+    def _learn(self, new: list[str], together: int) -> None:
+        """Encode words, several to a string; which word a token is of tells them apart again."""
+        parts = ["".join(new[i : i + together]) for i in range(0, len(new), together)]
+        found = self.words.encode_batch(parts, add_special_tokens=False)
+        of = [np.array(e.word_ids, np.int64) + i * together for i, e in enumerate(found)]
+        sizes = np.bincount(np.concatenate([np.zeros(0, np.int64), *of]), minlength=len(new))
+        values = np.fromiter(chain.from_iterable(e.ids for e in found), np.int32)
+        self.known.update(zip(new, range(self.ids.lists, self.ids.lists + len(new))))
+        self.ids.extend(values, sizes)
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
-        return [self._decoded(x.tolist()) for x in ids]
-
-    def _decoded(self, ids: list[int]) -> str:
         """The bytes of the pieces; the library decides what becomes of bytes that are no text."""
-        try:
-            text = b"".join(map(self.bytes_of.__getitem__, ids)).decode()
-        except UnicodeDecodeError:
-            return self.tokenizer.decode(ids, skip_special_tokens=False)
-        return text[1:] if self.prefix and text[:1] == " " else text
+        data, ends = self.bytes.joined(np.concatenate([np.zeros(0, np.int64), *ids]))
+        at = np.concatenate([[0], ends])[np.cumsum([0, *map(len, ids)])].tolist()
+        body, out = data.tobytes(), []
+        for x, a, b in zip(ids, at, at[1:]):
+            try:
+                text = body[a:b].decode()
+            except UnicodeDecodeError:
+                out.append(self.tokenizer.decode(x.tolist(), skip_special_tokens=False))
+                continue
+            out.append(text[1:] if self.prefix and text[:1] == " " else text)
+        return out
 
     def shown(self, text: str) -> str:
         """The text as the normaliser leaves it, which is what decoding should give."""
