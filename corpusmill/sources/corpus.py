@@ -55,8 +55,22 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_corpus(df: DataFrame, path: str, max_records: int = 1_000_000, partition_by: list[str] | None = None) -> None:
-    """Write Parquet shards of at most ``max_records`` rows."""
+def write_corpus(
+    df: DataFrame,
+    path: str,
+    max_records: int = 1_000_000,
+    partition_by: list[str] | None = None,
+    max_bytes: int | None = None,
+    text: str = "source_code",
+) -> None:
+    """Write Parquet shards of at most ``max_records`` rows.
+
+    With ``max_bytes`` the shards hold about so many bytes of ``text`` at most: rows are cut by
+    their mean length in the table, so single shards differ by the spread of the lengths.
+    """
+    if max_bytes is not None:
+        mean = df.agg(F.avg(F.octet_length(text))).first()[0] or 1.0
+        max_records = max(1, min(max_records, int(max_bytes / max(mean, 1.0))))
     writer = df.write.mode("overwrite").option("maxRecordsPerFile", max_records)
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -149,3 +149,10 @@ def test_lines_that_would_not_be_read_back_are_errors(spark, tmp_path):
     write_line_pairs(spark.createDataFrame([(1, "p\x0b", "q"), (0, "", "é")], schema), str(tmp_path / "good"))
     back = read_line_pairs(spark, [str(tmp_path / "good/gt")], str(tmp_path / "good/predictions")).orderBy("pair_id").collect()
     assert [tuple(r) for r in back] == [(0, ["é"], ""), (1, ["q"], "p")]
+
+
+def test_shards_by_bytes(spark, tmp_path):
+    df = spark.createDataFrame([(i, "x" * 100) for i in range(50)], "row_id long, source_code string").coalesce(1)
+    write_corpus(df, str(tmp_path / "c"), max_bytes=1000)
+    assert len(list((tmp_path / "c").glob("*.parquet"))) == 5
+    assert spark.read.parquet(str(tmp_path / "c")).count() == 50
