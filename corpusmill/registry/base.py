@@ -32,9 +32,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Deal out the rows if the session asks for it by ``corpusmill.deal``, a number of partitions.
+
+    A file of a single row group is read by one task. A local session over such files sets
+    this; on a cluster, where tables have many files, nobody does and nothing is moved.
+    """
+    parts = df.sparkSession.conf.get("corpusmill.deal", None)
+    return df if parts is None else df.repartition(int(parts))
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """The corpus: ``row_id, source_code, domain``."""
-    return table(spark, folder, "documents").select(
+    return dealt(table(spark, folder, "documents")).select(
         F.col("doc_id").alias("row_id"), F.col("text").alias("source_code"), F.col("source").alias("domain")
     )
 
@@ -119,7 +129,7 @@ FROM {events}
 
 def view(spark: SparkSession, folder: str, text: str) -> DataFrame:
     names = [n for n in ("events", "conversations", "documents") if "{%s}" % n in text]
-    return spark.sql(text, **{n: table(spark, folder, n) for n in names})
+    return spark.sql(text, **{n: dealt(table(spark, folder, n)) for n in names})
 
 
 def sql_view(text: str) -> str:
@@ -150,7 +160,7 @@ def call_preds(spark: SparkSession, folder: str) -> DataFrame:
         which = (F.col("event_id") + 3 * k + F.col("user_id")) % 11
         return F.coalesce(F.get(names, which.cast("int")), F.lit("other"))
 
-    return table(spark, folder, "events").select(
+    return dealt(table(spark, folder, "events")).select(
         F.col("event_id").alias("sample_id"),
         F.get(F.array(*[F.lit(a) for a in apis]), (F.col("event_id") % 6).cast("int")).alias("api"),
         F.col("event_type").alias("call"),
