@@ -14,6 +14,7 @@ from corpusmill.llm.html_text import main_text
 from corpusmill.llm.minhash import near_duplicates
 from corpusmill.llm.quality import fit_quality, held_out, score_quality
 from corpusmill.llm.substring_dedup import remove_repeats
+from corpusmill.registry.base import dealt
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,7 +31,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
