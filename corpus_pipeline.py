@@ -16,6 +16,9 @@ from corpusmill.llm.secrets import redact_secrets
 from corpusmill.llm.sentencepiece import encode_texts
 from corpusmill.session import scratch_path
 
+NEAR_PERCENT = 80
+"""Near-duplicates share so much of their sets of five-word runs; the 85 of op2 is that query's own."""
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores ``GOOD`` or better."""
@@ -24,8 +27,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; of repeated rows one."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    """One document of each group of near-duplicates, linked from ``NEAR_PERCENT`` on; of repeated rows one."""
+    kept = near_duplicates(docs, percent=NEAR_PERCENT).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
     rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").withColumn("_text", F.xxhash64("text"))
     nth = F.row_number().over(Window.partitionBy("doc_id", "_text").orderBy("doc_id"))
     return rows.withColumn("_nth", nth).filter("_nth = 1").drop("_text", "_nth")

@@ -1,14 +1,18 @@
 """Near-duplicate documents: MinHash signatures joined by Hamming distance, links confirmed on whole shingle sets.
 
 A signature has ``PARTS`` values of 16 bits; two sets of similarity s differ in a share 1 - s of them. All pairs that
-differ in at most ``ERRORS`` values are found: the values are cut into ``CHUNKS`` chunks, and as
-``ERRORS < 2 * CHUNKS`` one chunk has at most one wrong value, so the keys that leave out one value of one chunk each
-contain a common one. Of pairs with similarity 0.85, about one in a million differs in more values than that.
+differ in at most ``errors`` values are found: the values are cut into ``chunks`` chunks, and as
+``errors < 2 * chunks`` one chunk has at most one wrong value, so the keys that leave out one value of one chunk each
+contain a common one. Both numbers follow from the similarity asked for: of pairs that just reach it, at most one in a
+million (``MISSED``) differs in more values (13 chunks and 25 errors at 0.85, 16 and 31 at 0.8).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from math import comb
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,15 +23,34 @@ from corpusmill.llm import hashing as H
 from corpusmill.llm.groups import components, runs
 from corpusmill.session import cut_lineage
 
-PARTS, CHUNKS, ERRORS = 64, 13, 25
+PARTS = 64
+MISSED = 1e-6
+"""Share of pairs at the similarity asked for that may differ in more values than keys allow for, at most."""
 BLOCK = 512
 """Members of one key that are compared in one task; larger keys are compared block by block."""
-_CUTS = np.linspace(0, PARTS, CHUNKS + 1).astype(int)
-_CHUNK = np.repeat(np.arange(CHUNKS), np.diff(_CUTS))
 _SEEDS = np.random.default_rng(64).integers(0, 2**64, (2, PARTS), dtype=np.uint64) | np.uint64(1)
 _BREAKS = H.white_space()
 
 
+class Layout(NamedTuple):
+    errors: int
+    """Pairs that differ in so many values share a key."""
+    cuts: np.ndarray
+    """Where chunks begin, and ``PARTS``."""
+    chunk: np.ndarray
+    """Of each value the number of its chunk."""
+
+
+@lru_cache(maxsize=8)
+def layout(percent: int) -> Layout:
+    """The fewest chunks with which at most ``MISSED`` of the pairs at the similarity share no key."""
+    wrong = 1 - percent / 100
+    more = lambda e: sum(comb(PARTS, n) * wrong**n * (1 - wrong) ** (PARTS - n) for n in range(e + 1, PARTS + 1))
+    chunks = next(c for c in range(1, PARTS + 1) if more(2 * c - 1) <= MISSED)
+    cuts = np.linspace(0, PARTS, chunks + 1).astype(int)
+    return Layout(2 * chunks - 1, cuts, np.repeat(np.arange(chunks), np.diff(cuts)))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` per row of ``docs(doc_id, text)``; other columns are not read.
 
@@ -38,7 +61,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataF
     ``doc_id`` names no component; it is kept if its component would be null.
     """
     if percent < 80:
-        raise ValueError("signatures are sized for similarities of 0.8 and more")
+        raise ValueError("keys are sized for similarities of 0.8 and more")
     H.bounded_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text")
@@ -55,7 +78,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataF
 
 def _links(texts: DataFrame, firsts: DataFrame, percent: int, words: int, id_type: str) -> DataFrame:
     """``a, b``: enough confirmed links between different sets to connect all that links connect."""
-    keys = firsts.select("doc_id", "signature").mapInArrow(_keys, f"doc_id {id_type}, key long, place int")
+    keys = firsts.select("doc_id", "signature").mapInArrow(_keys(percent), f"doc_id {id_type}, key long, place int")
     same = Window.partitionBy("key")
     shared = keys.withColumn("times", F.count("*").over(same)).filter("times > 1")
     blocks = F.ceil(F.col("times") / BLOCK).cast("int")
@@ -114,33 +137,39 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, PARTS)
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(percent: int):
     """One key for each left-out value: the hash of the other values of its chunk."""
-    for batch in batches:
-        parts = _matrix(batch.column("signature")).astype(np.uint64)
-        valued = H.mixed(parts + (np.arange(PARTS, dtype=np.uint64) + np.uint64(1)) * np.uint64(1 << 20))
-        whole = np.add.reduceat(valued, _CUTS[:-1], axis=1)[:, _CHUNK]
-        keys = H.mixed(whole - valued + np.arange(PARTS, dtype=np.uint64))
-        ids = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(parts)), PARTS)))
-        place = np.tile(np.arange(PARTS, dtype=np.int32), len(parts))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(H.signed(keys.ravel())), pa.array(place)], ["doc_id", "key", "place"])
+    _, cuts, chunk = layout(percent)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = _matrix(batch.column("signature")).astype(np.uint64)
+            valued = H.mixed(parts + (np.arange(PARTS, dtype=np.uint64) + np.uint64(1)) * np.uint64(1 << 20))
+            whole = np.add.reduceat(valued, cuts[:-1], axis=1)[:, chunk]
+            keys = H.mixed(whole - valued + np.arange(PARTS, dtype=np.uint64))
+            ids = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(parts)), PARTS)))
+            place = np.tile(np.arange(PARTS, dtype=np.int32), len(parts))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(H.signed(keys.ravel())), pa.array(place)], ["doc_id", "key", "place"])
+
+    return keyed
 
 
 def _pairs(table: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each row, the later rows within the distance for which this key is the first common one, and the distances."""
     parts, size = _matrix(table.column("signature")), np.asarray(table.column("n_shingles"))
     block, place = np.asarray(table.column("block")), table.column("place")[0].as_py()
-    chunk, across = _CHUNK[place], block.min() != block.max()
+    errors, cuts, chunks = layout(percent)
+    chunk, across = chunks[place], block.min() != block.max()
     for i in range(len(parts) - 1):
         later = i + 1 + np.flatnonzero((np.minimum(size[i], size[i + 1 :]) * 100 >= percent * np.maximum(size[i], size[i + 1 :])) & (block[i + 1 :] != block[i] if across else True))
         if not len(later):
             continue
         wrong = parts[later] != parts[i]
         distance = wrong.sum(axis=1)
-        by_chunk = np.add.reduceat(wrong, _CUTS[:-1], axis=1, dtype=np.int64)
+        by_chunk = np.add.reduceat(wrong, cuts[:-1], axis=1, dtype=np.int64)
         first = (by_chunk <= 1).argmax(axis=1)
-        left_out = np.where(by_chunk[:, chunk] == 1, wrong[:, _CUTS[chunk] : _CUTS[chunk + 1]].argmax(axis=1), 0) + _CUTS[chunk]
-        ok = (distance <= ERRORS) & (first == chunk) & (left_out == place)
+        left_out = np.where(by_chunk[:, chunk] == 1, wrong[:, cuts[chunk] : cuts[chunk + 1]].argmax(axis=1), 0) + cuts[chunk]
+        ok = (distance <= errors) & (first == chunk) & (left_out == place)
         if ok.any():
             yield i, later[ok], distance[ok]
 

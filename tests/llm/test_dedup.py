@@ -1,4 +1,7 @@
+import math
+
 import brute
+import corpus_pipeline
 import pytest
 from brute import ordered, pairs
 
@@ -67,6 +70,30 @@ def test_a_chain_and_a_large_group_in_blocks(spark, monkeypatch):
     assert ordered(rows) == ordered((d, n, c, d == c) for d, n, c in brute.near(list(enumerate(texts))))
 
 
+def test_pairs_between_80_and_85_percent(spark):
+    """A run of m changed words changes m + 4 of 96 five-word runs; the stage of the pipeline links such pairs too."""
+    texts = []
+    for i in range(60):
+        words = [f"t{i}x{j}" for j in range(100)]
+        changed = list(words)
+        changed[40 : 40 + 4 + i % 4] = [f"n{i}x{j}" for j in range(4 + i % 4)]
+        texts += [" ".join(words), " ".join(changed)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame([(*r, "en", "s", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    expect = brute.near(rows, percent=80)
+    assert len({c for _, _, c in expect}) < len({c for _, _, c in brute.near(rows, percent=85)})
+    assert ordered(map(tuple, near_duplicates(df, percent=80).collect())) == ordered((d, n, c, d == c) for d, n, c in expect)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, df, "").collect()}
+    assert kept == {d for d, _, c in expect if d == c}
+
+
+@pytest.mark.parametrize("percent", [80, 85, 90, 97, 100])
+def test_keys_are_sized_for_the_similarity(percent):
+    errors, cuts, chunk = M.layout(percent)
+    missed = sum(math.comb(M.PARTS, n) * (1 - percent / 100) ** n * (percent / 100) ** (M.PARTS - n) for n in range(errors + 1, M.PARTS + 1))
+    assert missed <= 1e-6 and errors < 2 * (len(cuts) - 1) and len(chunk) == cuts[-1] == M.PARTS
+
+
 def test_components_of_a_path_a_star_and_a_ring(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101 + i) for i in range(30)] + [(200, 201), (201, 202), (200, 202)]
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
