@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,11 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm import hashing as H
-from corpusmill.llm.html_tree import blocks_of
+from corpusmill.llm.html_tree import Block, blocks_of
 from corpusmill.session import cut_lineage
 
 MIN_PAGES, MIN_SHARE = 5, 0.1
-"""A subtree is a template of its host if it is on so many pages of it, and on such a share of them."""
+"""A subtree is a template of its host if it is on so many different pages of it, and on such a share of them."""
 _BLOCKS = pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))]))
 
 
@@ -22,21 +23,22 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
 
     Text blocks are those of the ``article``, else of the main part, else of the page, without elements that are
     boilerplate by name, class, id or role. Subtrees that recur on many pages of a host are then deleted: any block
-    element, or containers only inside an article, whose paragraphs always stay. White space inside a block becomes
+    element, or containers only inside an article, whose paragraphs always stay. Pages with the same text blocks count
+    as one there, so that copies of a page do not make its content a template. White space inside a block becomes
     one space (a line break counts as white space), blocks are joined by line ends. A null or empty ``html`` has an
-    empty text. Pages with a null ``url`` count as one host. Repeated rows are pages of their own.
+    empty text. Pages with a null ``url`` count as one host. Each row has a result of its own.
     """
     H.bounded_batches(pages.sparkSession)
     kind = pages.schema["page_id"].dataType.simpleString()
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    rows = pages.select("page_id", "url", F.xxhash64("page_id", "url").alias("key"), host.alias("host"), "html")
+    rows = pages.select("page_id", "url", F.xxhash64("page_id", "url").alias("key"), F.xxhash64(host).alias("site"), "html")
     # pages are read twice, so that only digests are kept between and only texts are shuffled, once
-    subtrees = cut_lineage(rows.select("key", "host", "html").mapInArrow(_subtrees, "key long, host string, digest long"))
+    subtrees = cut_lineage(rows.select("key", "site", "html").mapInArrow(_subtrees, "key long, site long, page long, digest long"))
     read = rows.mapInArrow(_read, f"page_id {kind}, url string, key long, blocks array<struct<text:string,around:array<long>>>")
-    on = subtrees.groupBy("host", "digest").agg(F.count("*").alias("pages")).filter(F.col("pages") >= min_pages)
-    sizes = pages.select(host.alias("host")).groupBy("host").agg(F.count("*").alias("of"))
-    templates = on.join(sizes, "host").filter(F.col("pages") >= F.col("of") * min_share).select("host", "digest")
-    flagged = subtrees.join(templates, ["host", "digest"]).groupBy("key").agg(F.collect_set("digest").alias("gone"))
+    on = subtrees.groupBy("site", "digest").agg(F.countDistinct("page").alias("pages")).filter(F.col("pages") >= min_pages)
+    sizes = subtrees.groupBy("site").agg(F.countDistinct("page").alias("of"))
+    templates = on.join(sizes, "site").filter(F.col("pages") >= F.col("of") * min_share).select("site", "digest")
+    flagged = subtrees.join(templates, ["site", "digest"]).groupBy("key").agg(F.collect_set("digest").alias("gone"))
     out = read.join(flagged, "key", "left")
     kept = F.filter("blocks", lambda b: F.col("gone").isNull() | ~F.arrays_overlap(b["around"], F.col("gone")))
     return out.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text"))
@@ -50,9 +52,17 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each digest of a page once."""
+    """Each digest of a page once, with that of the page."""
     for batch in batches:
-        found = [sorted({d for b in blocks_of(page) for d in b.around}) if page else [] for page in batch.column("html").to_pylist()]
+        read = [blocks_of(page) if page else [] for page in batch.column("html").to_pylist()]
+        found = [sorted({d for b in blocks for d in b.around}) for blocks in read]
         at = pa.array([i for i, digests in enumerate(found) for _ in digests], pa.int64())
+        whole = pa.array([_page_digest(blocks) for blocks in read], pa.int64()).take(at)
         digests = pa.array([d for digests in found for d in digests], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("host").take(at), digests], ["key", "host", "digest"])
+        yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("site").take(at), whole, digests], ["key", "site", "page", "digest"])
+
+
+def _page_digest(blocks: list[Block]) -> int:
+    """Signed 64 bits of the texts of a page's blocks."""
+    joined = "\n".join(b.text for b in blocks).encode("utf-8", "replace")
+    return int.from_bytes(hashlib.blake2b(joined, digest_size=8).digest(), "little", signed=True)

@@ -105,6 +105,19 @@ def test_templates_are_counted_by_host(spark):
     assert main_text(df.limit(0)).collect() == []
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    """Copies under several addresses and repeated rows count as one page, with and without an article."""
+    plain = "<div><h2>Head</h2><p>The whole story</p></div><p>end</p>"
+    story = "<title>{0}</title><article><div class=entry><p>The whole story</p></div><ul><li>one</ul></article>"
+    menu = "<div><p>Menu</p></div><p>text {0}</p>"
+    rows = [(i, f"http://a.example/{i}", plain) for i in range(8)] + [(20 + i, f"http://b.example/{i}", story.format(i)) for i in range(8)]
+    rows += [(40, "http://c.example/0", plain)] * 7 + [(50 + i, f"http://d.example/{i // 4}", menu.format(i // 4)) for i in range(20)]
+    rows += [(80 + i, "http://e.example/", menu.format(i // 4)) for i in range(16)]
+    found = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    whole = {i: "Head\nThe whole story\nend" for i in [*range(8), 40]} | {20 + i: "The whole story\none" for i in range(8)}
+    assert found == whole | {50 + i: f"text {i // 4}" for i in range(20)} | {80 + i: f"Menu\ntext {i // 4}" for i in range(16)}
+
+
 def pages(spark):
     rows = [(1, "http://x.example/a", "<title>T</title><p>Hi &amp; <a href='/b'>b</a><p>é"), (2, None, None), (3, "http://y\n.example", "<script>x</script>" + "z" * 100_000), (3, "http://y\n.example", "again")]
     return spark.createDataFrame([(*r, "headers") for r in rows], "page_id long, url string, html string, headers string")
