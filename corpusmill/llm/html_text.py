@@ -13,16 +13,16 @@ from corpusmill.llm import hashing as H
 from corpusmill.llm.html_tree import Block, blocks_of
 from corpusmill.session import cut_lineage
 
-MIN_PAGES, MIN_SHARE = 5, 0.1
-"""A subtree is a template of its host if it is on so many different pages of it, and on such a share of them."""
+MIN_PAGES = 5
+"""A subtree is a template of its host if it is on so many different pages of it, however many pages the host has."""
 _BLOCKS = pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))]))
 
 
-def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def main_text(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """``page_id, url, text`` per row of ``pages(page_id, url, html)``; other columns are not read.
 
     Text blocks are those of the ``article``, else of the main part, else of the page, without elements that are
-    boilerplate by name, class, id or role. Subtrees that recur on many pages of a host are then deleted: any block
+    boilerplate by name, class, id or role. Subtrees on ``min_pages`` pages of a host are then deleted: any block
     element, or containers only inside an article, whose paragraphs always stay. Pages with the same text blocks count
     as one there, so that copies of a page do not make its content a template. White space inside a block becomes
     one space (a line break counts as white space), blocks are joined by line ends. A null or empty ``html`` has an
@@ -35,9 +35,8 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     # pages are read twice, so that only digests are kept between and only texts are shuffled, once
     subtrees = cut_lineage(rows.select("key", "site", "html").mapInArrow(_subtrees, "key long, site long, page long, digest long"))
     read = rows.mapInArrow(_read, f"page_id {kind}, url string, key long, blocks array<struct<text:string,around:array<long>>>")
-    on = subtrees.groupBy("site", "digest").agg(F.countDistinct("page").alias("pages")).filter(F.col("pages") >= min_pages)
-    sizes = subtrees.groupBy("site").agg(F.countDistinct("page").alias("of"))
-    templates = on.join(sizes, "site").filter(F.col("pages") >= F.col("of") * min_share).select("site", "digest")
+    on = subtrees.groupBy("site", "digest").agg(F.countDistinct("page").alias("pages"))
+    templates = on.filter(F.col("pages") >= min_pages).select("site", "digest")
     flagged = subtrees.join(templates, ["site", "digest"]).groupBy("key").agg(F.collect_set("digest").alias("gone"))
     out = read.join(flagged, "key", "left")
     kept = F.filter("blocks", lambda b: F.col("gone").isNull() | ~F.arrays_overlap(b["around"], F.col("gone")))

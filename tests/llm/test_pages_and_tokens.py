@@ -118,6 +118,14 @@ def test_copies_of_a_page_are_no_template(spark):
     assert found == whole | {50 + i: f"text {i // 4}" for i in range(20)} | {80 + i: f"Menu\ntext {i // 4}" for i in range(16)}
 
 
+def test_a_template_on_a_small_share_of_a_large_host(spark):
+    """Six pages of 400 have a section menu, four have a box that is too rare."""
+    page = "<div><ul><li>Section menu</ul></div><p>text {0}</p>"
+    rows = [(i, f"http://a.example/{i}", (page if i < 6 else page.replace("Section menu", "Box") if i < 10 else "<p>text {0}</p>").format(i)) for i in range(400)]
+    found = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: f"Box\ntext {i}" if 6 <= i < 10 else f"text {i}" for i in range(400)}
+
+
 def pages(spark):
     rows = [(1, "http://x.example/a", "<title>T</title><p>Hi &amp; <a href='/b'>b</a><p>é"), (2, None, None), (3, "http://y\n.example", "<script>x</script>" + "z" * 100_000), (3, "http://y\n.example", "again")]
     return spark.createDataFrame([(*r, "headers") for r in rows], "page_id long, url string, html string, headers string")
