@@ -16,10 +16,11 @@ PATTERNS = {
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
-"""The kinds in the order in which equal starts are listed; the first four are the base kinds."""
+"""The kinds in the order in which equal starts are listed; the first four are the base kinds. That of ``iban`` matches
+country and check digits only; what may belong to it is looked ahead at, as its end is found by the checksum."""
 BASE = ("email", "ip", "card", "phone")
 _HINT = {"email": "@", "ip": ".", "card": None, "phone": "+", "iban": None, "ssn": "-"}
 _PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.3}
@@ -31,6 +32,12 @@ _CONTEXT = {
     "iban": "iban|account|bank|transfer",
     "ssn": "ssn|social|security|taxpayer",
 }
+_IBAN_LENGTH = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+"""Countries by the length of their account numbers, as registered under ISO 13616."""
 NEAR = 40
 """Characters before a span in which its context words count."""
 LEAST = 0.5
@@ -42,7 +49,8 @@ def personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Offsets are code points, the end is exclusive. Base kinds are leftmost, non-overlapping matches of their pattern
     that pass its check: parts of an ``ip`` up to 255, ``card`` 14 to 19 digits with a right Luhn sum, ``phone`` 10 to
-    15 digits; failing ones are dropped without another try. ``iban`` (sum modulo 97 is 1) and ``ssn`` need a score of
+    15 digits; failing ones are dropped without another try. ``iban`` is 15 to 34 characters with a sum modulo 97 of 1 up
+    to a word's end, of its country's length if that fits, else as long as possible. It and ``ssn`` need a score of
     ``LEAST``, which context words raise. A null or empty text has no spans. All other columns stay; a column that is
     called ``pii`` is replaced.
     """
@@ -57,18 +65,20 @@ def _spans(text: Column, kind: str, order: int) -> Column:
     may = F.contains(text, F.lit(hint)) if hint else text.rlike("[0-9]{2}" if kind == "iban" else "[0-9]")
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<start:int,match:string,before:string>>")
+    empty = F.array().cast("array<struct<start:int,match:string,before:string,tail:string>>")
     step = lambda a, x: F.struct(
         (a["at"] + F.char_length(x["piece"]) + F.char_length(x["match"])).alias("at"),
         F.concat(
             a["out"],
-            F.array(F.struct((a["at"] + F.char_length(x["piece"])).alias("start"), x["match"].alias("match"), F.right(x["piece"], F.lit(NEAR)).alias("before"))),
+            F.array(F.struct((a["at"] + F.char_length(x["piece"])).alias("start"), x["match"].alias("match"), F.right(x["piece"], F.lit(NEAR)).alias("before"), x["tail"].alias("tail"))),
         ).alias("out"),
     )
-    zipped = F.transform(matches, lambda m, i: F.struct(F.get(pieces, i).alias("piece"), m.alias("match")))
+    tails = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if kind == "iban" else matches
+    zipped = F.arrays_zip(pieces.alias("piece"), matches.alias("match"), tails.alias("tail"))
+    zipped = F.filter(zipped, lambda x: x["match"].isNotNull())  # the last piece has none
     placed = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda a: a["out"])
     score = lambda x: F.least(F.lit(1.0), F.lit(_PRIOR[kind]) + F.when(F.lower(x["before"]).rlike(_CONTEXT[kind]), F.lit(0.3)).otherwise(F.lit(0.0)))
-    ok = F.filter(placed, lambda x: _valid(kind, x["match"]))
+    ok = _ibans(placed) if kind == "iban" else F.filter(placed, lambda x: _valid(kind, x["match"]))
     spans = F.transform(ok, lambda x: F.struct(x["start"].alias("start"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), (x["start"] + F.char_length(x["match"])).alias("end"), score(x).alias("score")))
     if kind not in BASE:
         spans = F.filter(spans, lambda x: x["score"] >= LEAST)
@@ -84,11 +94,27 @@ def _valid(kind: str, match: Column) -> Column:
         return F.char_length(digits).between(14, 19) & (_luhn(digits) % 10 == 0)
     if kind == "phone":
         return F.char_length(digits).between(10, 15)
-    if kind == "iban":
-        return F.char_length(F.replace(match, F.lit(" "), F.lit(""))).between(15, 34) & (_mod97(F.replace(match, F.lit(" "), F.lit(""))) == 1)
     return F.lit(True)
 
 
+def _ibans(placed: Column) -> Column:
+    """Account numbers at the proposed starts; a start inside an account number is none.
+
+    Of the ends at a word's end where the checksum is right it is the one at the country's length, or else the last.
+    """
+    compact = lambda s: F.replace(s, F.lit(" "), F.lit(""))
+    ends = lambda words: F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))
+    right = lambda s: ~s.rlike("[a-z]") & F.when(F.char_length(compact(s)).between(15, 34), _mod97(compact(s)) == 1).otherwise(F.lit(False))
+    found = F.transform(placed, lambda x: F.struct(x["start"].alias("start"), F.filter(ends(F.split(F.concat(x["match"], x["tail"]), " ")), right).alias("ends"), x["before"].alias("before")))
+    found = F.filter(found, lambda x: F.size(x["ends"]) > 0)
+    size = lambda s: F.coalesce(*(F.when(F.left(s, F.lit(2)).isin(names.split()), F.lit(n)) for n, names in _IBAN_LENGTH.items()))
+    best = lambda x: F.coalesce(F.get(F.filter(x["ends"], lambda s: F.char_length(compact(s)) == size(s)), F.lit(0)), F.get(x["ends"], F.size(x["ends"]) - 1))
+    named = F.transform(found, lambda x: F.struct(x["start"].alias("start"), best(x).alias("match"), x["before"].alias("before")))
+    empty = F.array().cast("array<struct<start:int,match:string,before:string>>")
+    step = lambda a, x: F.struct((x["start"] + F.char_length(x["match"])).alias("end"), F.concat(a["out"], F.array(x)).alias("out"))
+    return F.aggregate(named, F.struct(F.lit(0).alias("end"), empty.alias("out")), lambda a, x: F.when(x["start"] >= a["end"], step(a, x)).otherwise(a), lambda a: a["out"])
+
+
 def _luhn(digits: Column) -> Column:
     """From the right, every second digit counts double, less 9 if that is above 9."""
     doubled = lambda d: F.when(d > 4, 2 * d - 9).otherwise(2 * d)

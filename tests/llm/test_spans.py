@@ -37,6 +37,24 @@ def test_personal_data_as_brute_force(spark):
     assert more[5] == [("ssn", "123-45-6789")] and all(r["secrets"] == "secrets" for r in rows)
 
 
+def test_account_numbers_before_any_word(spark):
+    """Capitals, numbers, lower case, another account number or a long run of groups may follow."""
+    cases = {
+        "GB82WEST12345698765432 The bank": ["GB82WEST12345698765432"],
+        "DE89370400440532013000 Please pay": ["DE89370400440532013000"],
+        "DE89 3704 0044 0532 0130 00 2024 A1": ["DE89 3704 0044 0532 0130 00"],
+        "é NO93 8601 1117 947 IBAN": ["NO93 8601 1117 947"],
+        "GB82 WEST 1234 5698 7654 32 DE89370400440532013000 GB82WEST12345698765432, X": ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "GB82WEST12345698765432"],
+        "AB12 DE89370400440532013000 B": ["DE89370400440532013000"],
+        "GB82WEST12345698765432X GB82WEST12345698765432x GB82WEST12345698765433 A xGB82WEST12345698765432": [],
+        "DE89370400440532013000 " + "AB12 " * 20: ["DE89370400440532013000"],
+        "AA00 " * 500: [],
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "text string")
+    found = {r["text"]: [r["text"][s["start"] : s["end"]] for s in r["pii"] if s["kind"] == "iban"] for r in pii.personal_data(df).collect()}
+    assert found == cases
+
+
 def test_context_raises_the_score(spark):
     df = spark.createDataFrame([("call +1 706 555 3138",), ("over +1 706 555 3138",)], "text string")
     assert [r["pii"][0]["score"] for r in pii.personal_data(df).collect()] == [1.0, 0.7]
