@@ -31,6 +31,19 @@ class Rule(NamedTuple):
     """Matches are dropped whose ``group`` has fewer characters."""
 
 
+_GAP = rb"(?:\s|\\[nrt]|[\"'>|,;#*\\])"
+_PLAIN = rb"(?![A-Za-z]?[a-z]*+(?![A-Za-z0-9+/=]))"
+_KEY_HEADS = rb"(?:\s*+[A-Za-z][A-Za-z0-9-]*+:\x20[^\r\n]*+(?=[\r\n]))*+"
+_KEY_BODY = (
+    _KEY_HEADS
+    + rb"(?:(?:" + _GAP + rb"|[A-Za-z0-9+/=])*+-----END [A-Z ]*PRIVATE KEY-----"
+    + rb"|(?:" + _GAP + rb"++" + _PLAIN + rb"[A-Za-z0-9+/]{16,}+={0,2}+)++"
+    + rb"(?:(?:(?!\x20)" + _GAP + rb")++" + _PLAIN + rb"[A-Za-z0-9+/]++={0,2}+(?=[\x20\t]*+(?:[\r\n\\\"']|\Z))|" + _GAP + rb"++[A-Za-z0-9+/]++={1,2}+)?"
+    + rb")?"
+)
+"""What follows the first line of a private key: headers, then base64 up to the END line. Where that is missing, groups of
+16 and more base64 characters that are no plain word, and a shorter last one that has its line for itself or is padded.
+Line ends may be escaped, and lines quoted or indented."""
 RULES = (
     Rule("assign", rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", True, 2, 6),
     Rule("access", rb"AKIA[A-Z0-9]+", least=20),
@@ -39,7 +52,7 @@ RULES = (
     Rule("slack", rb"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", rb"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", rb"[sr]k_live_[A-Za-z0-9]{16,}"),
-    Rule("private_key", rb"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", rb"-----BEGIN [A-Z ]*PRIVATE KEY-----" + _KEY_BODY),
     Rule("jwt", rb"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
 )
 """In the order in which equal starts are listed; the first three are the base kinds."""

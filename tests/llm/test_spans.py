@@ -73,6 +73,27 @@ def test_redaction(spark):
     assert [tuple(r) for r in secrets.redact_secrets(df).orderBy("doc_id").collect()] == [(1, "é [secret] x", "t"), (2, None, "u")]
 
 
+def test_redaction_of_whole_private_keys(spark):
+    """Body and END line go with the first line of a key, also where END is missing or line ends are escaped."""
+    lines = ["MIIEpAIBAAKCAQEA" + "aB3/" * 12, "q+Zx" * 16, "Kd93kfA0="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    heads = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n"
+    cases = {
+        "é a\n" + "\n".join([begin, *lines, end]) + "\nb": "é a\n[secret]\nb",
+        "\r\n".join([begin, *lines, end, "b"]): "[secret]\r\nb",
+        "\n".join([begin, heads + lines[0], *lines[1:], end, "b"]): "[secret]\nb",
+        '{"k": "' + "\\n".join([begin, *lines, end]) + '"}': '{"k": "[secret]"}',
+        " ".join([begin, *lines, end, "b"]): "[secret] b",
+        "\n".join([begin, *lines, "The next line"]): "[secret]\nThe next line",
+        "\n".join([begin, lines[0], "q+Zx8"]): "[secret]",
+        " ".join([begin, *lines, "Then words"]): "[secret] Then words",
+        f"{begin} starts a key. characterization matters": "[secret] starts a key. characterization matters",
+        "\n".join([begin, lines[0], begin, lines[1], end]): "[secret]\n[secret]",
+    }
+    df = spark.createDataFrame([(a, a) for a in cases], "before string, text string")
+    assert {r["before"]: r["text"] for r in secrets.redact_secrets(df).collect()} == cases
+
+
 def test_trigram_queries():
     assert trigram_query(b"AKIA[A-Z0-9]+") == ("and", (b"aki", b"kia"))
     assert trigram_query(b"[0-9a-f]{24,}") is None and trigram_query(b"abc|de") is None
