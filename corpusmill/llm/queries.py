@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.ann import nearest
 from corpusmill.llm.decontaminate import contamination
-from corpusmill.llm import pii, secrets, sentencepiece, warc
+from corpusmill.llm import merkle, pii, secrets, sentencepiece, warc
 from corpusmill.llm.html_text import main_text
 from corpusmill.llm.minhash import near_duplicates
 from corpusmill.llm.quality import fit_quality, held_out, score_quality
@@ -210,5 +210,61 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)),
+  lambda r, b: list_reduce(list_prepend(xor(r, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, zero: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+"""CRC-32 of an ASCII text, bit by bit."""
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+    return "sha256(concat(" + ", ".join(f"coalesce(CAST(strlen({f}) AS VARCHAR) || ':' || {f}, '-')" for f in fields) + "))"
+
+
+def _levels_sql(name: str, start: str) -> str:
+    """All levels over lists of digests: ``tree, l, nodes``."""
+    up = "list_transform(range(0, (len(nodes) + 15) // 16), lambda i: sha256(array_to_string(nodes[16 * i + 1:16 * i + 16], '')))"
+    return f"{name}(tree, l, nodes) AS ({start} UNION ALL SELECT tree, l + 1, {up} FROM {name} WHERE len(nodes) > 1)"
+
+
+def _steps_sql(place: str) -> str:
+    """The siblings and the place in the run at each level, from a 0-based place among the leaves."""
+    p = f"({place} // CAST(pow(16, l) AS BIGINT))"
+    return f"CAST({p} % 16 AS BIGINT) AS k, list_filter(nodes[16 * ({p} // 16) + 1:16 * ({p} // 16) + 16], lambda x, i: i <> 1 + {p} % 16) AS others"
+
+
+MERKLE = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || source, '') AS tree, {_leaf_sql("text")} AS leaf,
+    CASE WHEN {_CRC.format(text="CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p FROM d),
+{_levels_sql("lower_levels", "SELECT tree, 0, list(leaf ORDER BY p) FROM placed GROUP BY tree")},
+subroots AS (SELECT tree, nodes[1] AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS q FROM lower_levels WHERE len(nodes) = 1),
+{_levels_sql("upper_levels", "SELECT '', 0, list(subroot ORDER BY q) FROM subroots")},
+top AS (SELECT nodes[1] AS root FROM upper_levels WHERE len(nodes) = 1),
+steps AS (SELECT tree, p, l, {_steps_sql("p")} FROM placed JOIN lower_levels USING (tree) WHERE len(nodes) > 1
+  UNION ALL SELECT tree, p, 1000 + l, {_steps_sql("q")} FROM placed JOIN subroots USING (tree), upper_levels u(none, l, nodes) WHERE len(nodes) > 1),
+numbered AS (SELECT tree, p, row_number() OVER (PARTITION BY tree, p ORDER BY l) AS i, k, others FROM steps),
+fold(tree, p, i, node) AS (SELECT tree, p, 0, coalesce(changed, leaf) FROM placed
+  UNION ALL SELECT f.tree, f.p, f.i + 1, sha256(concat(array_to_string(others[1:k], ''), node, array_to_string(others[k + 1:], '')))
+  FROM fold f JOIN numbered n ON n.tree = f.tree AND n.p = f.p AND n.i = f.i + 1),
+proof AS (SELECT tree, p, string_agg(array_to_string(others, ''), '' ORDER BY i) AS others, count(*) AS n FROM numbered GROUP BY tree, p)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(others, '')) AS proof_sha256, node AS folded_root, node = root AS verified
+FROM placed JOIN subroots USING (tree) CROSS JOIN top LEFT JOIN proof USING (tree, p) JOIN fold f ON f.tree = placed.tree AND f.p = placed.p AND f.i = coalesce(n, 0)
+"""
+
+
+@query("op13_merkle", MERKLE)
+def merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_query(table(spark, sf_dir, "documents"))
+
+
+def merkle_query(docs: DataFrame) -> DataFrame:
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    fields = [F.col(c) for c in merkle.FIELDS if c != "text"]
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, merkle.leaf_digest(*fields, lowered))
+    proofs = merkle.dataset_proofs(docs, changed=changed)
+    found = proofs.withColumn("folded_root", merkle.folded(F.coalesce("changed", "leaf"), F.col("steps")))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 CHECKS = {"op5_secrets": _spans_sql(SECRETS, _SECRET_COUNTS).format(columns=_SECRET_COLUMNS), "op4_pii": _spans_sql(PERSONAL, _COUNTS).format(columns=_COLUMNS)}
 """SQL for those columns of a query that SQL can give; tests compare with it."""
