@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.ann import nearest
 from corpusmill.llm.decontaminate import contamination
-from corpusmill.llm import merkle, pii, secrets, sentencepiece, warc
+from corpusmill.llm import conversation_repair, merkle, pii, secrets, sentencepiece, warc
 from corpusmill.llm.html_text import main_text
 from corpusmill.llm.minhash import near_duplicates
 from corpusmill.llm.quality import fit_quality, held_out, score_quality
@@ -266,5 +266,81 @@ def merkle_query(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+_KEY = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+_ENDS = r"[.!?][\x20\x09-\x0D]*$"
+
+
+def _way(state: str, cost: str, letter: str, line: str) -> str:
+    """One more edit: cost, letters so far, lines so far."""
+    return f"{{{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': list_concat({state}.t, {line})}}}}".replace("{{", "{").replace("}}", "}")
+
+
+def _least_sql(*ways: str) -> str:
+    return f"list_sort([{', '.join(ways)}])[1]"
+
+
+def _inserted_sql(source: str) -> str:
+    """States 2 and 3 with rows inserted: after any state a user row, after that an assistant row."""
+    two = _least_sql("v2", *(_way(v, "2", "I", "['user:']") for v in ("v0", "v1", "v3")))
+    return f"SELECT * EXCLUDE (v2, v3), w2 AS v2, {_least_sql('v3', _way('w2', '2', 'I', chr(91) + chr(39) + 'assistant:' + chr(39) + chr(93)))} AS v3 FROM (SELECT *, {two} AS w2 FROM {source})"
+
+
+def _row_sql() -> str:
+    """The states behind a row, from those in front of it."""
+    none, line, far = "CAST([] AS VARCHAR[])", "[role || ':' || text]", "CASE WHEN {} THEN open ELSE 1000000 END"
+    keep = lambda v, c: _way(v, far.format(f"NOT bad AND role[1] = '{c}'"), "K", line)
+    name = lambda v, role: _way(v, far.format("NOT bad") + " + 2", "R", f"['{role}:' || text]")
+    gone = lambda v: _way(v, "3", "D", none)
+    two = [gone("v2"), *(keep(v, "u") for v in ("v0", "v1", "v3")), *(name(v, "user") for v in ("v0", "v1", "v3"))]
+    return ", ".join([gone("v0"), _least_sql(gone("v1"), keep("v0", "s")), _least_sql(*two), _least_sql(gone("v3"), keep("v2", "a"), name("v2", "assistant"))])
+
+
+_EMPTY = "{'c': CAST(0 AS BIGINT), 'a': '', 't': CAST([] AS VARCHAR[])}"
+_FAR = "{'c': CAST(1000000 AS BIGINT), 'a': '', 't': CAST([] AS VARCHAR[])}"
+REPAIR = f"""
+WITH RECURSIVE given AS (SELECT conv_id, coalesce('=' || conv_id, '') AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC.format(text=_KEY)} % 20 AS h FROM conversations),
+damaged AS (SELECT conv, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(0, CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM given),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, md5(strlen(role) || ':' || role || text), copy) - 1 AS i FROM damaged),
+judged AS (SELECT *, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank, row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 AS again,
+    NOT regexp_matches(text, '{_ENDS}') AS cut, lag(role) OVER (PARTITION BY conv ORDER BY i) AS before FROM placed),
+f AS (SELECT conv, i, role, text, blank OR again AS bad, CAST(cut AS INT) AS open FROM judged),
+counts AS (SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND again) AS duplicate,
+    count(*) FILTER (NOT blank AND NOT again AND cut) AS truncated, count(*) FILTER (before IS NOT NULL AND before[1] || role[1] NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+    FROM judged GROUP BY conv),
+walk(conv, nth, v0, v1, v2, v3) AS (SELECT conv, 0, {_EMPTY}, {_FAR}, {_FAR}, {_FAR} FROM counts
+  UNION ALL SELECT conv, nth + 1, {_row_sql()} FROM ({_inserted_sql("walk")}) JOIN f USING (conv) WHERE f.i = nth),
+done AS (SELECT conv, {_least_sql("v0", "v3")} AS best FROM ({_inserted_sql("(SELECT walk.* FROM walk JOIN counts USING (conv) WHERE nth = n)")}))
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(best.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, conv FROM given) LEFT JOIN counts USING (conv) LEFT JOIN done USING (conv)
+"""
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults, by the checksum of conversation and turn."""
+    key = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
+    role, text = F.coalesce("role", F.lit(" ")), F.coalesce("text", F.lit(" "))
+    fault = lambda k: F.col("_fault") == k
+    hit = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.crc32(key) % 20).alias("_fault")).filter(~fault(0))
+    said = F.when(fault(1), "").when(fault(2), F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    copies = F.explode(F.array_repeat(F.lit(0), F.when(fault(3), 2).otherwise(1)))
+    return hit.select("conv_id", "turn", F.when(fault(4), "user").otherwise(F.col("role")).alias("role"), said.alias("text"), copies.alias("_copy")).drop("_copy")
+
+
+@query("op12_conversation_repair", REPAIR)
+def repaired_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_query(table(spark, sf_dir, "conversations"))
+
+
+def repair_query(rows: DataFrame) -> DataFrame:
+    repair = conversation_repair.repair_conversations(damaged(rows), whole=True)
+    digests = conversation_repair.conversation_digests(repair.rows)
+    every = rows.select("conv_id").distinct().withColumn("conv", conversation_repair.conv_key(F.col("conv_id")))
+    out = every.join(repair.reports, "conv", "left").join(digests, "conv", "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 CHECKS = {"op5_secrets": _spans_sql(SECRETS, _SECRET_COUNTS).format(columns=_SECRET_COLUMNS), "op4_pii": _spans_sql(PERSONAL, _COUNTS).format(columns=_COLUMNS)}
 """SQL for those columns of a query that SQL can give; tests compare with it."""
