@@ -1,4 +1,4 @@
-"""The ten operators as named queries over the driver tables, with SQL where SQL can express them."""
+"""The operators as named queries over the driver tables, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.ann import nearest
 from corpusmill.llm.decontaminate import contamination
-from corpusmill.llm import conversation_repair, merkle, pii, secrets, sentencepiece, warc
+from corpusmill.llm import conversation_repair, licenses, merkle, pii, secrets, sentencepiece, warc
 from corpusmill.llm.html_text import main_text
 from corpusmill.llm.minhash import near_duplicates
 from corpusmill.llm.quality import fit_quality, held_out, score_quality
@@ -342,5 +342,35 @@ def repair_query(rows: DataFrame) -> DataFrame:
     return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
-CHECKS = {"op5_secrets": _spans_sql(SECRETS, _SECRET_COUNTS).format(columns=_SECRET_COLUMNS), "op4_pii": _spans_sql(PERSONAL, _COUNTS).format(columns=_COLUMNS)}
+NOTICES = f"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex({LOWER}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+p(label, phrase) AS (VALUES ('cc-by', ['cc', 'by']), ('gpl', ['general', 'public', 'license']), ('reserved', ['all', 'rights', 'reserved'])),
+at AS (SELECT doc_id, label, unnest(list_filter(range(0, len(ws)), lambda i: ws[i + 1:i + len(phrase)] = phrase)) AS i FROM w, p),
+g AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM at GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels FROM w LEFT JOIN g USING (doc_id)
+"""
+
+
+@query("op11_licenses")
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_query(table(spark, sf_dir, "documents"))
+
+
+def license_query(docs: DataFrame) -> DataFrame:
+    found = licenses.find_licenses(docs.select("doc_id", "text")).select("doc_id", "n_words", "licenses", licenses.base_places(F.col("licenses")).alias("base"))
+    words = F.transform("base", lambda x: x["word"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(words).alias("first_word"),
+        F.array_max(words).alias("last_word"),
+        licenses.label_list(F.col("base")).alias("base_labels"),
+        licenses.label_list(F.col("licenses")).alias("labels"),
+        licenses.certainty(F.col("licenses")).alias("score"),
+        licenses.openness(F.col("licenses")).alias("openness"),
+    )
+
+
+CHECKS = {"op5_secrets": _spans_sql(SECRETS, _SECRET_COUNTS).format(columns=_SECRET_COLUMNS), "op4_pii": _spans_sql(PERSONAL, _COUNTS).format(columns=_COLUMNS), "op11_licenses": NOTICES}
 """SQL for those columns of a query that SQL can give; tests compare with it."""
