@@ -16,7 +16,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm import hashing as H
@@ -27,7 +27,9 @@ PARTS = 64
 MISSED = 1e-6
 """Share of pairs at the similarity asked for that may differ in more values than keys allow for, at most."""
 BLOCK = 512
-"""Members of one key that are compared in one task; larger keys are compared block by block."""
+"""Nodes of one key, or partners of one node, that meet in one task; more are dealt out in blocks."""
+STARS = 2
+"""Times that the nodes of each key are compared with one of them before pairs are looked for."""
 _SEEDS = np.random.default_rng(64).integers(0, 2**64, (2, PARTS), dtype=np.uint64) | np.uint64(1)
 _BREAKS = H.white_space()
 
@@ -52,49 +54,133 @@ def layout(percent: int) -> Layout:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` per row of ``docs(doc_id, text)``; other columns are not read.
+    """``doc_id, n_shingles, component_id, kept, text_key, first`` per row of ``docs(doc_id, text)``; other columns are not read.
 
     A-Z is lower-cased; words are runs of bytes other than 09-0D and 20. A document's set holds its distinct runs of
     ``words`` words, or its whole sequence if that is shorter; no words or no text give an empty set, linked with
     nothing. Documents are linked when ``100 * common >= percent * union`` (``percent`` at least 80). A component is
-    named after its smallest ``doc_id``, which alone is kept. Repeated rows have equal results. A row without
-    ``doc_id`` names no component; it is kept if its component would be null.
+    named after its smallest ``doc_id``, which alone is kept. Repeated rows have equal results. Rows that share an id
+    but not their text are compared like any others. A row without ``doc_id`` names no component; it is kept if its
+    component would be null.
+
+    ``text_key`` is the 64-bit hash of the text. ``first`` marks the one text of a component to keep, also where its id
+    has other texts: of its smallest id the one with the least ``text_key`` (rows with empty sets are all first).
     """
     if percent < 80:
         raise ValueError("keys are sized for similarities of 0.8 and more")
     H.bounded_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", "text")
-    sets = cut_lineage(texts.mapInArrow(_signer(words), f"doc_id {id_type}, n_shingles long, h1 long, h2 long, signature binary"))
-    classes = sets.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"))
-    firsts = sets.join(classes, ["doc_id", "h1", "h2"]).dropDuplicates(["doc_id", "h1", "h2"])
-    links = _links(texts, firsts, percent, words, id_type)
-    named = classes.join(components(links), F.col("doc_id") == F.col("node"), "left")
-    named = named.select("h1", "h2", F.coalesce("component", "doc_id").alias("component"))
-    out = sets.join(named, ["h1", "h2"], "left").withColumn("component_id", F.coalesce("component", "doc_id"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    sets = cut_lineage(texts.mapInArrow(_signer(words), f"doc_id {id_type}, text_key long, n_shingles long, h1 long, h2 long, signature binary"))
+    same = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2")
+    top = F.min(F.struct("doc_id", "text_key")).alias("top")
+    classes = same.agg(top, F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    classes = cut_lineage(classes.select("h1", "h2", "top", "n_shingles", "signature", F.monotonically_increasing_id().alias("node")))
+    parts = components(_links(texts, classes, percent, words))
+    parts = parts.union(parts.select("component", "component").distinct())
+    tops = parts.join(classes.select("node", "top"), "node").groupBy("component").agg(F.min("top").alias("least"))
+    named = classes.select("h1", "h2", "node", "top").join(parts.join(tops, "component"), "node", "left")
+    named = named.select("h1", "h2", F.coalesce("least", "top").alias("least"))
+    out = sets.join(named, ["h1", "h2"], "left").withColumn("component_id", F.coalesce("least.doc_id", "doc_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
-    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
-
+    first = F.when(F.col("least").isNull(), True).otherwise(F.struct("doc_id", "text_key").eqNullSafe(F.col("least")))
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "text_key", first.alias("first"))
 
-def _links(texts: DataFrame, firsts: DataFrame, percent: int, words: int, id_type: str) -> DataFrame:
-    """``a, b``: enough confirmed links between different sets to connect all that links connect."""
-    keys = firsts.select("doc_id", "signature").mapInArrow(_keys(percent), f"doc_id {id_type}, key long, place int")
-    same = Window.partitionBy("key")
-    shared = keys.withColumn("times", F.count("*").over(same)).filter("times > 1")
-    blocks = F.ceil(F.col("times") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(mine, j).alias("low"), F.greatest(mine, j).alias("high")))
-    dealt = shared.select("doc_id", "place", mine.alias("block"), "key", F.explode(cells).alias("cell"))
-    dealt = dealt.select("doc_id", "place", "block", F.xxhash64("key", "cell").alias("cell"))
-    signed = dealt.join(firsts.select("doc_id", "n_shingles", "signature"), "doc_id")
-    schema = f"cell long, place int, block int, doc_id {id_type}, n_shingles long, signature binary"
-    near = _by_cell(signed).mapInArrow(_near(percent), schema)
-    whole = near.join(texts, "doc_id")
-    return _by_cell(whole).mapInArrow(_confirmed(percent, words), f"a {id_type}, b {id_type}")
 
+def _links(texts: DataFrame, classes: DataFrame, percent: int, words: int) -> DataFrame:
+    """``a, b``: enough confirmed links between nodes to connect all that links connect.
 
-def _by_cell(rows: DataFrame) -> DataFrame:
-    return rows.repartition("cell").sortWithinPartitions("cell")
+    Nodes that share a key are first compared with one of them, so that a group of copies is connected by as many
+    comparisons as it has members. Only pairs of nodes still apart are looked for after that: of each node the nearest
+    in each other part, then all the rest.
+    """
+    nodes = classes.select("node", "n_shingles", "signature")
+    keys = nodes.select("node", "signature").mapInArrow(_keys(percent), "node long, key long, place int")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
+    members = cut_lineage(keys.join(shared, "key"))
+    wanted = classes.join(members.select("node").distinct(), "node").select("node", "top.*")
+    bodies = texts.join(wanted, ["doc_id", "text_key"]).dropDuplicates(["node"]).select("node", "text")
+    bodies = cut_lineage(bodies)
+    links, parts = [], None
+    for turn in range(STARS):
+        spokes = cut_lineage(_nearest(_measured(_spokes(_labelled(members, parts), turn), nodes, percent), ["b"]))
+        if spokes.isEmpty():
+            break
+        links.append(cut_lineage(_confirmed(spokes, bodies, percent, words)))
+        parts = cut_lineage(components(_union(links)))
+    pairs = cut_lineage(_apart(_labelled(members, parts), nodes, percent))
+    if not pairs.isEmpty():
+        links.append(cut_lineage(_confirmed(_nearest(pairs, ["a", "part"]), bodies, percent, words)))
+        parts = components(_union(links))
+        rest = _labelled(_labelled(pairs.drop("part"), parts, "a", "from"), parts, "b", "part").filter(F.col("from") != F.col("part"))
+        links.append(_confirmed(rest.drop("from"), bodies, percent, words))
+    return _union(links) if links else members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+
+
+def _union(links: list[DataFrame]) -> DataFrame:
+    out = links[0]
+    for more in links[1:]:
+        out = out.union(more)
+    return out
+
+
+def _labelled(rows: DataFrame, parts: DataFrame | None, node: str = "node", out: str = "part") -> DataFrame:
+    """``rows`` with the part that ``node`` is connected to so far, itself if to none."""
+    if parts is None:
+        return rows.withColumn(out, F.col(node))
+    named = parts.select(F.col("node").alias(node), F.col("component").alias("_part"))
+    return rows.join(named, node, "left").withColumn(out, F.coalesce("_part", node)).drop("_part")
+
+
+def _spokes(members: DataFrame, turn: int) -> DataFrame:
+    """``a, b, part``: for each key whose nodes are apart, one of them with all others of other parts."""
+    hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "part")).alias("hub")
+    hubs = members.groupBy("key").agg(hub, F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").drop("low", "high")
+    pairs = members.join(hubs, "key").filter(F.col("part") != F.col("hub.part"))
+    return pairs.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), "part").distinct()
+
+
+def _measured(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs within the distance, with it."""
+    for side in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("signature").alias(f"signature_{side}")), side)
+    return pairs.mapInArrow(_distances(percent), "a long, b long, part long, distance int")
+
+
+def _nearest(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """Of the pairs that agree in ``by`` the nearest."""
+    near = F.min(F.struct("distance", *(c for c in ("a", "b", "part") if c not in by))).alias("near")
+    return pairs.groupBy(*by).agg(near).select(*by, "near.*").select("a", "b", "part", "distance")
+
+
+def _apart(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """``a, b, part, distance``: the pairs of nodes in different parts that share a key and are within the distance.
+
+    The nodes of a key outside its largest part visit all of it, block by block, ``part`` being that of ``b``.
+    """
+    sizes = members.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    keys = sizes.groupBy("key").agg(F.max(F.struct("n", "part")).alias("most"), F.sum("n").alias("n"))
+    keys = keys.filter("n > most.n").select("key", F.col("most.part").alias("major"), F.ceil(F.col("n") / BLOCK).cast("int").alias("homes"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("tours"))
+    rows = members.join(keys, "key").withColumn("minor", F.col("part") != F.col("major"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    stay = rows.select("key", "place", "node", "part", "minor", F.lit(False).alias("visits"), F.explode(upto("tours")).alias("tour"), F.pmod(F.xxhash64("node"), "homes").cast("int").alias("home"))
+    visit = rows.filter("minor").select("key", "place", "node", "part", "minor", F.lit(True).alias("visits"), F.pmod(F.xxhash64("node", F.lit(1)), "tours").cast("int").alias("tour"), F.explode(upto("homes")).alias("home"))
+    both = stay.union(visit.select(*stay.columns)).withColumn("cell", F.xxhash64("key", "tour", "home"))
+    cells = both.select("cell", "place", "node", "part", "minor", "visits").join(nodes, "node")
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_crossed(percent), "a long, b long, part long, distance int")
+
+
+def _confirmed(pairs: DataFrame, bodies: DataFrame, percent: int, words: int) -> DataFrame:
+    """``a, b``: the pairs that are links by their whole sets; of the pairs of ``a`` with a ``part``, up to the first.
+
+    The partners of ``a`` come by as a stream, nearest first; many of them are dealt out in blocks.
+    """
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = pairs.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b"), "blocks").cast("int"))
+    heads = dealt.select("a", "block", F.col("a").alias("node"), F.lit(-1).cast("long").alias("part"), F.lit(-1).alias("distance")).distinct()
+    rows = heads.union(dealt.select("a", "block", F.col("b").alias("node"), "part", "distance")).join(bodies, "node")
+    dealt = rows.repartition("a", "block").sortWithinPartitions("a", "block", "distance", "node")
+    return dealt.select("a", "block", "node", "part", "distance", "text").mapInArrow(_linked(percent, words), "a long, b long")
 
 
 def shingles(batch: pa.RecordBatch | pa.Table, words: int) -> Iterator[np.ndarray]:
@@ -128,7 +214,8 @@ def _signer(words: int):
                 two.append(int(H.mixed(s ^ np.uint64(len(s))).sum(dtype=np.uint64)))
                 signatures.append(_signature(s))
             longs = [H.signed(np.array(x, np.uint64)) for x in (one, two)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), *map(pa.array, longs), pa.array(signatures, pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "signature"])
+            columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()), *map(pa.array, longs), pa.array(signatures, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n_shingles", "h1", "h2", "signature"])
 
     return sign
 
@@ -147,79 +234,77 @@ def _keys(percent: int):
             valued = H.mixed(parts + (np.arange(PARTS, dtype=np.uint64) + np.uint64(1)) * np.uint64(1 << 20))
             whole = np.add.reduceat(valued, cuts[:-1], axis=1)[:, chunk]
             keys = H.mixed(whole - valued + np.arange(PARTS, dtype=np.uint64))
-            ids = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(parts)), PARTS)))
+            ids = batch.column("node").take(pa.array(np.repeat(np.arange(len(parts)), PARTS)))
             place = np.tile(np.arange(PARTS, dtype=np.int32), len(parts))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(H.signed(keys.ravel())), pa.array(place)], ["doc_id", "key", "place"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(H.signed(keys.ravel())), pa.array(place)], ["node", "key", "place"])
 
     return keyed
 
 
-def _pairs(table: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each row, the later rows within the distance for which this key is the first common one, and the distances."""
-    parts, size = _matrix(table.column("signature")), np.asarray(table.column("n_shingles"))
-    block, place = np.asarray(table.column("block")), table.column("place")[0].as_py()
-    errors, cuts, chunks = layout(percent)
-    chunk, across = chunks[place], block.min() != block.max()
-    for i in range(len(parts) - 1):
-        later = i + 1 + np.flatnonzero((np.minimum(size[i], size[i + 1 :]) * 100 >= percent * np.maximum(size[i], size[i + 1 :])) & (block[i + 1 :] != block[i] if across else True))
-        if not len(later):
-            continue
-        wrong = parts[later] != parts[i]
-        distance = wrong.sum(axis=1)
-        by_chunk = np.add.reduceat(wrong, cuts[:-1], axis=1, dtype=np.int64)
-        first = (by_chunk <= 1).argmax(axis=1)
-        left_out = np.where(by_chunk[:, chunk] == 1, wrong[:, cuts[chunk] : cuts[chunk + 1]].argmax(axis=1), 0) + cuts[chunk]
-        ok = (distance <= errors) & (first == chunk) & (left_out == place)
-        if ok.any():
-            yield i, later[ok], distance[ok]
-
-
-def _near(percent: int):
-    """The rows of a key that have a partner in it."""
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, "cell"):
-            some = np.zeros(table.num_rows, bool)
-            for i, later, _ in _pairs(table, percent):
-                some[i] = some[later] = True
-            if some.any():
-                yield from table.select(["cell", "place", "block", "doc_id", "n_shingles", "signature"]).filter(pa.array(some)).combine_chunks().to_batches()
+def _distances(percent: int):
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        errors = layout(percent).errors
+        for batch in batches:
+            size, other = (np.asarray(batch.column(c)) for c in ("n_a", "n_b"))
+            distance = (_matrix(batch.column("signature_a")) != _matrix(batch.column("signature_b"))).sum(axis=1).astype(np.int32)
+            ok = pa.array((distance <= errors) & (np.minimum(size, other) * 100 >= percent * np.maximum(size, other)))
+            found = batch.select(["a", "b", "part"]).add_column(3, "distance", pa.array(distance))
+            yield found.filter(ok)
 
-    return near
+    return measure
 
 
-def _confirmed(percent: int, words: int):
-    """Confirmed links of a key: pairs are taken nearest first and skipped once links connect them."""
+def _crossed(percent: int):
+    """Pairs of a cell between nodes that visit and nodes at home, in different parts, each pair at its first common key."""
+    errors, cuts, chunks = layout(percent)
 
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, "cell"):
-            ids, parent = table.column("doc_id").to_pylist(), list(range(table.num_rows))
-            sets = list(shingles(table, words))
-
-            def root(x: int) -> int:
-                while parent[x] != x:
-                    parent[x] = x = parent[parent[x]]
-                return x
-
-            links, found = [], list(_pairs(table, percent))
-            if not found:
-                continue
-            left = np.concatenate([np.full(len(j), i) for i, j, _ in found])
-            right = np.concatenate([j for _, j, _ in found])
-            order = np.argsort(np.concatenate([d for _, _, d in found]), kind="stable")
-            for i, j in zip(left[order].tolist(), right[order].tolist()):
-                a, b = root(i), root(j)
-                if a == b or ids[i] == ids[j]:
+            parts, size = _matrix(table.column("signature")), np.asarray(table.column("n_shingles"))
+            node, part = np.asarray(table.column("node")), np.asarray(table.column("part"))
+            visits, minor = (np.asarray(table.column(c)).astype(bool) for c in ("visits", "minor"))
+            place = table.column("place")[0].as_py()
+            chunk, home = chunks[place], np.flatnonzero(~visits)
+            for i in np.flatnonzero(visits).tolist():
+                # two visitors meet at the home of either; the one with the larger number counts
+                near = home[(part[home] != part[i]) & (~minor[home] | (node[i] < node[home])) & (np.minimum(size[i], size[home]) * 100 >= percent * np.maximum(size[i], size[home]))]
+                if not len(near):
                     continue
-                common = _common(sets[i], sets[j])
-                if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
-                    parent[a] = b
-                    links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-            if links:
-                kind = table.schema.field("doc_id").type
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], kind) for k in (0, 1)], ["a", "b"])
-
-    return confirm
+                wrong = parts[near] != parts[i]
+                distance = wrong.sum(axis=1)
+                by_chunk = np.add.reduceat(wrong, cuts[:-1], axis=1, dtype=np.int64)
+                first = (by_chunk <= 1).argmax(axis=1)
+                left_out = np.where(by_chunk[:, chunk] == 1, wrong[:, cuts[chunk] : cuts[chunk + 1]].argmax(axis=1), 0) + cuts[chunk]
+                ok = (distance <= errors) & (first == chunk) & (left_out == place)
+                if ok.any():
+                    found = near[ok]
+                    columns = [np.full(len(found), node[i]), node[found], part[found], distance[ok].astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "part", "distance"])
+
+    return cross
+
+
+def _linked(percent: int, words: int):
+    """Rows of one ``a`` and block: its own text first, then its partners."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own, done = None, None, set()
+        for batch in batches:
+            left, right = [], []
+            heads, blocks, nodes, parts, distances = (batch.column(c).to_pylist() for c in ("a", "block", "node", "part", "distance"))
+            for i, values in enumerate(shingles(batch, words)):
+                if distances[i] < 0:
+                    at, own, done = (heads[i], blocks[i]), values, set()
+                elif (heads[i], blocks[i]) == at and parts[i] not in done:
+                    common = _common(own, values)
+                    if 100 * common >= percent * (len(own) + len(values) - common):
+                        done.add(parts[i])
+                        left.append(min(heads[i], nodes[i]))
+                        right.append(max(heads[i], nodes[i]))
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    return link
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:

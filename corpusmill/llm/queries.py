@@ -72,7 +72,8 @@ FROM reach JOIN n USING (doc_id) GROUP BY doc_id
 
 @query("op2_minhash", NEAR)
 def minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), percent=85, words=5)
+    out = near_duplicates(table(spark, sf_dir, "documents"), percent=85, words=5)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -345,8 +346,8 @@ def repair_query(rows: DataFrame) -> DataFrame:
 NOTICES = f"""
 WITH w AS (SELECT doc_id, list_filter(string_split_regex({LOWER}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS ws FROM documents),
 p(label, phrase) AS (VALUES ('cc-by', ['cc', 'by']), ('gpl', ['general', 'public', 'license']), ('reserved', ['all', 'rights', 'reserved'])),
-at AS (SELECT doc_id, label, unnest(list_filter(range(0, len(ws)), lambda i: ws[i + 1:i + len(phrase)] = phrase)) AS i FROM w, p),
-g AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM at GROUP BY doc_id)
+places AS (SELECT doc_id, label, unnest(list_filter(range(0, len(ws)), lambda i: ws[i + 1:i + len(phrase)] = phrase)) AS i FROM w, p),
+g AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels FROM w LEFT JOIN g USING (doc_id)
 """
 

@@ -41,7 +41,7 @@ def test_repeats_of_string_ids_and_of_nothing(docs, none):
 
 
 def test_near_duplicates_as_brute_force(docs):
-    rows = [tuple(r) for r in near_duplicates(docs).collect()]
+    rows = [tuple(r)[:4] for r in near_duplicates(docs).collect()]
     assert ordered(rows) == ordered((d, n, c, d == c) for d, n, c in brute.near(pairs(docs)))
 
 
@@ -66,7 +66,7 @@ def test_a_chain_and_a_large_group_in_blocks(spark, monkeypatch):
         w[60] = f"own{i}"
         texts.append(" ".join(w))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = [tuple(r) for r in near_duplicates(df).collect()]
+    rows = [tuple(r)[:4] for r in near_duplicates(df).collect()]
     assert ordered(rows) == ordered((d, n, c, d == c) for d, n, c in brute.near(list(enumerate(texts))))
 
 
@@ -82,7 +82,7 @@ def test_pairs_between_80_and_85_percent(spark):
     df = spark.createDataFrame([(*r, "en", "s", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     expect = brute.near(rows, percent=80)
     assert len({c for _, _, c in expect}) < len({c for _, _, c in brute.near(rows, percent=85)})
-    assert ordered(map(tuple, near_duplicates(df, percent=80).collect())) == ordered((d, n, c, d == c) for d, n, c in expect)
+    assert ordered(tuple(r)[:4] for r in near_duplicates(df, percent=80).collect()) == ordered((d, n, c, d == c) for d, n, c in expect)
     kept = {r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, df, "").collect()}
     assert kept == {d for d, _, c in expect if d == c}
 
@@ -98,3 +98,35 @@ def test_components_of_a_path_a_star_and_a_ring(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101 + i) for i in range(30)] + [(200, 201), (201, 202), (200, 202)]
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**{i: 0 for i in range(1, 41)}, **{101 + i: 100 for i in range(30)}, 201: 200, 202: 200}
+
+
+def test_rows_that_share_an_id(spark):
+    """Texts of one id are compared like any others, and one row of each group stays."""
+    base = [f"t{i}" for i in range(60)]
+    near = [*base[:59], "other"]
+    texts = [(3, " ".join(base)), (5, " ".join(near)), (5, "something else"), (6, " ".join(near[::-1])), (6, " ".join(base[::-1])), (7, "A b"), (7, "a  B"), (7, "A b"), (8, None), (8, None), (8, "")]
+    df = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    found = {(r["doc_id"], r["text_key"]): r for r in near_duplicates(df).collect()}
+    names = {t: found[d, k]["component_id"] for d, t, k in df.selectExpr("doc_id", "text", "xxhash64(text)").collect()}
+    assert names == {" ".join(base): 3, " ".join(near): 3, "something else": 5, " ".join(near[::-1]): 6, " ".join(base[::-1]): 6, "A b": 7, "a  B": 7, None: 8, "": 8}
+    kept = ordered((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup_stage(spark, df, "").collect())
+    reversed_pair = {" ".join(near[::-1]), " ".join(base[::-1])}
+    assert [d for d, _ in kept] == [3, 5, 6, 7, 8, 8] and kept[0][1] == " ".join(base) and kept[1][1] == "something else"
+    assert kept[2][1] in reversed_pair and kept[3][1] in ("A b", "a  B") and {t for _, t in kept[4:]} == {None, ""}
+
+
+def test_scattered_groups_need_more_than_their_hubs(spark, monkeypatch):
+    """Groups in which most pairs are no links, in small blocks: whatever hub is drawn, the rest must be found."""
+    monkeypatch.setattr(M, "BLOCK", 3)
+    rows = []
+    for g in range(3):
+        base = [f"g{g}t{i}" for i in range(300)]
+        for i in range(12):
+            words = list(base)
+            for j in range(10 + 21 * i, 10 + 21 * i + (11, 12, 13, 17)[i % 4]):
+                words[j] = f"own{g}x{i}x{j}"
+            rows.append((len(rows), " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expect = brute.near(rows, percent=80)
+    assert 3 < len({c for _, _, c in expect}) < len(rows)
+    assert ordered(tuple(r)[:4] for r in near_duplicates(df, percent=80).collect()) == ordered((d, n, c, d == c) for d, n, c in expect)
