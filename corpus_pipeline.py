@@ -27,11 +27,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, linked from ``NEAR_PERCENT`` on; of repeated rows one."""
-    kept = near_duplicates(docs, percent=NEAR_PERCENT).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").withColumn("_text", F.xxhash64("text"))
+    """One row of each group of near-duplicates, linked from ``NEAR_PERCENT`` on; of repeated rows one.
+
+    Rows are told apart by id and text: those that share an id but not their text stand for themselves.
+    """
+    firsts = near_duplicates(docs, percent=NEAR_PERCENT).filter("first").select(F.col("doc_id").alias("_id"), "text_key").distinct()
+    rows = docs.withColumn("_text", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("text_key"))
     nth = F.row_number().over(Window.partitionBy("doc_id", "_text").orderBy("doc_id"))
-    return rows.withColumn("_nth", nth).filter("_nth = 1").drop("_text", "_nth")
+    return rows.join(firsts, same, "left_semi").withColumn("_nth", nth).filter("_nth = 1").drop("_text", "_nth")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
