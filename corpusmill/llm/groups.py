@@ -38,10 +38,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large and small stars in turn: each round points the larger neighbours of a node, then its smaller ones, at the
     smallest. Minima are aggregated before they are joined back, so a node with very many links is no single task's
-    work. Each round is checkpointed; about the logarithm of the longest chain of them is needed.
+    work. Each round is checkpointed; about the logarithm of the longest chain of them is needed. Links that are stars
+    around their smallest nodes already are the result.
     """
     edges = cut_lineage(edges.select("a", "b").distinct())
-    while True:
+    while not _stars(edges):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
         large = both.join(least, "a").filter("b > a").select(F.col("least").alias("a"), "b")
@@ -49,7 +50,12 @@ def components(edges: DataFrame) -> DataFrame:
         least = down.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("least"))
         small = down.join(least, F.col("b") == F.col("node")).select("a", "b", "least")
         turned = small.select(F.explode(F.array(F.struct(F.col("least").alias("a"), F.col("b").alias("b")), F.struct(F.col("least").alias("a"), F.col("a").alias("b")))).alias("e"))
-        after = cut_lineage(turned.select("e.*").filter("a < b").distinct())
-        if after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty():
-            return after.select(F.col("b").alias("node"), F.col("a").alias("component"))
-        edges = after
+        edges = cut_lineage(turned.select("e.*").filter("a < b").distinct())
+    return edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Does each larger end have one link, and is it no smaller end?"""
+    end = lambda c, low, high: F.struct(F.col(c).alias("node"), F.lit(low).alias("low"), F.lit(high).alias("high"))
+    ends = edges.select(F.explode(F.array(end("a", 1, 0), end("b", 0, 1))).alias("e")).groupBy("e.node").agg(F.max("e.low").alias("low"), F.sum("e.high").alias("high"))
+    return ends.filter("high > 1 OR (high = 1 AND low = 1)").isEmpty()

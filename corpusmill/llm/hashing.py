@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 """Bytes hashed at a time; a single word may not be longer, else it is hashed by itself."""
 BATCH_BYTES = 6 << 20
 """Arrow batches end at this size, so that memory does not follow the length of the texts."""

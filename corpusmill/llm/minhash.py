@@ -28,8 +28,8 @@ MISSED = 1e-6
 """Share of pairs at the similarity asked for that may differ in more values than keys allow for, at most."""
 BLOCK = 512
 """Nodes of one key, or partners of one node, that meet in one task; more are dealt out in blocks."""
-STARS = 2
-"""Times that the nodes of each key are compared with one of them before pairs are looked for."""
+STARS = 3
+"""Times that the nodes of each key are compared with one of them before pairs are looked for, at most."""
 _SEEDS = np.random.default_rng(64).integers(0, 2**64, (2, PARTS), dtype=np.uint64) | np.uint64(1)
 _BREAKS = H.white_space()
 
@@ -91,8 +91,8 @@ def _links(texts: DataFrame, classes: DataFrame, percent: int, words: int) -> Da
     """``a, b``: enough confirmed links between nodes to connect all that links connect.
 
     Nodes that share a key are first compared with one of them, so that a group of copies is connected by as many
-    comparisons as it has members. Only pairs of nodes still apart are looked for after that: of each node the nearest
-    in each other part, then all the rest.
+    comparisons as it has members; again with other ones, while many nodes are apart. Pairs of nodes are looked for only
+    between parts; where there are very many, of each node the nearest in each other part is compared before the rest.
     """
     nodes = classes.select("node", "n_shingles", "signature")
     keys = nodes.select("node", "signature").mapInArrow(_keys(percent), "node long, key long, place int")
@@ -100,21 +100,25 @@ def _links(texts: DataFrame, classes: DataFrame, percent: int, words: int) -> Da
     members = cut_lineage(keys.join(shared, "key"))
     wanted = classes.join(members.select("node").distinct(), "node").select("node", "top.*")
     bodies = texts.join(wanted, ["doc_id", "text_key"]).dropDuplicates(["node"]).select("node", "text")
-    bodies = cut_lineage(bodies)
+    bodies = cut_lineage(bodies.mapInArrow(_valued(words), "node long, shingles binary"))
     links, parts = [], None
     for turn in range(STARS):
         spokes = cut_lineage(_nearest(_measured(_spokes(_labelled(members, parts), turn), nodes, percent), ["b"]))
-        if spokes.isEmpty():
+        if spokes.count() < (BLOCK if links else 1):
             break
-        links.append(cut_lineage(_confirmed(spokes, bodies, percent, words)))
-        parts = cut_lineage(components(_union(links)))
+        links = [*_known(parts), cut_lineage(_confirmed(spokes, bodies, percent))]
+        parts = components(_union(links))
     pairs = cut_lineage(_apart(_labelled(members, parts), nodes, percent))
-    if not pairs.isEmpty():
-        links.append(cut_lineage(_confirmed(_nearest(pairs, ["a", "part"]), bodies, percent, words)))
+    if pairs.count() > nodes.count():
+        links = [*_known(parts), cut_lineage(_confirmed(_nearest(pairs, ["a", "part"]), bodies, percent))]
         parts = components(_union(links))
-        rest = _labelled(_labelled(pairs.drop("part"), parts, "a", "from"), parts, "b", "part").filter(F.col("from") != F.col("part"))
-        links.append(_confirmed(rest.drop("from"), bodies, percent, words))
-    return _union(links) if links else members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+        pairs = _labelled(_labelled(pairs.drop("part"), parts, "a", "from"), parts, "b", "part").filter(F.col("from") != F.col("part"))
+    return _union([*_known(parts), _confirmed(pairs.select("a", "b", "part", "distance"), bodies, percent)])
+
+
+def _known(parts: DataFrame | None) -> list[DataFrame]:
+    """What is connected so far, as links."""
+    return [] if parts is None else [parts.select(F.col("component").alias("a"), F.col("node").alias("b"))]
 
 
 def _union(links: list[DataFrame]) -> DataFrame:
@@ -170,7 +174,7 @@ def _apart(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_crossed(percent), "a long, b long, part long, distance int")
 
 
-def _confirmed(pairs: DataFrame, bodies: DataFrame, percent: int, words: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
     """``a, b``: the pairs that are links by their whole sets; of the pairs of ``a`` with a ``part``, up to the first.
 
     The partners of ``a`` come by as a stream, nearest first; many of them are dealt out in blocks.
@@ -180,7 +184,7 @@ def _confirmed(pairs: DataFrame, bodies: DataFrame, percent: int, words: int) ->
     heads = dealt.select("a", "block", F.col("a").alias("node"), F.lit(-1).cast("long").alias("part"), F.lit(-1).alias("distance")).distinct()
     rows = heads.union(dealt.select("a", "block", F.col("b").alias("node"), "part", "distance")).join(bodies, "node")
     dealt = rows.repartition("a", "block").sortWithinPartitions("a", "block", "distance", "node")
-    return dealt.select("a", "block", "node", "part", "distance", "text").mapInArrow(_linked(percent, words), "a long, b long")
+    return dealt.select("a", "block", "node", "part", "distance", "shingles").mapInArrow(_linked(percent), "a long, b long")
 
 
 def shingles(batch: pa.RecordBatch | pa.Table, words: int) -> Iterator[np.ndarray]:
@@ -284,18 +288,30 @@ def _crossed(percent: int):
     return cross
 
 
-def _linked(percent: int, words: int):
-    """Rows of one ``a`` and block: its own text first, then its partners."""
+def _valued(words: int):
+    """The whole set of each text, as hashes in order."""
+
+    def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = pa.array([s.tobytes() for s in shingles(batch, words)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), sets], ["node", "shingles"])
+
+    return value
+
+
+def _linked(percent: int):
+    """Rows of one ``a`` and block: its own set first, then its partners."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own, done = None, None, set()
         for batch in batches:
             left, right = [], []
             heads, blocks, nodes, parts, distances = (batch.column(c).to_pylist() for c in ("a", "block", "node", "part", "distance"))
-            for i, values in enumerate(shingles(batch, words)):
+            for i, values in enumerate(batch.column("shingles")):
                 if distances[i] < 0:
-                    at, own, done = (heads[i], blocks[i]), values, set()
+                    at, own, done = (heads[i], blocks[i]), np.frombuffer(values.as_buffer(), np.uint64).copy(), set()
                 elif (heads[i], blocks[i]) == at and parts[i] not in done:
+                    values = np.frombuffer(values.as_buffer(), np.uint64)
                     common = _common(own, values)
                     if 100 * common >= percent * (len(own) + len(values) - common):
                         done.add(parts[i])

@@ -62,12 +62,10 @@ SPANS = ArrayType(StructType().add("start", "integer").add("kind", "string").add
 
 @lru_cache(maxsize=2)
 def _plan(rules: tuple[Rule, ...]):
-    """Compiled patterns, trigram queries, the place of each wanted trigram, and the table of all trigrams."""
+    """Compiled patterns, trigram queries, the place of each wanted trigram, and their numbers."""
     queries = [trigram_query(r.pattern) for r in rules]
     places = {t: i for i, t in enumerate(sorted(set().union(*map(trigrams_in, queries))))}
-    wanted = np.full(1 << 24, -1, np.int16)
-    for t, i in places.items():
-        wanted[int.from_bytes(t, "big")] = i
+    wanted = np.array([int.from_bytes(t, "big") for t in places], np.uint32)
     return [re.compile(r.pattern, re.IGNORECASE if r.fold else 0) for r in rules], queries, places, wanted
 
 

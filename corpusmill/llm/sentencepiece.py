@@ -153,7 +153,8 @@ class _Lists:
 class Encoder:
     """Encodes with ``threads`` threads; where words are encoded apart, each distinct word once while it is remembered."""
 
-    REMEMBERED = 700_000
+    REMEMBERED_BYTES = 40 << 20
+    """What the remembered words may take, estimated by their number and length."""
     TOGETHER = 64
     """New words that one string of a batch holds; each begins with the mark, so none runs into the next."""
 
@@ -165,10 +166,12 @@ class Encoder:
         self.prefix = MARK if any(x["type"] == "Prepend" for x in steps) else ""
         self.plain = all(x["type"] == "Prepend" or (x["type"], x.get("content")) == ("Replace", MARK) for x in steps)
         self.apart = self.tokenizer.pre_tokenizer is not None and not self.tokenizer.get_added_tokens_decoder()
-        self.words = Tokenizer.from_str(definition)
-        self.words.normalizer = normalizers.Sequence([])
+        self.normalizer = self.tokenizer.normalizer
+        if self.apart:  # it is given normalised words
+            self.tokenizer.normalizer = normalizers.Sequence([])
         self.split, self.whole = re.compile(_WORD, re.S), re.compile(f"{MARK}+[^{MARK}]+", re.S)
         self.known: dict[str, int] = {}
+        self.held = 0
         self.ids = _Lists(np.int32)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         pieces = [b""] * (1 + max(vocabulary.values(), default=0))
@@ -181,7 +184,7 @@ class Encoder:
     def normalized(self, text: str) -> str:
         if self.plain:
             return self.prefix + text.replace(" ", MARK) if text else ""
-        return self.tokenizer.normalizer.normalize_str(text)
+        return self.normalizer.normalize_str(text)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.apart:
@@ -192,9 +195,11 @@ class Encoder:
         which = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
         missing = np.flatnonzero(which < 0)
         new = list(dict.fromkeys(flat[i] for i in missing.tolist()))
-        if len(self.known) + len(new) > self.REMEMBERED and self.known:
-            self.known, self.ids = {}, _Lists(np.int32)
+        size = 200 * len(new) + 2 * sum(map(len, new))
+        if self.held + size > self.REMEMBERED_BYTES and self.known:
+            self.known, self.ids, self.held = {}, _Lists(np.int32), 0
             return self.encode(texts)
+        self.held += size
         marked = list(map(self.whole.fullmatch, new))
         self._learn([w for w, m in zip(new, marked) if m], self.TOGETHER)
         self._learn([w for w, m in zip(new, marked) if not m], 1)
@@ -206,7 +211,7 @@ class Encoder:
     def _learn(self, new: list[str], together: int) -> None:
         """Encode words, several to a string; which word a token is of tells them apart again."""
         parts = ["".join(new[i : i + together]) for i in range(0, len(new), together)]
-        found = self.words.encode_batch(parts, add_special_tokens=False)
+        found = self.tokenizer.encode_batch(parts, add_special_tokens=False)
         of = [np.array(e.word_ids, np.int64) + i * together for i, e in enumerate(found)]
         sizes = np.bincount(np.concatenate([np.zeros(0, np.int64), *of]), minlength=len(new))
         values = np.fromiter(chain.from_iterable(e.ids for e in found), np.int32)

@@ -101,16 +101,22 @@ class Segment:
     """Inverted index of the wanted trigrams over the texts of one batch: for each the numbers of the texts, in order."""
 
     def __init__(self, lowered: np.ndarray, offsets: np.ndarray, wanted: np.ndarray, step: int = 1 << 20):
-        """``wanted``: for each 24-bit trigram its place in the list of wanted ones, or -1."""
+        """``wanted``: the trigrams looked for as ascending numbers; a place is one in this list."""
         texts, places = [], []
+        heads = np.zeros(1 << 16, bool)
+        heads[wanted >> 8] = True
         for a in range(0, max(len(lowered) - 2, 0), step):
             part = lowered[a : a + step + 2].astype(np.uint32)
-            at = wanted[part[:-2] << np.uint32(16) | part[1:-1] << np.uint32(8) | part[2:]]
-            hit = np.flatnonzero(at >= 0)
+            pairs = part[:-1] << np.uint32(8) | part[1:]
+            hit = np.flatnonzero(heads[pairs[:-1]])
+            number = pairs[hit] << np.uint32(8) | part[hit + 2]
+            at = np.searchsorted(wanted, number)
+            found = wanted[np.minimum(at, len(wanted) - 1)] == number
+            hit, at = hit[found], at[found]
             text = np.searchsorted(offsets, hit + a, "right") - 1
             inside = hit + a + 3 <= offsets[text + 1]
             texts.append(text[inside])
-            places.append(at[hit][inside])
+            places.append(at[inside])
         none = np.zeros(0, np.int64)
         pair = np.unique(np.concatenate([none, *places]).astype(np.int64) * len(offsets) + np.concatenate([none, *texts]))
         self.place, self.text = np.divmod(pair, len(offsets))
