@@ -91,8 +91,8 @@ def _links(texts: DataFrame, classes: DataFrame, percent: int, words: int) -> Da
     """``a, b``: enough confirmed links between nodes to connect all that links connect.
 
     Nodes that share a key are first compared with one of them, so that a group of copies is connected by as many
-    comparisons as it has members; again with other ones, while many nodes are apart. Pairs of nodes are looked for only
-    between parts; where there are very many, of each node the nearest in each other part is compared before the rest.
+    comparisons as it has members; again with other ones, while many nodes are apart. Only then, and only between parts,
+    all pairs that share a key are looked for.
     """
     nodes = classes.select("node", "n_shingles", "signature")
     keys = nodes.select("node", "signature").mapInArrow(_keys(percent), "node long, key long, place int")
@@ -108,12 +108,7 @@ def _links(texts: DataFrame, classes: DataFrame, percent: int, words: int) -> Da
             break
         links = [*_known(parts), cut_lineage(_confirmed(spokes, bodies, percent))]
         parts = components(_union(links))
-    pairs = cut_lineage(_apart(_labelled(members, parts), nodes, percent))
-    if pairs.count() > nodes.count():
-        links = [*_known(parts), cut_lineage(_confirmed(_nearest(pairs, ["a", "part"]), bodies, percent))]
-        parts = components(_union(links))
-        pairs = _labelled(_labelled(pairs.drop("part"), parts, "a", "from"), parts, "b", "part").filter(F.col("from") != F.col("part"))
-    return _union([*_known(parts), _confirmed(pairs.select("a", "b", "part", "distance"), bodies, percent)])
+    return _union([*_known(parts), _apart(_labelled(members, parts), nodes, bodies, percent)])
 
 
 def _known(parts: DataFrame | None) -> list[DataFrame]:
@@ -157,10 +152,11 @@ def _nearest(pairs: DataFrame, by: list[str]) -> DataFrame:
     return pairs.groupBy(*by).agg(near).select(*by, "near.*").select("a", "b", "part", "distance")
 
 
-def _apart(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """``a, b, part, distance``: the pairs of nodes in different parts that share a key and are within the distance.
+def _apart(members: DataFrame, nodes: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: links between different parts, out of all pairs that share a key and are within the distance.
 
-    The nodes of a key outside its largest part visit all of it, block by block, ``part`` being that of ``b``.
+    The nodes of a key outside its largest part visit all of it, block by block. A cell holds a block of each; the sets
+    of those that have a partner in it follow them there, and of its links enough come out to connect what they connect.
     """
     sizes = members.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
     keys = sizes.groupBy("key").agg(F.max(F.struct("n", "part")).alias("most"), F.sum("n").alias("n"))
@@ -171,7 +167,13 @@ def _apart(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     visit = rows.filter("minor").select("key", "place", "node", "part", "minor", F.lit(True).alias("visits"), F.pmod(F.xxhash64("node", F.lit(1)), "tours").cast("int").alias("tour"), F.explode(upto("homes")).alias("home"))
     both = stay.union(visit.select(*stay.columns)).withColumn("cell", F.xxhash64("key", "tour", "home"))
     cells = both.select("cell", "place", "node", "part", "minor", "visits").join(nodes, "node")
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_crossed(percent), "a long, b long, part long, distance int")
+    schema = "cell long, place int, node long, part long, minor boolean, visits boolean, n_shingles long, signature binary"
+    near = _by_cell(cells).mapInArrow(_near(percent), schema)
+    return _by_cell(near.join(bodies, "node")).mapInArrow(_joined(percent), "a long, b long")
+
+
+def _by_cell(rows: DataFrame) -> DataFrame:
+    return rows.repartition("cell").sortWithinPartitions("cell")
 
 
 def _confirmed(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
@@ -258,34 +260,76 @@ def _distances(percent: int):
     return measure
 
 
-def _crossed(percent: int):
-    """Pairs of a cell between nodes that visit and nodes at home, in different parts, each pair at its first common key."""
+def _met(table: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each visitor of a cell the rows at home in other parts within the distance, at their first common key, and the distances."""
     errors, cuts, chunks = layout(percent)
+    parts, size = _matrix(table.column("signature")), np.asarray(table.column("n_shingles"))
+    node, part = np.asarray(table.column("node")), np.asarray(table.column("part"))
+    visits, minor = (np.asarray(table.column(c)).astype(bool) for c in ("visits", "minor"))
+    place = table.column("place")[0].as_py()
+    chunk, home = chunks[place], np.flatnonzero(~visits)
+    for i in np.flatnonzero(visits).tolist():
+        # two visitors meet at the home of either; the one with the larger number counts
+        near = home[(part[home] != part[i]) & (~minor[home] | (node[i] < node[home])) & (np.minimum(size[i], size[home]) * 100 >= percent * np.maximum(size[i], size[home]))]
+        if not len(near):
+            continue
+        wrong = parts[near] != parts[i]
+        distance = wrong.sum(axis=1)
+        by_chunk = np.add.reduceat(wrong, cuts[:-1], axis=1, dtype=np.int64)
+        first = (by_chunk <= 1).argmax(axis=1)
+        left_out = np.where(by_chunk[:, chunk] == 1, wrong[:, cuts[chunk] : cuts[chunk + 1]].argmax(axis=1), 0) + cuts[chunk]
+        ok = (distance <= errors) & (first == chunk) & (left_out == place)
+        if ok.any():
+            yield i, near[ok], distance[ok]
+
+
+def _near(percent: int):
+    """The rows of a cell that have a partner in it."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, "cell"):
+            some = np.zeros(table.num_rows, bool)
+            for i, found, _ in _met(table, percent):
+                some[i] = some[found] = True
+            if some.any():
+                columns = ["cell", "place", "node", "part", "minor", "visits", "n_shingles", "signature"]
+                yield from table.select(columns).filter(pa.array(some)).combine_chunks().to_batches()
+
+    return near
+
+
+def _joined(percent: int):
+    """Links of a cell: pairs are taken nearest first and skipped once links connect their parts."""
 
-    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, "cell"):
-            parts, size = _matrix(table.column("signature")), np.asarray(table.column("n_shingles"))
-            node, part = np.asarray(table.column("node")), np.asarray(table.column("part"))
-            visits, minor = (np.asarray(table.column(c)).astype(bool) for c in ("visits", "minor"))
-            place = table.column("place")[0].as_py()
-            chunk, home = chunks[place], np.flatnonzero(~visits)
-            for i in np.flatnonzero(visits).tolist():
-                # two visitors meet at the home of either; the one with the larger number counts
-                near = home[(part[home] != part[i]) & (~minor[home] | (node[i] < node[home])) & (np.minimum(size[i], size[home]) * 100 >= percent * np.maximum(size[i], size[home]))]
-                if not len(near):
-                    continue
-                wrong = parts[near] != parts[i]
-                distance = wrong.sum(axis=1)
-                by_chunk = np.add.reduceat(wrong, cuts[:-1], axis=1, dtype=np.int64)
-                first = (by_chunk <= 1).argmax(axis=1)
-                left_out = np.where(by_chunk[:, chunk] == 1, wrong[:, cuts[chunk] : cuts[chunk + 1]].argmax(axis=1), 0) + cuts[chunk]
-                ok = (distance <= errors) & (first == chunk) & (left_out == place)
-                if ok.any():
-                    found = near[ok]
-                    columns = [np.full(len(found), node[i]), node[found], part[found], distance[ok].astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "part", "distance"])
-
-    return cross
+            found = list(_met(table, percent))
+            if not found:
+                continue
+            node, part = (np.asarray(table.column(c)).tolist() for c in ("node", "part"))
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+            parent = {p: p for p in part}
+
+            def root(x: int) -> int:
+                while parent[x] != x:
+                    parent[x] = x = parent[parent[x]]
+                return x
+
+            left = np.concatenate([np.full(len(j), i) for i, j, _ in found])
+            right = np.concatenate([j for _, j, _ in found])
+            order = np.argsort(np.concatenate([d for _, _, d in found]), kind="stable")
+            links = []
+            for i, j in zip(left[order].tolist(), right[order].tolist()):
+                a, b = root(part[i]), root(part[j])
+                if a != b:
+                    common = _common(sets[i], sets[j])
+                    if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                        parent[a] = b
+                        links.append((min(node[i], node[j]), max(node[i], node[j])))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return join
 
 
 def _valued(words: int):
