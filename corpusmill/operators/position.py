@@ -106,6 +106,17 @@ def dense_position(
     return placed.select(*df.columns, out, *([total] if total else []))
 
 
+def running_sum(df: DataFrame, order: Order, value: str, groups: list[str] | None = None, out: str = "before") -> DataFrame:
+    """Add the sum of ``value`` over the rows before each row of its group; no null in ``groups`` (wrap it in a struct)."""
+    groups = list(groups or [])
+    rows, _, names = _bucketed(df, order, groups)
+    sums = rows.groupBy(*groups, *names).agg(F.sum(value).alias("_n"))
+    offsets = _offsets(sums, groups, names).drop("_n", "_total")
+    window = Window.partitionBy(*groups, *names).orderBy(*order.columns).rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.join(offsets, [*groups, *names]).withColumn(out, F.col("_before") + F.coalesce(F.sum(value).over(window), F.lit(0)))
+    return placed.select(*df.columns, out)
+
+
 def rank_cut(
     df: DataFrame, order: Order, ks: list[Callable[[Column], Column]], groups: list[str] | None = None
 ) -> DataFrame:

@@ -78,6 +78,24 @@ def _(spark, folder):
     return read_corpus(spark, path).select("row_id", F.md5("source_code").alias("text_md5"), "domain")
 
 
+MAX_BYTES = 40_000
+SIZED = "SELECT doc_id, coalesce(strlen(text), 0) AS b FROM documents"
+SHARD_SIZES = f"""WITH s AS ({SIZED}), small AS (SELECT doc_id, b, coalesce(sum(b) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s WHERE 2 * b <= {MAX_BYTES}),
+shards AS (SELECT CAST(before // ({MAX_BYTES} + 1 - (SELECT max(b) FROM small)) AS BIGINT) AS shard, doc_id, b FROM small UNION ALL SELECT -1 - doc_id, doc_id, b FROM s WHERE 2 * b > {MAX_BYTES})
+SELECT shard, count(*) AS n_rows, CAST(sum(b) AS BIGINT) AS n_bytes, min(doc_id) AS first_id, count(*) = 1 OR sum(b) <= {MAX_BYTES} AS fits FROM shards GROUP BY shard"""
+
+
+@register("write_shards", SHARD_SIZES)
+def _(spark, folder):
+    # lengths differ by orders of magnitude; the folders of the shards are read back
+    path = scratch_path(spark, "shards")
+    write_corpus(documents(spark, folder), path, max_bytes=MAX_BYTES)
+    sizes = spark.read.parquet(path).groupBy(F.col("shard").cast("long").alias("shard")).agg(
+        F.count("*").alias("n_rows"), F.sum(F.coalesce(F.octet_length("source_code"), F.lit(0))).cast("long").alias("n_bytes"), F.min("row_id").alias("first_id")
+    )
+    return sizes.withColumn("fits", (F.col("n_rows") == 1) | (F.col("n_bytes") <= MAX_BYTES))
+
+
 @register("flatten_ood_stats", f"SELECT domain, api, CAST(api_order AS BIGINT) AS api_order, row_id FROM {LBL}")
 def _(spark, folder):
     # nested input derived from the label rows: one map per domain and per 1024 ids

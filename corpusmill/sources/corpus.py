@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from corpusmill.operators.position import BITS, Order, by_id, running_sum
+from corpusmill.session import cut_lineage
+
 
 def read_json_corpus(spark: SparkSession, folder: str, schema: StructType | str, mode: str = "FAILFAST") -> DataFrame:
     """All ``*.json`` files of a folder, one object per line; large files are split between tasks.
@@ -22,27 +25,29 @@ def file_order(file: str = "_file") -> list[Column]:
     return [F.regexp_replace(file, r"part-\d+[^/]*$", ""), part.try_cast("long"), F.col(file)]
 
 
+BROADCAST_BLOCKS = 1 << 18
+"""Up to so many file blocks, their offsets are sent to all tasks: some 50 MB."""
+
+
 def with_row_ids(df: DataFrame, id_col: str = "row_id") -> DataFrame:
     """Number the rows of a table just read from files: by file, block of the file and place in the block.
 
-    Rows are numbered inside each block and shifted by the rows of the blocks before, one small
-    row each; no task sees the whole table. Read the same files again and the numbers are the
-    same. An id column that is there already is replaced.
+    A block is read by one task, which numbers its rows as they come; the first number of each block and its rows, one
+    small row, are gathered beforehand and give the shift. The rows themselves are not moved, unless there are more
+    blocks than fit a broadcast. Read the same files again and the numbers are the same. An id column that is there
+    already is replaced.
     """
     columns = [c for c in df.columns if c != id_col]
-    placed = df.select(
-        *columns,
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_seq"),
-    )
-    blocks = placed.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    block = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
+    placed = df.select(*columns, *block, F.monotonically_increasing_id().alias("_seq"))
+    blocks = placed.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_first"))
     # one row per file block
     before = Window.orderBy(*file_order(), "_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select("_file", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_file", "_block").orderBy("_seq")
-    number = F.col("_before") + F.row_number().over(inside) - 1
-    return placed.join(offsets, ["_file", "_block"]).select(number.alias(id_col), *columns)
+    shift = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")
+    offsets = cut_lineage(blocks.select("_file", "_block", shift.alias("_shift")))
+    if offsets.count() <= BROADCAST_BLOCKS:
+        offsets = F.broadcast(offsets)
+    return placed.join(offsets, ["_file", "_block"]).select((F.col("_seq") + F.col("_shift")).alias(id_col), *columns)
 
 
 def read_raw_corpus(spark: SparkSession, folder: str, schema: StructType | str) -> DataFrame:
@@ -51,8 +56,8 @@ def read_raw_corpus(spark: SparkSession, folder: str, schema: StructType | str)
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet corpus; column pruning and filters reach the files."""
-    return spark.read.parquet(path)
+    """A Parquet corpus; column pruning and filters reach the files. The folders of shards are no column."""
+    return spark.read.parquet(path).drop(SHARD)
 
 
 def write_corpus(
@@ -62,16 +67,50 @@ def write_corpus(
     partition_by: list[str] | None = None,
     max_bytes: int | None = None,
     text: str = "source_code",
+    id_col: str = "row_id",
 ) -> None:
     """Write Parquet shards of at most ``max_records`` rows.
 
-    With ``max_bytes`` the shards hold about so many bytes of ``text`` at most: rows are cut by
-    their mean length in the table, so single shards differ by the spread of the lengths.
+    With ``max_bytes`` no shard holds more bytes of ``text``, unless it is a single row: see ``with_shards``. Each shard
+    is a folder then, below those of ``partition_by``.
     """
+    folders = list(partition_by or [])
     if max_bytes is not None:
-        mean = df.agg(F.avg(F.octet_length(text))).first()[0] or 1.0
-        max_records = max(1, min(max_records, int(max_bytes / max(mean, 1.0))))
+        df = with_shards(df, max_bytes, text, id_col, folders).repartition(*folders, SHARD)
+        folders.append(SHARD)
     writer = df.write.mode("overwrite").option("maxRecordsPerFile", max_records)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
+    if folders:
+        writer = writer.partitionBy(*folders)
     writer.parquet(path)
+
+
+SHARD = "shard"
+
+
+def with_shards(df: DataFrame, max_bytes: int, text: str = "source_code", id_col: str = "row_id", groups: list[str] | None = None) -> DataFrame:
+    """Add ``shard``: rows in the order of their unique ids, at most ``max_bytes`` of ``text`` together, by group.
+
+    The bytes before a row are a prefix sum: inside buckets of neighbouring ids, shifted by the sums of the buckets
+    before. A shard begins where that sum passes a multiple of a step, which is ``max_bytes`` less what the last row may
+    reach beyond. Rows of more than half a shard would make the step small; each is a shard of its own, numbered
+    ``-1 - id``. Only ids and sizes are sorted; the rows look up the few shards that begin in their bucket. A null text
+    has no bytes.
+    """
+    groups = list(groups or [])
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+    sizes = df.select(*(F.struct(g).alias(g) for g in groups), F.col(id_col).alias("_id"), size.alias("_size")).filter(F.col("_size") * 2 <= max_bytes)
+    most = sizes.agg(F.max("_size")).first()[0] or 0
+    starts = bucket_starts(sizes, by_id("_id"), groups, "_size", max_bytes - most + 1)
+    bucket = F.shiftright(F.col(id_col).cast("long"), BITS).alias("_bucket")
+    keyed = df.select("*", *(F.struct(g).alias(f"_in_{g}") for g in groups), bucket)
+    found = keyed.join(starts.withColumnsRenamed({g: f"_in_{g}" for g in groups}), [*(f"_in_{g}" for g in groups), "_bucket"], "left")
+    mine = F.array_max(F.filter("_starts", lambda s: s["id"] <= F.col(id_col)))["shard"]
+    return found.select(*df.columns, F.when(size * 2 > max_bytes, -1 - F.col(id_col)).otherwise(mine).alias(SHARD))
+
+
+def bucket_starts(sizes: DataFrame, order: Order, groups: list[str], size: str, step: int) -> DataFrame:
+    """``_bucket, _starts`` by group: in each finest bucket of ids the first id of each shard, as ``id, shard``."""
+    summed = running_sum(sizes, order, size, groups, "_before")
+    shard = F.floor(F.col("_before") / step).cast("long")
+    firsts = summed.groupBy(*groups, F.shiftright("_id", BITS).alias("_bucket"), shard.alias("shard")).agg(F.min("_id").alias("id"))
+    return firsts.groupBy(*groups, "_bucket").agg(F.collect_list(F.struct("id", "shard")).alias("_starts"))

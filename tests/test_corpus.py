@@ -9,7 +9,7 @@ from corpusmill.operators import usages as U
 from corpusmill.operators.dedup import dedup_first
 from corpusmill.plans.prepare import prepare_corpus
 from corpusmill.plans.split import split_corpus
-from corpusmill.sources.corpus import read_json_corpus, read_raw_corpus, write_corpus
+from corpusmill.sources.corpus import read_corpus, read_json_corpus, read_raw_corpus, write_corpus
 from corpusmill.sources.lines import read_line_pairs, write_line_pairs
 
 
@@ -151,8 +151,38 @@ def test_lines_that_would_not_be_read_back_are_errors(spark, tmp_path):
     assert [tuple(r) for r in back] == [(0, ["é"], ""), (1, ["q"], "p")]
 
 
-def test_shards_by_bytes(spark, tmp_path):
-    df = spark.createDataFrame([(i, "x" * 100) for i in range(50)], "row_id long, source_code string").coalesce(1)
+def sizes_of(spark, path):
+    shards = {}
+    for r in spark.read.parquet(str(path)).collect():
+        shards.setdefault((r["domain"], r["shard"]), []).append((r["row_id"], len((r["source_code"] or "").encode())))
+    return shards
+
+
+def test_no_shard_is_larger_than_asked_for(spark, tmp_path):
+    lengths = [100] * 50 + [999, 1000, 1001, 5000, 0, 500, 501, 1] * 10
+    rows = [(37 * i % 20_011, "é" * (n // 2) + "x" * (n % 2) if n else None, [None, "a", "b"][i % 3]) for i, n in enumerate(lengths)]
+    df = spark.createDataFrame(rows, "row_id long, source_code string, domain string").repartition(3)
+    write_corpus(df, str(tmp_path / "c"), max_bytes=1000, partition_by=["domain"])
+    shards = sizes_of(spark, tmp_path / "c")
+    assert all(len(rows) == 1 or sum(n for _, n in rows) <= 1000 for rows in shards.values())
+    small = {k: v for k, v in shards.items() if k[1] >= 0}
+    for domain in (None, "a", "b"):
+        # ids ascend from shard to shard, and no two neighbours would fit together twice over
+        own = [sorted(small[k]) for k in sorted(k for k in small if k[0] == domain)]
+        assert all(x[-1][0] < y[0][0] for x, y in zip(own, own[1:]))
+    back = read_corpus(spark, str(tmp_path / "c"))
+    assert sorted(back.columns) == sorted(df.columns) and back.exceptAll(df.select(back.columns)).isEmpty() and back.count() == len(rows)
+    assert len(list((tmp_path / "c").rglob("*.parquet"))) == len(shards)
+
+
+def test_shards_of_large_rows_only_and_of_none(spark, tmp_path):
+    df = spark.createDataFrame([(i, "x" * 800, "a") for i in range(5)], "row_id long, source_code string, domain string")
     write_corpus(df, str(tmp_path / "c"), max_bytes=1000)
-    assert len(list((tmp_path / "c").glob("*.parquet"))) == 5
-    assert spark.read.parquet(str(tmp_path / "c")).count() == 50
+    assert len(sizes_of(spark, tmp_path / "c")) == 5
+    write_corpus(df.limit(0), str(tmp_path / "d"), max_bytes=1000)
+
+
+def test_numbering_moves_no_text(spark, tmp_path):
+    (tmp_path / "a.json").write_text("".join(f'{{"source_code": "{i}"}}\n' for i in range(9)))
+    plan = read_raw_corpus(spark, str(tmp_path), "source_code string")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
