@@ -198,7 +198,7 @@ def write_warc(records: DataFrame, path: str, records_per_file: int = 20_000) ->
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all files below ``path``, gzipped or not; a file is read by one task."""
+    """The records of all files below ``path`` whatever their names, gzipped or not; a file is read by one task, whole."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,7 +211,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                         held = []
                 yield _packed(held)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*part-*").load(path).select("content").mapInArrow(read, RECORD)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(read, RECORD)
 
 
 def records_in(data: bytes) -> Iterator[tuple[Headers, bytes]]:

@@ -160,3 +160,12 @@ def test_records_of_odd_sources(spark):
     derived = warc.derived_records(spark.createDataFrame(rows, warc.RECORD)).collect()
     assert len(derived) == 4 and sum(bytes(r["content"]) == "no header �".encode() for r in derived) == 1
     assert warc.derived_records(spark.createDataFrame([], warc.RECORD)).collect() == []
+
+
+def test_archives_of_any_name_are_read(spark, tmp_path):
+    (tmp_path / "crawl").mkdir()
+    record = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+    (tmp_path / "crawl" / "CC-MAIN-0001.warc").write_bytes(record * 2)
+    (tmp_path / "_SUCCESS").write_bytes(b"")
+    rows = warc.read_warc(spark, str(tmp_path)).collect()
+    assert [bytes(r["content"]) for r in rows] == [b"hi", b"hi"]
