@@ -15,9 +15,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.operators.pair_index import PairIndex, PairScan
 from corpusmill.operators.rows import head_rows
 from corpusmill.schemas import MERGES, VOCAB
-from corpusmill.session import cut_lineage
 
 # Fixed value: how text is cut into words before any merge.
 WORD = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -26,7 +26,6 @@ END_OF_TEXT = "<|endoftext|>"
 
 CANDIDATES = 1024
 MERGES_PER_ROUND = 128
-ROUNDS_PER_CHECKPOINT = 4
 MEMO_SIZE = 1 << 18
 
 
@@ -55,22 +54,14 @@ def word_counts(df: DataFrame, text: str = "source_code") -> DataFrame:
     return counts.select("word", symbols.alias("symbols"), "cnt")
 
 
-def pair_counts(words: DataFrame) -> DataFrame:
-    """How often two symbols are neighbours, ``(left, right, cnt)``."""
-    inner = F.substring(F.col("symbols"), F.lit(2), F.length("symbols") - 2)
-    symbols = words.select(F.split(inner, "><", -1).alias("s"), "cnt")
-    neighbours = F.transform(
-        F.sequence(F.lit(0), F.size("s") - 2),
-        lambda i: F.struct(F.get("s", i).alias("left"), F.get("s", i + 1).alias("right")),
+def neighbours(symbols: str = "symbols") -> Column:
+    """All neighbours of a word in order, as an array of ``(left, right)``."""
+    held = F.split(F.substring(F.col(symbols), F.lit(2), F.length(symbols) - 2), "><", -1)
+    return F.zip_with(
+        F.slice(held, F.lit(1), F.size(held) - 1),
+        F.slice(held, F.lit(2), F.size(held) - 1),
+        lambda left, right: F.struct(left.alias("left"), right.alias("right")),
     )
-    pairs = symbols.filter(F.size("s") > 1).select(F.explode(neighbours).alias("p"), "cnt")
-    return pairs.groupBy("p.left", "p.right").agg(F.sum("cnt").alias("cnt"))
-
-
-def _apply(symbols: Column, merges: list[tuple[str, str, int]]) -> Column:
-    for left, right, _ in merges:
-        symbols = F.replace(symbols, F.lit(f"<{left}><{right}>"), F.lit(f"<{left}{right}>"))
-    return symbols
 
 
 def sure_merges(top: list[tuple[str, str, int]], known: set[str], complete: bool, most: int) -> list[tuple[str, str, int]]:
@@ -110,23 +101,23 @@ def train_bpe(
     id_col: str = "row_id",
     min_count: int = 1,
     merges_per_round: int = MERGES_PER_ROUND,
+    index: bool = True,
 ) -> Bpe:
     """Merge the most frequent pair until the vocabulary is full; ties by symbol text.
 
     All rows are counted; ``n_rows`` limits that to the first rows by id.
 
-    One job per round counts pairs over the distinct words; its top candidates, a bounded
-    number, reach the driver, which takes as many merges from them as are sure.
+    Pair counts of the distinct words are taken once and then follow the merges by the words
+    that each round changes. For a few merges the tables this takes do not pay; without
+    ``index`` every round counts all words, with the same result. The top candidates, a bounded number, reach the driver, which
+    takes as many merges from them as are sure.
     """
     rows = df if n_rows is None else head_rows(df.select(id_col, text), n_rows, id_col=id_col)
-    # the rounds are bound by computation, so the words are spread over all cores
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    words = cut_lineage(word_counts(rows, text).select("symbols", "cnt").repartition(cores))
+    pairs = (PairIndex if index else PairScan)(word_counts(rows, text), neighbours)
     tokens = [END_OF_TEXT] + [f"{b:02X}" for b in range(256)]
-    known, merges, rounds = set(tokens), [], 0
+    known, merges = set(tokens), []
     while len(tokens) < vocab_size:
-        ranked = pair_counts(words).filter(F.col("cnt") >= min_count).orderBy(F.desc("cnt"), "left", "right")
-        top = [tuple(r) for r in ranked.limit(CANDIDATES).collect()]
+        top = pairs.top(CANDIDATES, min_count)
         if not top:
             break
         new = sure_merges(top, known, len(top) < CANDIDATES, min(merges_per_round, vocab_size - len(tokens)))
@@ -134,12 +125,9 @@ def train_bpe(
             if left + right not in known:
                 known.add(left + right)
                 tokens.append(left + right)
+        if len(tokens) < vocab_size:
+            pairs.merge(merges, new)
         merges += new
-        words = words.withColumn("symbols", _apply(F.col("symbols"), new))
-        rounds += 1
-        if rounds % ROUNDS_PER_CHECKPOINT == 0:
-            # words that are one symbol have no pairs left
-            words = cut_lineage(words.filter(F.col("symbols").contains("><")))
     return Bpe(merges, tokens)
 
 

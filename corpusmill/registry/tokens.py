@@ -62,7 +62,7 @@ doc_ids AS (SELECT doc_id AS row_id, flatten(list(ids ORDER BY i)) AS ids FROM t
 
 
 def small_bpe(spark, folder):
-    return train_bpe(documents(spark, folder), 257 + N_MERGES, n_rows=None)
+    return train_bpe(documents(spark, folder), 257 + N_MERGES, n_rows=None, index=False)
 
 
 @register("word_counts", bpe_sql(0) + " SELECT word, s AS symbols, cnt FROM w0")
@@ -75,6 +75,15 @@ def _(spark, folder):
     return small_bpe(spark, folder).merge_table(spark)
 
 
+MANY_MERGES = 32
+MANY_ROWS = " UNION ALL ".join(f"SELECT {i - 1} AS rank, l AS \"left\", r AS \"right\", cnt FROM b{i}" for i in range(1, MANY_MERGES + 1))
+
+
+@register("train_bpe_indexed", f"{bpe_sql(MANY_MERGES).replace(' AS (', ' AS MATERIALIZED (')} {MANY_ROWS}")
+def _(spark, folder):
+    return train_bpe(documents(spark, folder), 257 + MANY_MERGES).merge_table(spark)
+
+
 @register(
     "encode",
     ENCODED

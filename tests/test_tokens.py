@@ -5,6 +5,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
+from corpusmill.operators import pair_index
 from corpusmill.operators.blocks import assign_batches, pack_blocks
 from corpusmill.operators.bpe import Bpe, encode, load_bpe, merge_symbols, sure_merges, train_bpe, write_vocab
 
@@ -67,6 +68,36 @@ def test_training_on_random_text_is_exact(spark, seed):
     assert bpe.merges == brute_bpe(texts, len(bpe.merges))
 
 
+def test_recounting_gives_the_merges_of_the_index(spark):
+    assert train_bpe(corpus(spark), 257 + 40, index=False) == train_bpe(corpus(spark), 257 + 40)
+
+
+def test_index_over_long_and_repeated_words_and_several_levels(spark, monkeypatch):
+    monkeypatch.setattr(pair_index, "ROUNDS_PER_LEVEL", 2)
+    rng = random.Random(5)
+    # longer than the limit of the index, equal letters, words that come in many rows
+    texts = ["".join(rng.choices("ab", k=pair_index.LONG_WORD + 50)), "aaaaaaa aaa aaaa", "abab abba baab"] * 3 + ["a" * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id long, source_code string")
+    bpe = train_bpe(df, 257 + 12)
+    assert bpe.merges == brute_bpe(texts, len(bpe.merges)) and len(bpe.tokens) == 269
+
+
+def test_training_without_words(spark):
+    none = spark.createDataFrame([(1, None), (2, "")], "row_id long, source_code string")
+    assert train_bpe(none, 300).merges == train_bpe(none.limit(0), 300).merges == []
+
+
+def test_merges_wait_for_their_turn():
+    merges = [("b", "c", 1), ("a", "b", 1), ("b", "c", 1)]
+    ranks = pair_index.turns_of(merges)
+    for text in ("abcbc", "aabbcc", "bcabc", "", "a"):
+        for first in range(3):
+            want = list(text)
+            for left, right, _ in merges[first:]:
+                want = merge_word(want, (left, right))
+            assert pair_index.apply_merges(list(text), ranks, first, 3) == want
+
+
 def test_sure_merges():
     top = [("a", "b", 9), ("c", "d", 8), ("b", "x", 7), ("e", "f", 6)]
     assert sure_merges(top, set(), True, 9) == [("a", "b", 9), ("c", "d", 8)]
