@@ -2,7 +2,7 @@
 
 The trees are fitted on a bounded sample and sent to all tasks; every vector is put into its leaf of each tree. A
 search takes leaves from one priority queue over all trees, by the squared distance to the half-spaces it has left,
-until it has visited ``share`` of all leaves. Leaves and the searches that visit them meet by shuffle; there, original
+until it has visited ``share`` of all leaves and enough candidates are in them. Leaves and the searches that visit them meet by shuffle; there, original
 vectors are compared in double precision.
 """
 
@@ -32,15 +32,16 @@ class Tree(NamedTuple):
     cuts: np.ndarray
     below: np.ndarray
     """Of each inner node the nodes on its lower and upper side; a leaf is given as -1 - its number."""
+    held: list[np.ndarray]
+    """Of each leaf the ids of its rows of the sample."""
 
 
-def fit_tree(sample: np.ndarray, leaves: int, draw: np.random.Generator) -> Tree:
+def fit_tree(sample: np.ndarray, ids: np.ndarray, leaves: int, draw: np.random.Generator) -> Tree:
     """Halve by the projection on the difference of two random rows, until a part holds its share of the leaves."""
-    normals, cuts, below, count = [], [], [], 0
+    normals, cuts, below, held = [], [], [], []
     least = max(2, len(sample) // leaves)
 
     def grow(rows: np.ndarray) -> int:
-        nonlocal count
         for _ in range(4 if len(rows) >= 2 * least else 0):
             a, b = draw.choice(len(rows), 2, replace=False)
             normal = sample[rows[a]] - sample[rows[b]]
@@ -51,17 +52,18 @@ def fit_tree(sample: np.ndarray, leaves: int, draw: np.random.Generator) -> Tree
             if 0 < (low := along <= cut).sum() < len(rows):
                 me = len(normals)
                 normals.append(normal / size)
-                cuts.append(cut)
+                # between two rows, so that rounding leaves none on the other side
+                cuts.append((along[low].max() + along[~low].min()) / 2)
                 below.append(None)
                 below[me] = (grow(rows[low]), grow(rows[~low]))
                 return me
-        count += 1
-        return -count
+        held.append(np.unique(ids[rows]))
+        return -len(held)
 
     top = grow(np.arange(len(sample)))
     if top < 0:
-        return Tree(np.zeros((0, sample.shape[1])), np.zeros(0), np.zeros((0, 2), np.int64))
-    return Tree(np.array(normals), np.array(cuts), np.array(below))
+        return Tree(np.zeros((0, sample.shape[1])), np.zeros(0), np.zeros((0, 2), np.int64), held)
+    return Tree(np.array(normals), np.array(cuts), np.array(below), held)
 
 
 def leaf_of(tree: Tree, vectors: np.ndarray) -> np.ndarray:
@@ -73,17 +75,23 @@ def leaf_of(tree: Tree, vectors: np.ndarray) -> np.ndarray:
     return -1 - node
 
 
-def visited(forest: list[Tree], vector: np.ndarray, share: float) -> list[tuple[int, int]]:
-    """``(tree, leaf)`` in the order in which one queue over all trees gives them."""
+def visited(forest: list[Tree], vector: np.ndarray, share: float, least: int) -> list[tuple[int, int]]:
+    """``(tree, leaf)`` in the order in which one queue over all trees gives them.
+
+    It goes on beyond ``share`` until the leaves hold ``least`` different ids of the sample, or none is left.
+    """
     gaps = [tree.normals @ vector - tree.cuts for tree in forest]
     total = sum(len(tree.cuts) + 1 for tree in forest)
     queue = [(0.0, t, 0 if len(tree.cuts) else -1) for t, tree in enumerate(forest)]
     heapq.heapify(queue)
     out: list[tuple[int, int]] = []
-    while queue and len(out) < max(len(forest), share * total):
+    seen: set[int] = set()
+    while queue and (len(out) < max(len(forest), share * total) or len(seen) < least):
         far, t, node = heapq.heappop(queue)
         if node < 0:
             out.append((t, -1 - node))
+            if len(seen) < least:
+                seen.update(forest[t].held[-1 - node][:least].tolist())
             continue
         gap = float(gaps[t][node])
         side = int(gap > 0)
@@ -101,8 +109,8 @@ def usable(vector: str) -> Column:
 def nearest(vectors: DataFrame, searches: Column, k: int = 20, share: float = SHARE, trees: int = TREES, leaves: int = LEAVES, seed: int = 11) -> DataFrame:
     """``query_id, rank, vec_id, score`` for the rows of ``vectors(vec_id, embedding)`` where ``searches`` holds.
 
-    All rows but the search's own id are candidates; the ``k`` nearest found are ranked from 1 by inner product, ties
-    by the smaller ``vec_id``. Rows without id or ``usable`` vector, and vectors of another length than the commonest
+    All rows but the search's own id are candidates; the ``k`` nearest found in the leaves visited are ranked from 1 by
+    inner product, ties by the smaller ``vec_id``. All candidates come out if there are no more than ``k``. Rows without id or ``usable`` vector, and vectors of another length than the commonest
     one, take no part. Of equal vectors the ``k + 1`` smallest ids are compared, which loses nothing. Repeated rows
     count once; an id with several vectors is ranked by its nearest. Other columns are not read.
     """
@@ -116,19 +124,20 @@ def nearest(vectors: DataFrame, searches: Column, k: int = 20, share: float = SH
     asked = asked.select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
     first = F.dense_rank().over(Window.partitionBy("vector").orderBy("vec_id"))
     distinct = rows.withColumn("n", first).filter(F.col("n") <= k + 1).groupBy("vector").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("vector").toArrow().column("vector")
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("vec_id", "vector").toArrow()
+    ids, sample = np.asarray(sample.column("vec_id")), sample.column("vector")
     points = np.asarray(sample.combine_chunks().flatten()).reshape(-1, total["length"]) if len(sample) else np.zeros((0, total["length"]))
     draw = np.random.default_rng(seed)
-    forest = spark.sparkContext.broadcast([fit_tree(points, leaves, draw) for _ in range(trees)])
+    forest = spark.sparkContext.broadcast([fit_tree(points, ids, leaves, draw) for _ in range(trees)])
     blocks = max(1, -(-total["count"] // (leaves * CELL_ROWS)))
     schema = "cell long, id long, vector array<double>, ids array<long>"
     cells = distinct.mapInArrow(_placed(forest, blocks, leaves), schema)
-    cells = cells.union(asked.mapInArrow(_searching(forest, blocks, share, leaves), schema))
+    cells = cells.union(asked.mapInArrow(_searching(forest, blocks, share, k + 1, leaves), schema))
     dealt = cells.repartition("cell").sortWithinPartitions("cell", F.col("ids").isNull())
     found = dealt.mapInArrow(_compared(k), "query_id long, vec_id long, score double")
-    rank = F.dense_rank().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    best = found.withColumn("place", rank).filter(F.col("place") <= k).drop("place").distinct()
-    return best.select("query_id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).alias("rank"), "vec_id", "score")
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _points(batch: pa.RecordBatch) -> np.ndarray:
@@ -158,14 +167,14 @@ def _placed(forest, blocks: int, leaves: int):
     return place
 
 
-def _searching(forest, blocks: int, share: float, leaves: int):
+def _searching(forest, blocks: int, share: float, least: int, leaves: int):
     """Each search once for each leaf and block that it visits."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, whole.num_rows, 256):
                 batch = whole.slice(a, 256)
-                cells = [[(t * 2 * leaves + leaf) * blocks + b for t, leaf in visited(forest.value, v, share) for b in range(blocks)] for v in _points(batch)]
+                cells = [[(t * 2 * leaves + leaf) * blocks + b for t, leaf in visited(forest.value, v, share, least) for b in range(blocks)] for v in _points(batch)]
                 take = np.repeat(np.arange(batch.num_rows), [len(c) for c in cells])
                 yield _rows(np.concatenate(cells), take, batch.column("vec_id"), batch, None)
 
@@ -198,10 +207,18 @@ def _best(queries: list[int], wanted: np.ndarray, rough: np.ndarray, points: np.
     edge = np.partition(rough, -keep, axis=1)[:, -keep]
     for q, vector, row, least in zip(queries, wanted, rough, edge):
         near = np.flatnonzero(row >= least - 1e-9 * max(1.0, abs(least)))
-        score = (points[near] * vector).sum(axis=1)
-        ids = np.concatenate([lists[i] for i in near])
-        score = np.repeat(score, [len(lists[i]) for i in near])
-        other = ids != q
-        order = np.lexsort((ids[other], -score[other]))[:k]
-        out.append((np.full(len(order), q), ids[other][order], score[other][order]))
+        ids, score = _ranked(q, vector, near, points, lists, k)
+        if len(ids) < k and len(near) < len(points):  # ids with several vectors took the places of others
+            ids, score = _ranked(q, vector, np.arange(len(points)), points, lists, k)
+        out.append((np.full(len(ids), q), ids, score))
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[c] for x in out])) for c in range(3)], ["query_id", "vec_id", "score"])
+
+
+def _ranked(q: int, vector: np.ndarray, near: np.ndarray, points: np.ndarray, lists: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best ids but ``q`` of the vectors at ``near``, each by its nearest vector, and their scores."""
+    ids = np.concatenate([lists[i] for i in near])
+    score = np.repeat((points[near] * vector).sum(axis=1), [len(lists[i]) for i in near])
+    order = np.lexsort((ids, -score))
+    order = order[ids[order] != q]
+    first = np.sort(np.unique(ids[order], return_index=True)[1])[:k]
+    return ids[order][first], score[order][first]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm import ann, byte_cnn
 from corpusmill.llm.ann import nearest
 from corpusmill.llm.quality import fit_quality, held_out, score_quality
+from corpusmill.llm.queries import QUERIES
 
 
 def brute(rows, k):
@@ -51,6 +52,32 @@ def test_a_part_of_the_forest_in_blocks(spark, rows, monkeypatch):
     assert hits >= 0.85 * sum(map(len, expect.values()))
 
 
+@pytest.mark.parametrize("n", [5, 12, 22, 26])
+def test_few_vectors_have_all_neighbours(spark, n):
+    points = np.random.default_rng(n).standard_normal((n, 64)).tolist()
+    # repeated rows and a second vector of one id are no further candidates
+    df = spark.createDataFrame([*enumerate(points), (1, points[1]), (1, points[2])], "vec_id long, embedding array<double>")
+    found = nearest(df, F.col("vec_id") % 2 == 0).groupBy("query_id").agg(F.countDistinct("vec_id").alias("n"), F.max("rank").alias("top")).collect()
+    assert {r["query_id"] for r in found} == set(range(0, n, 2))
+    assert all(r["n"] == r["top"] == min(20, n - 1) for r in found)
+
+
+def test_recall_of_the_query(spark):
+    """Production parameters over the whole table against brute force."""
+    held = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()
+    good = {r["vec_id"]: np.array(r["embedding"], float) for r in held if r["embedding"] and all(x is not None and np.isfinite(x) for x in r["embedding"]) and any(r["embedding"])}
+    found = {}
+    for r in QUERIES["op7_ann"](spark, "/root/testdata/sf0.01").collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = total = 0
+    for q in (i for i in good if i % 20 == 0):
+        best = sorted((-float((good[q] * v).sum()), i) for i, v in good.items() if i != q)[:20]
+        hits += len({i for _, i in best} & found[q])
+        total += len(best)
+    print("recall", hits / total)
+    assert hits >= 0.9 * total > 0
+
+
 def test_no_vectors_few_vectors(spark):
     schema = "vec_id long, embedding array<float>"
     assert nearest(spark.createDataFrame([], schema), F.col("vec_id") % 5 == 0).collect() == []
