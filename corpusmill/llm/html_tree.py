@@ -25,7 +25,7 @@ BLOCK = frozenset(
 )
 CONTAINER = frozenset("aside center details div dl fieldset figure form header footer hgroup menu nav ol section table ul".split())
 REMOVED = frozenset(
-    "aside button datalist dialog embed footer form head iframe input label link math menu meta nav noembed noframes noscript object "
+    "aside button datalist dialog embed footer form head iframe input label link menu meta nav noembed noframes noscript object "
     "script select style svg template textarea title canvas audio video".split()
 )
 # fixed values: words of class, id and role that name what is not the article
@@ -34,6 +34,9 @@ BOILERPLATE = frozenset(
     "complementary contentinfo disclaimer disqus footer gdpr masthead menu menus modal nav navbar navigation newsletter notice notices paywall popup promo promoted promotion "
     "related replies reply share sharing sidebar signup skyscraper social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+# fixed values: words that say of a box only that it is one
+BOX = frozenset("area bar block box button buttons container content form inner item items link links list outer panel section slot top unit wrap wrapper".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
     "dt": ({"dt", "dd"}, {"dl"}),
@@ -70,9 +73,14 @@ def is_boilerplate(tag: str, attrs: str, where: int) -> bool:
         return True
     if not attrs or tag in ("html", "body", "main"):
         return False
+    if where == 2 and tag in HEADINGS:  # named after their own words
+        return False
     found = [v for m in _NAMES.finditer(attrs) for v in m.groups() if v]
     if tag == "article":  # names of articles say much about what is in them
         return any(w in BOILERPLATE for v in found for w in v.lower().split())
+    if where == 2:  # a name with a word of its own is about the text: related-work, notice-of-appeal
+        names = [set(_WORD.findall(_CAMEL.sub(" ", n).lower())) for v in found for n in v.split()]
+        return any(n & BOILERPLATE and n <= BOILERPLATE | BOX for n in names)
     return any(w in BOILERPLATE or (w == "header" and where < 2) for v in found for w in _WORD.findall(_CAMEL.sub(" ", v).lower()))
 
 

@@ -91,6 +91,23 @@ def test_blocks_of_a_page(page, text):
     assert "\n".join(b.text for b in blocks_of(page)) == text
 
 
+@pytest.mark.parametrize(
+    "inside, text",
+    [
+        ("<h2 id='related-work'>Related work</h2>", "Related work"),
+        ("<h2 id='comments'>Comments</h2>", "Comments"),
+        ("<section id='social-history'><p>It began.</p></section>", "It began."),
+        ("<div id='notice-of-appeal' class=sidebarTheory>An appeal</div>", "An appeal"),
+        ("<p>so <math><mi>x</mi></math> is</p>", "so x is"),
+        ("<div class='ad-container'>Buy</div><div class='lead shareButtons'>Share</div>", ""),
+        ("<ul class='related-links'><li>More</li></ul><section id=comments>Nice</section><div role=navigation>Up</div>", ""),
+    ],
+)
+def test_names_inside_an_article_are_taken_whole(inside, text):
+    page = f"<html><body><article><p>One</p>{inside}</article></body></html>"
+    assert "\n".join(b.text for b in blocks_of(page)) == "\n".join(filter(None, ["One", text]))
+
+
 def test_templates_are_counted_by_host(spark):
     """What recurs on a host goes, except for paragraphs of an article; other hosts keep it."""
     page = "<div><p>Site line</p><ul><li>Menu one<li>Menu two</ul></div><p>text {0}</p>"
