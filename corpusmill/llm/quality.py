@@ -14,9 +14,7 @@ from corpusmill.llm import byte_cnn
 from corpusmill.llm import hashing as H
 
 SAMPLE_ROWS = 2000
-"""Labelled documents that the network is fitted on, at most."""
-SAMPLE_BYTES = 1 << 17
-"""Longer documents are not taken into the sample; all are scored whole."""
+"""Labelled documents that the network is fitted on, at most, whatever their lengths; all are scored whole."""
 _PIECE = 1 << 20
 
 
@@ -28,12 +26,12 @@ def held_out() -> Column:
 def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, **options) -> byte_cnn.Weights:
     """Weights from ``docs(doc_id, text)`` and ``labels(doc_id, quality)``: at most ``rows`` labelled documents.
 
-    The sample is the one with the least hashes of ``doc_id``, without held-out rows, nulls, and texts over
-    ``SAMPLE_BYTES``. It alone comes to the driver. Contradicting labels of one document both count.
+    The sample is the one with the least hashes of ``doc_id``, without held-out rows and nulls; its texts are taken
+    whole. It alone comes to the driver. Contradicting labels of one document both count.
     """
     chosen = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(~held_out()).select("doc_id", F.col("quality").cast("double").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
-    sample = docs.select("doc_id", "text").filter(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(chosen), "doc_id")
+    sample = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
     found = sample.orderBy(F.xxhash64("doc_id"), "text", "quality").limit(rows).collect()
     return byte_cnn.fit([r["text"].encode() for r in found], np.array([r["quality"] for r in found], float), **options)
 
