@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm import hashing as H
-from corpusmill.llm.html_tree import Block, blocks_of
+from corpusmill.llm.html_tree import Block, Page, blocks_of, text_without
 from corpusmill.session import cut_lineage
 
 MIN_PAGES = 5
 """A subtree is a template of its host if it is on so many different pages of it, however many pages the host has."""
-_BLOCKS = pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))]))
+_BLOCKS = pa.list_(pa.struct([("text", pa.string()), ("inside", pa.int32())]))
+_SUBTREES = pa.list_(pa.struct([("digest", pa.int64()), ("inside", pa.int32())]))
 
 
 def main_text(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -34,29 +35,42 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     rows = pages.select("page_id", "url", F.xxhash64("page_id", "url").alias("key"), F.xxhash64(host).alias("site"), "html")
     # pages are read twice, so that only digests are kept between and only texts are shuffled, once
     subtrees = cut_lineage(rows.select("key", "site", "html").mapInArrow(_subtrees, "key long, site long, page long, digest long"))
-    read = rows.mapInArrow(_read, f"page_id {kind}, url string, key long, blocks array<struct<text:string,around:array<long>>>")
+    read = rows.mapInArrow(_read, f"page_id {kind}, url string, key long, blocks array<struct<text:string,inside:int>>, subtrees array<struct<digest:long,inside:int>>")
     on = subtrees.groupBy("site", "digest").agg(F.countDistinct("page").alias("pages"))
     templates = on.filter(F.col("pages") >= min_pages).select("site", "digest")
     flagged = subtrees.join(templates, ["site", "digest"]).groupBy("key").agg(F.collect_set("digest").alias("gone"))
-    out = read.join(flagged, "key", "left")
-    kept = F.filter("blocks", lambda b: F.col("gone").isNull() | ~F.arrays_overlap(b["around"], F.col("gone")))
-    return out.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text"))
+    return read.join(flagged, "key", "left").mapInArrow(_without, f"page_id {kind}, url string, text string")
+
+
+def _pages(batch: pa.RecordBatch) -> list[Page]:
+    return [blocks_of(page) if page else Page([], []) for page in batch.column("html").to_pylist()]
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [[b._asdict() for b in blocks_of(page)] if page else [] for page in batch.column("html").to_pylist()]
+        pages = _pages(batch)
+        blocks = pa.array([[b._asdict() for b in p.blocks] for p in pages], _BLOCKS)
+        subtrees = pa.array([[t._asdict() for t in p.subtrees] for p in pages], _SUBTREES)
         names = ["page_id", "url", "key"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found, _BLOCKS)], [*names, "blocks"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), blocks, subtrees], [*names, "blocks", "subtrees"])
+
+
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = []
+        for blocks, subtrees, gone in zip(*(batch.column(n).to_pylist() for n in ("blocks", "subtrees", "gone"))):
+            page = Page([(b["text"], b["inside"]) for b in blocks], [(t["digest"], t["inside"]) for t in subtrees])
+            texts.append(text_without(page, set(gone or ())))
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each digest of a page once, with that of the page."""
     for batch in batches:
-        read = [blocks_of(page) if page else [] for page in batch.column("html").to_pylist()]
-        found = [sorted({d for b in blocks for d in b.around}) for blocks in read]
+        read = _pages(batch)
+        found = [sorted({t.digest for t in page.subtrees}) for page in read]
         at = pa.array([i for i, digests in enumerate(found) for _ in digests], pa.int64())
-        whole = pa.array([_page_digest(blocks) for blocks in read], pa.int64()).take(at)
+        whole = pa.array([_page_digest(page.blocks) for page in read], pa.int64()).take(at)
         digests = pa.array([d for digests in found for d in digests], pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("site").take(at), whole, digests], ["key", "site", "page", "digest"])
 

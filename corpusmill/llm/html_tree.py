@@ -54,17 +54,38 @@ _CLOSES = {
 
 class Block(NamedTuple):
     text: str
-    around: list[int]
-    """Digests of the subtrees that hold the block and may be a template of the site."""
+    inside: int
+    """Place in ``Page.subtrees`` of the smallest one that holds the block, or -1."""
+
+
+class Subtree(NamedTuple):
+    """An element that may be a template of the site."""
+
+    digest: int
+    inside: int
+    """Place of the smallest subtree around it, which is before its own, or -1."""
+
+
+class Page(NamedTuple):
+    blocks: list[Block]
+    subtrees: list[Subtree]
+
+
+def text_without(page: Page, gone: set[int]) -> str:
+    """The blocks that no subtree of these digests holds, at any depth, joined by line ends."""
+    out: list[bool] = []
+    for digest, inside in page.subtrees:
+        out.append(digest in gone or (inside >= 0 and out[inside]))
+    return "\n".join(text for text, inside in page.blocks if inside < 0 or not out[inside])
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "removed", "where", "parts", "digest")
+    __slots__ = ("tag", "parent", "removed", "where", "parts", "digest", "place")
 
     def __init__(self, tag: str, parent: _Element | None, removed: bool, where: int):
         self.tag, self.parent, self.removed, self.where = tag, parent, removed, where
         self.parts: list[str] = []
-        self.digest = 0
+        self.digest, self.place = 0, None
 
 
 def is_boilerplate(tag: str, attrs: str, where: int) -> bool:
@@ -84,8 +105,11 @@ def is_boilerplate(tag: str, attrs: str, where: int) -> bool:
     return any(w in BOILERPLATE or (w == "header" and where < 2) for v in found for w in _WORD.findall(_CAMEL.sub(" ", v).lower()))
 
 
-def blocks_of(page: str) -> list[Block]:
-    """Blocks of the article, else of the main part, else of the page; what is boilerplate by its name is left out."""
+def blocks_of(page: str) -> Page:
+    """Blocks of the article, else of the main part, else of the page, with the subtrees around them.
+
+    What is boilerplate by its name is left out.
+    """
     top = _Element("", None, False, 0)
     stack, texts, number, at = [top], [], 0, 0
     open_tags: dict[str, int] = {}
@@ -107,6 +131,8 @@ def blocks_of(page: str) -> list[Block]:
     def find(names, barrier=()) -> int:
         """Place of the outermost open element of these names above the barrier, or 0."""
         found = 0
+        if not any(open_tags.get(n) for n in names):
+            return found
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in barrier:
                 break
@@ -157,27 +183,35 @@ def blocks_of(page: str) -> list[Block]:
     return _joined(texts)
 
 
-def _joined(texts: list[tuple[int, _Element, str]]) -> list[Block]:
+def _joined(texts: list[tuple[int, _Element, str]]) -> Page:
     best = max((e.where for _, e, value in texts if value.strip()), default=0)
     held: dict[int, tuple[_Element, list[str]]] = {}
     for number, e, value in texts:
         if e.where == best:
             held.setdefault(number, (e, []))[1].append(value)
-    out = []
+    page = Page([], [])
     for e, values in held.values():
         if value := " ".join("".join(values).split()):
-            out.append(Block(value, _around(e, best)))
-    return out
+            page.blocks.append(Block(value, _placed(e, best, page.subtrees)))
+    return page
 
 
-def _around(e: _Element | None, best: int) -> list[int]:
-    """Inside an article its containers may be templates, never its paragraphs; elsewhere all blocks of the page may."""
-    found = []
-    while e is not None and e.parent is not None and not (best and e.parent.where < best):
-        if e.tag in CONTAINER or (not best and e.tag in BLOCK and e.tag not in ("html", "body")):
-            found.append(e.digest)
+def _placed(e: _Element, best: int, subtrees: list[Subtree]) -> int:
+    """Place of the smallest subtree around an element, each element being looked at once a page.
+
+    Inside an article its containers may be templates, never its paragraphs; elsewhere all blocks of the page may.
+    """
+    new = []
+    while e.place is None and e.parent is not None and not (best and e.parent.where < best):
+        new.append(e)
         e = e.parent
-    return found
+    place = -1 if e.place is None else e.place
+    for e in reversed(new):
+        if e.tag in CONTAINER or (not best and e.tag in BLOCK and e.tag not in ("html", "body")):
+            subtrees.append(Subtree(e.digest, place))
+            place = len(subtrees) - 1
+        e.place = place
+    return place
 
 
 def _digest(e: _Element) -> int:
