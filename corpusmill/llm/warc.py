@@ -9,6 +9,7 @@ import base64
 import gzip
 import hashlib
 import html as entities
+import io
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -162,9 +163,15 @@ def decoded(payload: bytes, http: Headers) -> str:
             return payload.decode("utf-8", "replace")
 
 
-_UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
-_BLOCK = re.compile(r"<(/?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|td|th|tr|ul))\b[^>]*>", re.I)
-_TAG = re.compile(r"</?[a-zA-Z!?][^>]*>?")
+# a tag that nothing closes reaches to the end of the page, so that no byte is searched once per tag before it
+_UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|textarea)\b[^>]*+(?:>.*?(?:</\1\s*>|\Z)|\Z)", re.I | re.S)
+_BLOCK = re.compile(r"<(/?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|td|th|tr|ul))\b[^>]*+(?:>|\Z)", re.I)
+_TAG = re.compile(r"</?[a-zA-Z!?][^>]*+>?")
+_TITLE = re.compile(r"<title\b[^>]*+(?:>(.*?)(?:</title\s*>|\Z)|\Z)", re.I | re.S)
+_ANCHOR = re.compile(r"<a(?=\s)", re.I)
+_QUOTED_TAG = re.compile(r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
+_PLAIN_TAG = re.compile(r"([^>]*+)>?")
+_HREF = re.compile(r"href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 
 
 def plain_text(page: str) -> str:
@@ -174,14 +181,26 @@ def plain_text(page: str) -> str:
 
 
 def titles(page: str) -> list[str]:
-    found = re.search(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", page, re.I | re.S)
-    return [" ".join(entities.unescape(found[1]).split())] if found else []
+    found = _TITLE.search(page)
+    return [" ".join(entities.unescape(found[1]).split())] if found and found[1] is not None else []
 
 
 def links(page: str) -> list[str]:
-    """Targets of anchors, in order, each once."""
-    found = re.findall(r"<a\s[^>]*?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", page, re.I)
-    return list(dict.fromkeys(entities.unescape("".join(x)) for x in found))
+    """Targets of anchors, in order, each once; those in comments and scripts too.
+
+    A ``>`` in quotes does not end a tag. Where that leaves a tag open to the end of the page, quotes count no more
+    from there on, and a tag ends at the next ``>``, or else with the page.
+    """
+    found: dict[str, None] = {}
+    at, quoted = 0, True
+    while m := _ANCHOR.search(page, at):
+        tag = _QUOTED_TAG.match(page, m.end()) if quoted else None
+        if tag is None:
+            quoted, tag = False, _PLAIN_TAG.match(page, m.end())
+        at = tag.end()
+        if target := _HREF.search(tag[1]):
+            found[entities.unescape("".join(v or "" for v in target.groups()))] = None
+    return list(found)
 
 
 def serialized(records: DataFrame) -> DataFrame:
@@ -198,31 +217,37 @@ def write_warc(records: DataFrame, path: str, records_per_file: int = 20_000) ->
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all files below ``path`` whatever their names, gzipped or not; a file is read by one task, whole."""
+    """The records of all files below ``path`` whatever their names, gzipped or not.
+
+    A file is read by one task, which holds it as stored and unpacks its records one after the other.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for value in batch.column("content"):
                 held: list[tuple[Headers, bytes]] = []
+                size = 0
                 for record in records_in(value.as_py()):
                     held.append(record)
-                    if sum(len(c) for _, c in held[-1:]) > _BATCH or len(held) >= 500:
+                    size += len(record[1])
+                    if size > _BATCH or len(held) >= 500:
                         yield _packed(held)
-                        held = []
+                        held, size = [], 0
                 yield _packed(held)
 
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(read, RECORD)
 
 
 def records_in(data: bytes) -> Iterator[tuple[Headers, bytes]]:
-    """Headers and block of each record of a file; blocks are as long as their Content-Length says."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (begin := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", begin)
-        lines = data[begin:end].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = [(n.strip(), v.strip()) for n, _, v in (line.partition(":") for line in lines)]
-        size = int(value_of(headers, "Content-Length") or 0)
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+    """Headers and block of each record of a file; blocks are as long as their Content-Length says.
+
+    Lines before a version line are skipped. A record that the file cuts off is given as far as it goes.
+    """
+    stored = io.BytesIO(data)
+    lines = io.BufferedReader(gzip.GzipFile(fileobj=stored)) if data[:2] == b"\x1f\x8b" else stored
+    while line := lines.readline():
+        if not line.startswith(b"WARC/"):
+            continue
+        head = iter(lambda: lines.readline().decode("utf-8", "replace").strip(), "")
+        headers = [(n.strip(), v.strip()) for n, _, v in (line.partition(":") for line in head)]
+        yield headers, lines.read(int(value_of(headers, "Content-Length") or 0))

@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 WS = re.compile("[^\x20\x09-\x0d]+")
 ITEM_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -102,3 +103,71 @@ def pairs(df):
 
 def ordered(rows):
     return sorted(rows, key=str)
+
+
+def markup(tree):
+    return tree if isinstance(tree, str) else f"<{tree[0]}>{''.join(map(markup, tree[1]))}</{tree[0]}>"
+
+
+def shown(page, gone=frozenset()):
+    """Texts of a list of trees ``(tag, [text or tree])``, without the subtrees in ``gone``."""
+    out = []
+    for tree in page:
+        if isinstance(tree, str):
+            out.append(tree)
+        elif markup(tree) not in gone:
+            out += shown(tree[1], gone)
+    return out
+
+
+def site_texts(pages, least):
+    """Text per page of ``(id, host, trees)`` without subtrees on ``least`` different pages of its host."""
+
+    def subtrees(page):
+        for tree in page:
+            if not isinstance(tree, str):
+                yield markup(tree)
+                yield from subtrees(tree[1])
+
+    on = defaultdict(set)
+    for _, host, page in pages:
+        for subtree in subtrees(page):
+            on[host, subtree].add(tuple(shown(page)))
+    gone = {host: {s for (h, s), found in on.items() if h == host and len(found) >= least} for _, host, _ in pages}
+    return {i: "\n".join(shown(page, gone[host])) for i, host, page in pages}
+
+
+def parsed(page):
+    """Text, first title and links of a page."""
+    text, title, links, hidden = [], [], {}, []
+
+    class Reader(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            if tag in ("p", "div", "br", "li"):
+                text.append("\n")
+            if tag == "a" and dict(attrs).get("href"):
+                links[dict(attrs)["href"]] = None
+            if tag in ("script", "title"):
+                hidden.append(tag)
+                text.append(" ")
+
+        def handle_endtag(self, tag):
+            if tag in ("p", "div", "li"):
+                text.append("\n")
+            if tag in ("script", "title") and hidden:
+                hidden.pop()
+
+        def handle_comment(self, data):
+            text.append(" ")
+
+        def handle_data(self, data):
+            if hidden[-1:] == ["title"]:
+                title.append(data)
+            elif not hidden:
+                text.append(data.replace("\n", " "))
+
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    lines = [" ".join(x.split()) for x in "".join(text).split("\n")]
+    return "\n".join(filter(None, lines)), [" ".join(t.split()) for t in title[:1]], list(links)

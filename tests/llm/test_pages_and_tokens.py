@@ -1,7 +1,11 @@
 import base64
+import gzip
 import hashlib
+import random
 import struct
+import time
 
+import brute
 import numpy as np
 import pytest
 import sentencepiece
@@ -10,7 +14,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm import sentencepiece as SP
 from corpusmill.llm import warc
 from corpusmill.llm.html_text import main_text
-from corpusmill.llm.html_tree import blocks_of
+from corpusmill.llm.html_tree import blocks_of, text_without
 from corpusmill.llm.queries import SENTENCEPIECE_MODEL
 
 ODD = ["", "  ", " a  b ", "<s> x </s>", "▁x", "日本語 😀\x00\n\t", "a▁b", "   lead", " ", "<unk><0x41>", "é", "x" * 5000, "tab\tand\r\nlines\n\n"]
@@ -88,7 +92,7 @@ PAGES = [
 
 @pytest.mark.parametrize("page,text", PAGES)
 def test_blocks_of_a_page(page, text):
-    assert "\n".join(b.text for b in blocks_of(page)) == text
+    assert text_without(blocks_of(page), set()) == text
 
 
 @pytest.mark.parametrize(
@@ -105,7 +109,7 @@ def test_blocks_of_a_page(page, text):
 )
 def test_names_inside_an_article_are_taken_whole(inside, text):
     page = f"<html><body><article><p>One</p>{inside}</article></body></html>"
-    assert "\n".join(b.text for b in blocks_of(page)) == "\n".join(filter(None, ["One", text]))
+    assert text_without(blocks_of(page), set()) == "\n".join(filter(None, ["One", text]))
 
 
 def test_templates_are_counted_by_host(spark):
@@ -143,6 +147,61 @@ def test_a_template_on_a_small_share_of_a_large_host(spark):
     assert found == {i: f"Box\ntext {i}" if 6 <= i < 10 else f"text {i}" for i in range(400)}
 
 
+def test_templates_as_by_brute_force(spark):
+    """Random nested pages, with text at every level, against whole subtrees counted as strings."""
+    draw = random.Random(3)
+    word = lambda n: "".join(draw.choices("abcdefgh", k=n))
+
+    def tree(depth):
+        tag = draw.choice(["div", "ul", "section", "blockquote"]) if depth else "li"
+        inner = [draw.choice([word(1), tree(depth - 1)]) for _ in range(draw.randint(1, 3))] if depth else [word(draw.choice([1, 1, 6]))]
+        return (tag, [x for i, x in enumerate(inner) if not (isinstance(x, str) and i and isinstance(inner[i - 1], str))])
+
+    rows = [(i, f"http://h{i % 2}.example/{i // 3}", [tree(draw.randint(0, 3)) for _ in range(draw.randint(0, 5))]) for i in range(150)]
+    df = spark.createDataFrame([(i, url, "".join(map(brute.markup, page))) for i, url, page in rows], "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in main_text(df).collect()}
+    expect = brute.site_texts([(i, url.split("/")[2], page) for i, url, page in rows], 5)
+    assert found == expect and len({len(t) for t in found.values()}) > 20
+    assert sum(len(brute.shown(page)) for _, _, page in rows) > sum(len(t.split()) for t in found.values())  # some are templates
+
+
+def test_deep_and_unclosed_pages_take_time_in_proportion(spark):
+    """A megabyte of nested blocks with text at each level, of tags that nothing closes, and of quotes that nothing closes."""
+    begun = time.monotonic()
+    deep = "".join(f"<div>x{i} {'y' * 40}" for i in range(20_000))
+    page = blocks_of(deep)
+    assert len(page.blocks) == len(page.subtrees) == 20_000 and text_without(page, {page.subtrees[7].digest}).count("\n") == 6
+    df = spark.createDataFrame([(1, "http://a.example", deep)], "page_id long, url string, html string")
+    assert main_text(df).first()["text"].count("\n") == 19_999
+    for odd in ("<a " * 100_000, "<a href='x\">" * 80_000, "<a \">\"" * 100_000, "<title " * 100_000, "<script " * 100_000, "<p " * 100_000, "<!-- " * 100_000, "<a href=" * 80_000):
+        warc.links(odd), warc.titles(odd), warc.plain_text(odd), blocks_of(odd) if '\">\"' not in odd else None
+    assert time.monotonic() - begun < 60
+
+
+@pytest.mark.parametrize(
+    "page, found",
+    [
+        ("<a href='/b'>b</a><A class=x HREF = \"/c?a=1&amp;b=2\" >c</A><a href=/d>d<a href='/b'>", ["/b", "/c?a=1&b=2", "/d"]),
+        ("<a title='a>b' href='x>y'>", ["x>y"]),
+        ("<abbr href=no><a name=n>href=no<a\nhref=yes", ["yes"]),
+        ("<a href='/open>one</a><a href=/two>", ["/two"]),
+        ("", []),
+    ],
+)
+def test_links_of_a_page(page, found):
+    assert warc.links(page) == found
+
+
+def test_pages_as_by_a_parser():
+    """Text, title and links of random pages against the parser of the standard library."""
+    draw = random.Random(4)
+    parts = ["<p>", "</p>", "<b>", "</b>", "<div class='a>b'>", "</div>", "<br>", "one &amp; two", " x\n y ", "<a href='/{0}?a&lt;b'>", "<a id=k href=\"u {0}\">", "</a>", "<script>if (a) '<p>'</script>", "<!-- a > b -->", "<li>", "é{0}", "<title>T{0} &gt;</title>"]
+    for _ in range(300):
+        page = "".join(draw.choice(parts).format(draw.randrange(5)) for _ in range(draw.randrange(30))).replace("class='a>b'", "class='ab'")
+        text, title, links = brute.parsed(page)
+        assert (warc.plain_text(page), warc.titles(page), warc.links(page)) == (text, title, links), page
+
+
 def pages(spark):
     rows = [(1, "http://x.example/a", "<title>T</title><p>Hi &amp; <a href='/b'>b</a><p>é"), (2, None, None), (3, "http://y\n.example", "<script>x</script>" + "z" * 100_000), (3, "http://y\n.example", "again")]
     return spark.createDataFrame([(*r, "headers") for r in rows], "page_id long, url string, html string, headers string")
@@ -186,3 +245,11 @@ def test_archives_of_any_name_are_read(spark, tmp_path):
     (tmp_path / "_SUCCESS").write_bytes(b"")
     rows = warc.read_warc(spark, str(tmp_path)).collect()
     assert [bytes(r["content"]) for r in rows] == [b"hi", b"hi"]
+
+
+def test_records_of_a_file_one_after_the_other():
+    """Members zipped apart, lines between records, and a record that the file cuts off."""
+    record = b"WARC/1.0\r\nWARC-Type: resource\r\ncontent-length: 3\r\n\r\n\nWA\r\n\r\n"
+    assert [c for _, c in warc.records_in(gzip.compress(record) * 3)] == [b"\nWA"] * 3
+    assert [c for _, c in warc.records_in(b"odd\r\n" + record + record[:-5])] == [b"\nWA", b"\nW"]
+    assert list(warc.records_in(b"")) == [] and list(warc.records_in(b"WARC/1.0\r\nWARC-Type: x")) == [([("WARC-Type", "x")], b"")]
