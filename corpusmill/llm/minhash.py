@@ -91,8 +91,8 @@ def _links(texts: DataFrame, classes: DataFrame, percent: int, words: int) -> Da
     """``a, b``: enough confirmed links between nodes to connect all that links connect.
 
     Nodes that share a key are first compared with one of them, so that a group of copies is connected by as many
-    comparisons as it has members; again with other ones, while many nodes are apart. Only then, and only between parts,
-    all pairs that share a key are looked for.
+    comparisons as it has members; again with other ones, while many nodes are apart and a quarter of those compared
+    were links. Only then, and only between parts, all pairs that share a key are looked for.
     """
     nodes = classes.select("node", "n_shingles", "signature")
     keys = nodes.select("node", "signature").mapInArrow(_keys(percent), "node long, key long, place int")
@@ -101,13 +101,16 @@ def _links(texts: DataFrame, classes: DataFrame, percent: int, words: int) -> Da
     wanted = classes.join(members.select("node").distinct(), "node").select("node", "top.*")
     bodies = texts.join(wanted, ["doc_id", "text_key"]).dropDuplicates(["node"]).select("node", "text")
     bodies = cut_lineage(bodies.mapInArrow(_valued(words), "node long, shingles binary"))
-    links, parts = [], None
+    parts = None
     for turn in range(STARS):
         spokes = cut_lineage(_nearest(_measured(_spokes(_labelled(members, parts), turn), nodes, percent), ["b"]))
-        if spokes.count() < (BLOCK if links else 1):
+        compared = spokes.count()
+        if compared < (1 if parts is None else BLOCK):
+            break
+        found = cut_lineage(_confirmed(spokes, bodies, percent))
+        parts = components(_union([*_known(parts), found]))
+        if found.count() < compared / 4:
             break
-        links = [*_known(parts), cut_lineage(_confirmed(spokes, bodies, percent))]
-        parts = components(_union(links))
     return _union([*_known(parts), _apart(_labelled(members, parts), nodes, bodies, percent)])
 
 
