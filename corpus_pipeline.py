@@ -14,7 +14,7 @@ from corpusmill.llm.quality import fit_quality, score_quality
 from corpusmill.llm.queries import GOOD, SENTENCEPIECE_MODEL, table
 from corpusmill.llm.secrets import redact_secrets
 from corpusmill.llm.sentencepiece import encode_texts
-from corpusmill.session import scratch_path
+from corpusmill.session import cut_lineage, scratch_path
 
 NEAR_PERCENT = 80
 """Near-duplicates share so much of their sets of five-word runs; the 85 of op2 is that query's own."""
@@ -31,11 +31,14 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows are told apart by id and text: those that share an id but not their text stand for themselves.
     """
-    firsts = near_duplicates(docs, percent=NEAR_PERCENT).filter("first").select(F.col("doc_id").alias("_id"), "text_key").distinct()
+    found = near_duplicates(docs, percent=NEAR_PERCENT).filter("first").groupBy(F.col("doc_id").alias("_id"), "text_key")
+    firsts = cut_lineage(found.agg(F.count(F.lit(1)).alias("times")))
     rows = docs.withColumn("_text", F.xxhash64("text"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("text_key"))
     nth = F.row_number().over(Window.partitionBy("doc_id", "_text").orderBy("doc_id"))
-    return rows.join(firsts, same, "left_semi").withColumn("_nth", nth).filter("_nth = 1").drop("_text", "_nth")
+    once = rows.join(firsts.filter("times = 1"), same, "left_semi")  # texts of rows that are not repeated are not sorted
+    repeated = rows.join(firsts.filter("times > 1"), same, "left_semi").withColumn("_nth", nth).filter("_nth = 1").drop("_nth")
+    return once.unionByName(repeated).drop("_text")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
