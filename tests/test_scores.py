@@ -162,3 +162,20 @@ def test_missing_texts_and_references_lose_no_pair(spark):
     assert [(r["m1"], r["h1"], r["min_ref_len"], r["closest_ref_len"]) for r in terms] == [(5, 5, 5, 5), (0, 2, 0, 0), (0, 1, 0, 0), (0, 0, 2, 2), (2, 2, 0, 3), (4, 4, 2, 4)]
     assert B.exact_match(df).first()[0] == round(100 / 6, 2)
     assert B.corpus_bleu(df).first() == B.corpus_bleu(filled).first()
+
+
+def test_terms_stay_in_the_row(spark):
+    """Neither texts nor n-grams are exchanged or grouped; repeated n-grams are clipped; equal ids are two pairs."""
+    refs, hyp = ["a b a b a : 2", "1:a a a a a 2:a"], "a a a b a a a b a 2:a : 2 1:a"
+    df = spark.createDataFrame([(1, refs, hyp), (1, ["x y"], "x y"), (2, ["x"], "")], SCHEMA)
+    grams = lambda text, n: Counter(tuple(text.split()[i : i + n]) for i in range(len(text.split()) - n + 1))
+    want = [sum((grams(hyp, n) & (grams(refs[0], n) | grams(refs[1], n))).values()) for n in range(1, 5)]
+    got = B.bleu_terms(df)
+    assert sorted([r[f"m{n}"] for n in range(1, 5)] for r in got.collect()) == sorted([want, [2, 1, 0, 0], [0, 0, 0, 0]])
+    recalled = B.recall_terms(df, ["a"])
+    row = recalled.filter("m1 > 2").first()
+    for n in range(1, 5):
+        assert (row[f"m{n}"], row[f"d{n}"]) == pytest.approx(brute_recall(refs, hyp, ["a"], n))
+    for terms in (got, recalled):
+        plan = terms._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Aggregate" not in plan
