@@ -186,3 +186,29 @@ def test_a_very_long_word_is_merged_as_by_the_plain_loop():
             word = draw.choices("ab", k=n)
             assert merge_symbols(list(word), rank) == plain(list(word))
     assert len(merge_symbols(["a"] * 1_000_000, rank)) == 250_000
+
+
+def test_a_batch_is_encoded_a_few_words_at_a_time(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from corpusmill.operators import bpe as module
+
+    made = module.Bpe([("61", "62", 1)], [module.END_OF_TEXT, *(f"{b:02X}" for b in range(256)), "6162"])
+    rows = [["ab", "abc"], None, [], ["x"] * 7, ["ab"], [], None, ["é", "ab"]]
+    words = pa.array(rows, pa.list_(pa.string()))
+    whole = module.word_encoder(made)(words)
+    assert whole.to_pylist()[3:5] == [[121] * 7, [257]]
+    monkeypatch.setattr(module, "WORDS_AT_ONCE", 3)
+    for part in (words, words.slice(2, 4), words.slice(0, 0)):
+        want = [[i for w in row or [] for i in ([257] + [b + 1 for b in w[2:].encode()] if w[:2] == "ab" else [b + 1 for b in w.encode()])] for row in part.to_pylist()]
+        assert module.word_encoder(made)(part).to_pylist() == want
+    monkeypatch.undo()
+    many = pa.array([["some", "words", "here"] * 100] * 4000, pa.list_(pa.string()))
+    encode_batch = module.word_encoder(made)
+    tracemalloc.start()
+    encode_batch(many)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20  # 5.2 million tokens; at once they took several times as much
