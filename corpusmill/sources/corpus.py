@@ -80,7 +80,8 @@ def write_corpus(
         folders.append(SHARD)
     writer = df.write.mode("overwrite").option("maxRecordsPerFile", max_records)
     if folders:
-        writer = writer.partitionBy(*folders)
+        # there may be very many: the tasks move theirs into place, the driver does not move all one by one
+        writer = writer.partitionBy(*folders).option("mapreduce.fileoutputcommitter.algorithm.version", "2")
     writer.parquet(path)
 
 

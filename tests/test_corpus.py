@@ -186,3 +186,15 @@ def test_numbering_moves_no_text(spark, tmp_path):
     (tmp_path / "a.json").write_text("".join(f'{{"source_code": "{i}"}}\n' for i in range(9)))
     plan = read_raw_corpus(spark, str(tmp_path), "source_code string")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_shards_are_moved_into_place_by_their_tasks(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    set_, option = {}, DataFrameWriter.option
+    monkeypatch.setattr(DataFrameWriter, "option", lambda self, k, v: (set_.__setitem__(k, v), option(self, k, v))[1])
+    df = spark.range(40).selectExpr("id AS row_id", "repeat('x', 100) AS source_code")
+    write_corpus(df, str(tmp_path / "out"), max_bytes=1000)
+    assert set_["mapreduce.fileoutputcommitter.algorithm.version"] == "2"
+    assert read_corpus(spark, str(tmp_path / "out")).count() == 40
+    assert (tmp_path / "out" / "_SUCCESS").exists() and not (tmp_path / "out" / "_temporary").exists()
