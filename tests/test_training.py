@@ -49,3 +49,22 @@ def test_predictions_are_scored_with_missing_ones(spark):
     given = spark.createDataFrame([(0, 0, " List.add(a0))) {"), (1, 0, "no")], "row_id long, usage_no int, prediction string")
     pairs = {(r["row_id"], r["usage_no"]): (r["refs"], r["hyp"]) for r in P.completion_pairs(samples, given).collect()}
     assert pairs[0, 0] == (["List.add(a0)"], "List.add(a0)") and pairs[2, 1][1] == "" and len(pairs) == 60
+
+
+def test_samples_keep_columns_and_scores_count_their_rows(spark):
+    from corpusmill.operators.bleu import exact_match
+    from corpusmill.operators.usages import valid_samples
+
+    row = (1, "web", "A", "A.f(x)", "A.f 2|")
+    df = spark.createDataFrame([row, row], "row_id long, domain string, api string, source_code string, api_seq string")
+    assert [tuple(r) for r in valid_samples(df, ["domain"]).collect()] == [(1, 0, "A.", "f", "web")] * 2
+    scored = spark.createDataFrame([("web", ["a"], "a"), ("web", ["a"], "b"), ("app", [], None)], "domain string, refs array<string>, hyp string")
+    assert {tuple(r) for r in exact_match(scored, ["domain"], "n").collect()} == {("web", 2, 50.0), ("app", 1, 0.0)}
+
+
+def test_the_model_is_counted_once_and_samples_are_made_once(spark):
+    from corpusmill.registry import QUERIES
+
+    plan = lambda name: QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan("ngram_perplexity").count("Generate explode") == 1  # the tested turns
+    assert "ArrowEvalPython" not in plan("completion_scores")
