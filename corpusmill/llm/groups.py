@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.session import cut_lineage
+from corpusmill.session import cut_lineage, shuffles_released
 
 
 def runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
@@ -58,4 +58,5 @@ def _stars(edges: DataFrame) -> bool:
     """Does each larger end have one link, and is it no smaller end?"""
     end = lambda c, low, high: F.struct(F.col(c).alias("node"), F.lit(low).alias("low"), F.lit(high).alias("high"))
     ends = edges.select(F.explode(F.array(end("a", 1, 0), end("b", 0, 1))).alias("e")).groupBy("e.node").agg(F.max("e.low").alias("low"), F.sum("e.high").alias("high"))
-    return ends.filter("high > 1 OR (high = 1 AND low = 1)").isEmpty()
+    with shuffles_released(edges.sparkSession):
+        return ends.filter("high > 1 OR (high = 1 AND low = 1)").isEmpty()

@@ -130,3 +130,20 @@ def test_scattered_groups_need_more_than_their_hubs(spark, monkeypatch):
     expect = brute.near(rows, percent=80)
     assert 3 < len({c for _, _, c in expect}) < len(rows)
     assert ordered(tuple(r)[:4] for r in near_duplicates(df, percent=80).collect()) == ordered((d, n, c, d == c) for d, n, c in expect)
+
+
+def test_rounds_of_components_leave_no_shuffle_files(spark):
+    import time
+    from pathlib import Path
+
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {p.name for folder in manager.localDirsString() for p in Path(folder).rglob("shuffle_*.data")}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = files(), spark.conf.get(key)
+    made = components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"))
+    waited = time.time() + 15
+    while (left := files() - before) and time.time() < waited:  # they are deleted in the background
+        time.sleep(0.2)
+    assert not left
+    assert spark.conf.get(key) == setting
+    assert {tuple(r) for r in made.collect()} == {(i, 0) for i in range(1, 41)}
