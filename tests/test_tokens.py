@@ -212,3 +212,53 @@ def test_a_batch_is_encoded_a_few_words_at_a_time(monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 64 << 20  # 5.2 million tokens; at once they took several times as much
+
+
+def test_words_are_encoded_side_by_side(monkeypatch):
+    import pyarrow as pa
+
+    from corpusmill.operators import bpe as module
+
+    monkeypatch.setattr(module, "LONG_WORD", 12)
+    draw = random.Random(15)
+    for _ in range(60):
+        tokens, symbols, merges = [module.END_OF_TEXT, *(f"{b:02X}" for b in range(256))], ["61", "62", "C3", "A9"], []
+        for _ in range(draw.randrange(12)):
+            left, right = draw.choice(symbols), draw.choice(symbols)
+            merges.append((left, right, 1))
+            if left + right not in tokens:
+                tokens.append(left + right)
+                symbols.append(left + right)
+        made, rank = module.Bpe(merges, tokens), {}
+        for i, (left, right, _) in enumerate(merges):
+            rank.setdefault((left, right), i)
+        words = ["".join(draw.choices("abé", k=draw.choice([0, 1, 2, 5, 12, 13, 30]))) for _ in range(40)]
+        want = [[tokens.index(s) for s in module.merge_symbols([f"{b:02X}" for b in w.encode()], rank)] if w else [] for w in words]
+        monkeypatch.setattr(module, "BYTES_AT_ONCE", draw.choice([1, 20, 1 << 18]))
+        flat, sizes = module.distinct_encoder(made)(pa.array(words))
+        ends = sizes.cumsum().tolist()
+        assert [flat[b - n : b].tolist() for b, n in zip(ends, sizes.tolist())] == want
+    with pytest.raises(KeyError):
+        module.distinct_encoder(module.Bpe([("61", "62", 1)], tokens[:257]))(pa.array(["ab"]))
+
+
+def test_pairs_of_words_are_counted_by_batch(monkeypatch):
+    import pyarrow as pa
+
+    from corpusmill.operators import pair_index as module
+
+    draw = random.Random(16)
+    words = [["".join(draw.choices(["61", "62", "6162"], k=1)) for _ in range(draw.randrange(1, 9))] for _ in range(50)]
+    times = [draw.randrange(1, 1 << 55) for _ in words]  # more than a float holds
+    want = Counter()
+    for word, n in zip(words, times):
+        for pair in zip(word, word[1:]):
+            want[pair] += n
+    rows = pa.RecordBatch.from_arrays([pa.array(["<" + "><".join(w) + ">" for w in words]), pa.array(times)], ["symbols", "cnt"])
+    for size in (1, 60, 1 << 21):
+        monkeypatch.setattr(module, "BYTES_AT_ONCE", size)
+        got = Counter()
+        for batch in module._pair_counts([rows, rows.slice(0, 0)]):
+            for row in batch.to_pylist():
+                got[row["left"], row["right"]] += row["cnt"]
+        assert got == want
