@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.session import cut_lineage, shuffles_released
+from corpusmill.session import cut_lineage
 
 
 def runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
@@ -36,27 +36,28 @@ def runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` for ``edges(a, b)`` with a < b: the smallest node that links lead to, for all nodes but it.
 
-    Large and small stars in turn: each round points the larger neighbours of a node, then its smaller ones, at the
-    smallest. Minima are aggregated before they are joined back, so a node with very many links is no single task's
-    work. Each round is checkpointed; about the logarithm of the longest chain of them is needed. Links that are stars
-    around their smallest nodes already are the result.
+    While larger ends have several smaller ones, small and large stars in turn: the smaller neighbours of a node are
+    pointed at the least of them, then each larger end at the least neighbour of its smaller one. Once all have one, links
+    are trees, whose nodes are pointed at the parents of their parents. Minima are aggregated before they are joined back,
+    so a node with very many links is no single task's work. Each round is checkpointed; about the logarithm of the
+    longest chain of them is needed. ``edges`` are read twice: pass written ones.
     """
-    edges = cut_lineage(edges.select("a", "b").distinct())
-    while not _stars(edges):
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
-        large = both.join(least, "a").filter("b > a").select(F.col("least").alias("a"), "b")
-        down = large.filter("a < b").distinct()
-        least = down.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("least"))
-        small = down.join(least, F.col("b") == F.col("node")).select("a", "b", "least")
-        turned = small.select(F.explode(F.array(F.struct(F.col("least").alias("a"), F.col("b").alias("b")), F.struct(F.col("least").alias("a"), F.col("a").alias("b")))).alias("e"))
-        edges = cut_lineage(turned.select("e.*").filter("a < b").distinct())
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
-
-
-def _stars(edges: DataFrame) -> bool:
-    """Does each larger end have one link, and is it no smaller end?"""
-    end = lambda c, low, high: F.struct(F.col(c).alias("node"), F.lit(low).alias("low"), F.lit(high).alias("high"))
-    ends = edges.select(F.explode(F.array(end("a", 1, 0), end("b", 0, 1))).alias("e")).groupBy("e.node").agg(F.max("e.low").alias("low"), F.sum("e.high").alias("high"))
-    with shuffles_released(edges.sparkSession):
-        return ends.filter("high > 1 OR (high = 1 AND low = 1)").isEmpty()
+    up = _least(edges)
+    while not up.filter("most > a").isEmpty():
+        several = up.filter("most > a").select("b", F.col("a").alias("least"))
+        rest = edges.join(several, "b").filter("a > least").select(F.col("least").alias("a"), F.col("a").alias("b"))
+        small = cut_lineage(up.select("a", "b").union(rest.distinct()))
+        least = small.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("least"))
+        edges = cut_lineage(small.join(least, "a", "left").select(F.coalesce("least", "a").alias("a"), "b").distinct())
+        up = _least(edges)
+    while True:
+        parents = up.select(F.col("b").alias("a"), F.col("a").alias("parent"))
+        up = up.join(parents, "a", "left").select(F.coalesce("parent", "a").alias("a"), "b", F.col("parent").isNotNull().alias("moved"))
+        up = cut_lineage(up)
+        if up.filter("moved").isEmpty():
+            return up.select(F.col("b").alias("node"), F.col("a").alias("component"))
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    """Of each larger end the smallest and the largest of its smaller ones."""
+    return cut_lineage(edges.groupBy("b").agg(F.min("a").alias("a"), F.max("a").alias("most")))

@@ -76,19 +76,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataF
     top = F.min(F.struct("doc_id", "text_key")).alias("top")
     classes = same.agg(top, F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     classes = cut_lineage(classes.select("h1", "h2", "top", "n_shingles", "signature", F.monotonically_increasing_id().alias("node")))
-    parts = components(_links(texts, classes, percent, words))
-    parts = parts.union(parts.select("component", "component").distinct())
-    tops = parts.join(classes.select("node", "top"), "node").groupBy("component").agg(F.min("top").alias("least"))
-    named = classes.select("h1", "h2", "node", "top").join(parts.join(tops, "component"), "node", "left")
-    named = named.select("h1", "h2", F.coalesce("least", "top").alias("least"))
+    labelled = classes.select("h1", "h2", "top", F.col("node").alias("part"))
+    for wider in _parts(texts, classes, percent, words):
+        labelled = _relabelled(labelled, wider)
+    least = labelled.groupBy("part").agg(F.min("top").alias("least"))
+    named = labelled.join(least, "part").select("h1", "h2", "least")
     out = sets.join(named, ["h1", "h2"], "left").withColumn("component_id", F.coalesce("least.doc_id", "doc_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
     first = F.when(F.col("least").isNull(), True).otherwise(F.struct("doc_id", "text_key").eqNullSafe(F.col("least")))
     return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "text_key", first.alias("first"))
 
 
-def _links(texts: DataFrame, classes: DataFrame, percent: int, words: int) -> DataFrame:
-    """``a, b``: enough confirmed links between nodes to connect all that links connect.
+def _parts(texts: DataFrame, classes: DataFrame, percent: int, words: int) -> list[DataFrame]:
+    """Tables ``node, component`` that connect, one after the other, all that links connect: nodes to parts, and parts to wider ones.
 
     Nodes that share a key are first compared with one of them, so that a group of copies is connected by as many
     comparisons as it has members; again with other ones, while many nodes are apart and a quarter of those compared
@@ -99,64 +99,57 @@ def _links(texts: DataFrame, classes: DataFrame, percent: int, words: int) -> Da
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
     members = cut_lineage(keys.join(shared, "key"))
     wanted = classes.join(members.select("node").distinct(), "node").select("node", "top.*")
-    bodies = texts.join(wanted, ["doc_id", "text_key"]).dropDuplicates(["node"]).select("node", "text")
+    # by the columns of the join as well, so that texts are not shuffled again
+    bodies = texts.join(wanted, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key", "node"]).select("node", "text")
     bodies = cut_lineage(bodies.mapInArrow(_valued(words), "node long, shingles binary"))
-    parts = None
+    members = members.withColumn("part", F.col("node"))
+    parts: list[DataFrame] = []
     for turn in range(STARS):
-        spokes = cut_lineage(_nearest(_measured(_spokes(_labelled(members, parts), turn), nodes, percent), ["b"]))
+        spokes = cut_lineage(_nearest(_measured(_spokes(members, turn), nodes, percent)))
         compared = spokes.count()
-        if compared < (1 if parts is None else BLOCK):
+        if compared < (BLOCK if parts else 1):
             break
         found = cut_lineage(_confirmed(spokes, bodies, percent))
-        parts = components(_union([*_known(parts), found]))
+        parts.append(components(found))
+        members = cut_lineage(_relabelled(members, parts[-1]))
         if found.count() < compared / 4:
             break
-    return _union([*_known(parts), _apart(_labelled(members, parts), nodes, bodies, percent)])
+    return [*parts, components(cut_lineage(_apart(members, nodes, bodies, percent)))]
 
 
-def _known(parts: DataFrame | None) -> list[DataFrame]:
-    """What is connected so far, as links."""
-    return [] if parts is None else [parts.select(F.col("component").alias("a"), F.col("node").alias("b"))]
-
-
-def _union(links: list[DataFrame]) -> DataFrame:
-    out = links[0]
-    for more in links[1:]:
-        out = out.union(more)
-    return out
-
-
-def _labelled(rows: DataFrame, parts: DataFrame | None, node: str = "node", out: str = "part") -> DataFrame:
-    """``rows`` with the part that ``node`` is connected to so far, itself if to none."""
-    if parts is None:
-        return rows.withColumn(out, F.col(node))
-    named = parts.select(F.col("node").alias(node), F.col("component").alias("_part"))
-    return rows.join(named, node, "left").withColumn(out, F.coalesce("_part", node)).drop("_part")
+def _relabelled(rows: DataFrame, wider: DataFrame) -> DataFrame:
+    """``rows`` with ``part`` as the one that it is connected to by ``wider``, itself if to none."""
+    named = wider.select(F.col("node").alias("part"), F.col("component").alias("_wider"))
+    return rows.join(named, "part", "left").withColumn("part", F.coalesce("_wider", "part")).drop("_wider")
 
 
 def _spokes(members: DataFrame, turn: int) -> DataFrame:
-    """``a, b, part``: for each key whose nodes are apart, one of them with all others of other parts."""
-    hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "part")).alias("hub")
+    """``a, own, b, part``: for each key whose nodes are apart, one of them with all others of other parts, and the parts of both.
+
+    That is the smallest in the first turn, so that links are trees already, and another one in each later turn.
+    """
+    draw = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
+    hub = F.min(F.struct(draw.alias("draw"), "node", "part")).alias("hub")
     hubs = members.groupBy("key").agg(hub, F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").drop("low", "high")
     pairs = members.join(hubs, "key").filter(F.col("part") != F.col("hub.part"))
-    return pairs.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), "part").distinct()
+    return pairs.select(F.col("hub.node").alias("a"), F.col("hub.part").alias("own"), F.col("node").alias("b"), "part").distinct()
 
 
 def _measured(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs within the distance, with it."""
     for side in ("a", "b"):
         pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("signature").alias(f"signature_{side}")), side)
-    return pairs.mapInArrow(_distances(percent), "a long, b long, part long, distance int")
+    return pairs.mapInArrow(_distances(percent), "a long, own long, b long, part long, distance int")
 
 
-def _nearest(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Of the pairs that agree in ``by`` the nearest."""
-    near = F.min(F.struct("distance", *(c for c in ("a", "b", "part") if c not in by))).alias("near")
-    return pairs.groupBy(*by).agg(near).select(*by, "near.*").select("a", "b", "part", "distance")
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """Of the pairs of a ``b`` the nearest."""
+    near = F.min(F.struct("distance", "a", "own", "part")).alias("near")
+    return pairs.groupBy("b").agg(near).select("near.a", "near.own", "b", "near.part", "near.distance")
 
 
 def _apart(members: DataFrame, nodes: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: links between different parts, out of all pairs that share a key and are within the distance.
+    """``a, b``: linked parts, out of all pairs of nodes of different ones that share a key and are within the distance.
 
     The nodes of a key outside its largest part visit all of it, block by block. A cell holds a block of each; the sets
     of those that have a partner in it follow them there, and of its links enough come out to connect what they connect.
@@ -166,10 +159,12 @@ def _apart(members: DataFrame, nodes: DataFrame, bodies: DataFrame, percent: int
     keys = keys.filter("n > most.n").select("key", F.col("most.part").alias("major"), F.ceil(F.col("n") / BLOCK).cast("int").alias("homes"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("tours"))
     rows = members.join(keys, "key").withColumn("minor", F.col("part") != F.col("major"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    stay = rows.select("key", "place", "node", "part", "minor", F.lit(False).alias("visits"), F.explode(upto("tours")).alias("tour"), F.pmod(F.xxhash64("node"), "homes").cast("int").alias("home"))
-    visit = rows.filter("minor").select("key", "place", "node", "part", "minor", F.lit(True).alias("visits"), F.pmod(F.xxhash64("node", F.lit(1)), "tours").cast("int").alias("tour"), F.explode(upto("homes")).alias("home"))
-    both = stay.union(visit.select(*stay.columns)).withColumn("cell", F.xxhash64("key", "tour", "home"))
-    cells = both.select("cell", "place", "node", "part", "minor", "visits").join(nodes, "node")
+    at = lambda visits, tour, home: F.struct(F.lit(visits).alias("visits"), tour.alias("tour"), home.alias("home"))
+    own_home, own_tour = F.pmod(F.xxhash64("node"), "homes").cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), "tours").cast("int")
+    stays = F.transform(upto("tours"), lambda tour: at(False, tour, own_home))
+    visits = F.transform(upto("homes"), lambda home: at(True, own_tour, home))
+    both = rows.withColumn("at", F.explode(F.when(F.col("minor"), F.concat(stays, visits)).otherwise(stays))).select("key", "place", "node", "part", "minor", "at.*")
+    cells = both.withColumn("cell", F.xxhash64("key", "tour", "home")).select("cell", "place", "node", "part", "minor", "visits").join(nodes, "node")
     schema = "cell long, place int, node long, part long, minor boolean, visits boolean, n_shingles long, signature binary"
     near = _by_cell(cells).mapInArrow(_near(percent), schema)
     return _by_cell(near.join(bodies, "node")).mapInArrow(_joined(percent), "a long, b long")
@@ -180,16 +175,17 @@ def _by_cell(rows: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: the pairs that are links by their whole sets; of the pairs of ``a`` with a ``part``, up to the first.
+    """``a, b``: the parts of the pairs that are links by their whole sets; of the pairs of ``a`` with a ``part``, up to the first.
 
     The partners of ``a`` come by as a stream, nearest first; many of them are dealt out in blocks.
     """
-    blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = pairs.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b"), "blocks").cast("int"))
-    heads = dealt.select("a", "block", F.col("a").alias("node"), F.lit(-1).cast("long").alias("part"), F.lit(-1).alias("distance")).distinct()
+    blocks = pairs.groupBy("a", "own").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = pairs.join(blocks.drop("own"), "a").withColumn("block", F.pmod(F.xxhash64("b"), "blocks").cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    heads = blocks.select("a", each.alias("block"), F.col("a").alias("node"), F.col("own").alias("part"), F.lit(-1).alias("distance"))
     rows = heads.union(dealt.select("a", "block", F.col("b").alias("node"), "part", "distance")).join(bodies, "node")
     dealt = rows.repartition("a", "block").sortWithinPartitions("a", "block", "distance", "node")
-    return dealt.select("a", "block", "node", "part", "distance", "shingles").mapInArrow(_linked(percent), "a long, b long")
+    return dealt.select("a", "block", "part", "distance", "shingles").mapInArrow(_linked(percent), "a long, b long")
 
 
 def shingles(batch: pa.RecordBatch | pa.Table, words: int) -> Iterator[np.ndarray]:
@@ -257,7 +253,7 @@ def _distances(percent: int):
             size, other = (np.asarray(batch.column(c)) for c in ("n_a", "n_b"))
             distance = (_matrix(batch.column("signature_a")) != _matrix(batch.column("signature_b"))).sum(axis=1).astype(np.int32)
             ok = pa.array((distance <= errors) & (np.minimum(size, other) * 100 >= percent * np.maximum(size, other)))
-            found = batch.select(["a", "b", "part"]).add_column(3, "distance", pa.array(distance))
+            found = batch.select(["a", "own", "b", "part"]).add_column(4, "distance", pa.array(distance))
             yield found.filter(ok)
 
     return measure
@@ -302,14 +298,14 @@ def _near(percent: int):
 
 
 def _joined(percent: int):
-    """Links of a cell: pairs are taken nearest first and skipped once links connect their parts."""
+    """Linked parts of a cell: pairs of nodes are taken nearest first and skipped once links connect their parts."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, "cell"):
             found = list(_met(table, percent))
             if not found:
                 continue
-            node, part = (np.asarray(table.column(c)).tolist() for c in ("node", "part"))
+            part = np.asarray(table.column("part")).tolist()
             sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
             parent = {p: p for p in part}
 
@@ -328,7 +324,7 @@ def _joined(percent: int):
                     common = _common(sets[i], sets[j])
                     if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
                         parent[a] = b
-                        links.append((min(node[i], node[j]), max(node[i], node[j])))
+                        links.append((min(part[i], part[j]), max(part[i], part[j])))
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
@@ -350,20 +346,20 @@ def _linked(percent: int):
     """Rows of one ``a`` and block: its own set first, then its partners."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own, done = None, None, set()
+        at, home, own, done = None, None, None, set()
         for batch in batches:
             left, right = [], []
-            heads, blocks, nodes, parts, distances = (batch.column(c).to_pylist() for c in ("a", "block", "node", "part", "distance"))
+            heads, blocks, parts, distances = (batch.column(c).to_pylist() for c in ("a", "block", "part", "distance"))
             for i, values in enumerate(batch.column("shingles")):
                 if distances[i] < 0:
-                    at, own, done = (heads[i], blocks[i]), np.frombuffer(values.as_buffer(), np.uint64).copy(), set()
+                    at, home, own, done = (heads[i], blocks[i]), parts[i], np.frombuffer(values.as_buffer(), np.uint64).copy(), set()
                 elif (heads[i], blocks[i]) == at and parts[i] not in done:
                     values = np.frombuffer(values.as_buffer(), np.uint64)
                     common = _common(own, values)
                     if 100 * common >= percent * (len(own) + len(values) - common):
                         done.add(parts[i])
-                        left.append(min(heads[i], nodes[i]))
-                        right.append(max(heads[i], nodes[i]))
+                        left.append(min(home, parts[i]))
+                        right.append(max(home, parts[i]))
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 

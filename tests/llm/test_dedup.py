@@ -100,6 +100,33 @@ def test_components_of_a_path_a_star_and_a_ring(spark):
     assert found == {**{i: 0 for i in range(1, 41)}, **{101 + i: 100 for i in range(30)}, 201: 200, 202: 200}
 
 
+def test_components_of_random_links(spark):
+    import random
+
+    draw = random.Random(7)
+    edges = [tuple(sorted(draw.sample(range(400), 2))) for _ in range(330)]
+    root = {n: n for e in edges for n in e}
+    for _ in range(400):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    found = [tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()]
+    assert ordered(found) == ordered((n, c) for n, c in root.items() if n != c)
+
+
+def test_components_of_trees_take_two_shuffles_a_round(spark):
+    """A round over links that are trees already is one join of them with themselves, whose stages 211 partitions make dear."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    spark.sparkContext.setJobGroup("trees", "components of a path")
+    try:
+        made = components(edges)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("trees") for s in tracker.getJobInfo(j).stageIds}
+    assert {tuple(r) for r in made.collect()} == {(i, 0) for i in range(1, 41)}
+    assert len(stages) <= 60
+
+
 def test_rows_that_share_an_id(spark):
     """Texts of one id are compared like any others, and one row of each group stays."""
     base = [f"t{i}" for i in range(60)]
