@@ -25,7 +25,7 @@ from corpusmill.registry.base import (
     table,
 )
 from corpusmill.session import scratch_path
-from corpusmill.sources.corpus import read_corpus, read_json_corpus, read_raw_corpus, write_corpus
+from corpusmill.sources.corpus import read_corpus, read_json_corpus, read_raw_corpus, read_shards, write_corpus
 
 HASH = r"md5(regexp_replace(source_code, '\s+', '', 'g'))"
 # splitlines: a final line break opens no line
@@ -90,7 +90,7 @@ def _(spark, folder):
     # lengths differ by orders of magnitude; the folders of the shards are read back
     path = scratch_path(spark, "shards")
     write_corpus(documents(spark, folder), path, max_bytes=MAX_BYTES)
-    sizes = spark.read.parquet(path).groupBy(F.col("shard").cast("long").alias("shard")).agg(
+    sizes = read_shards(spark, path, "row_id long, source_code string").groupBy("shard").agg(
         F.count("*").alias("n_rows"), F.sum(F.coalesce(F.octet_length("source_code"), F.lit(0))).cast("long").alias("n_bytes"), F.min("row_id").alias("first_id")
     )
     return sizes.withColumn("fits", (F.col("n_rows") == 1) | (F.col("n_bytes") <= MAX_BYTES))

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from corpusmill.operators.position import BITS, Order, by_id, running_sum
+from corpusmill.operators.position import Order, by_id, running_sum
 from corpusmill.session import cut_lineage
+from corpusmill.sources.shards import read_folders, write_folders, writes_folders
 
 
 def read_json_corpus(spark: SparkSession, folder: str, schema: StructType | str, mode: str = "FAILFAST") -> DataFrame:
@@ -76,13 +77,28 @@ def write_corpus(
     """
     folders = list(partition_by or [])
     if max_bytes is not None:
-        df = with_shards(df, max_bytes, text, id_col, folders).repartition(*folders, SHARD)
+        df = with_shards(df, max_bytes, text, id_col, folders)
         folders.append(SHARD)
-    writer = df.write.mode("overwrite").option("maxRecordsPerFile", max_records)
-    if folders:
-        # there may be very many: the tasks move theirs into place, the driver does not move all one by one
-        writer = writer.partitionBy(*folders).option("mapreduce.fileoutputcommitter.algorithm.version", "2")
-    writer.parquet(path)
+
+    def to_folders(rows: DataFrame) -> None:
+        writer = rows.write.mode("overwrite").option("maxRecordsPerFile", max_records)
+        if folders:
+            # there may be very many: the tasks move theirs into place, the driver does not move all one by one
+            writer = writer.partitionBy(*folders).option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+        writer.parquet(path)
+
+    if max_bytes is None:
+        to_folders(df)
+    elif writes_folders(df, folders, path):
+        to_folders(df.limit(0))
+        write_folders(df, folders, path, max_records)
+    else:
+        to_folders(df.repartition(*folders))
+
+
+def read_shards(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The columns of ``schema`` and ``shard`` of a corpus written with ``max_bytes`` and without ``partition_by``."""
+    return read_folders(spark, path, SHARD, schema)
 
 
 SHARD = "shard"
@@ -94,24 +110,36 @@ def with_shards(df: DataFrame, max_bytes: int, text: str = "source_code", id_col
     The bytes before a row are a prefix sum: inside buckets of neighbouring ids, shifted by the sums of the buckets
     before. A shard begins where that sum passes a multiple of a step, which is ``max_bytes`` less what the last row may
     reach beyond. Rows of more than half a shard would make the step small; each is a shard of its own, numbered
-    ``-1 - id``. Only ids and sizes are sorted; the rows look up the few shards that begin in their bucket. A null text
-    has no bytes.
+    ``-1 - id``. Ids and sizes are read once and only they are sorted; the rows look up the few shards that begin in
+    their bucket, and are not moved for it unless there are more shards than fit a broadcast. A null text has no bytes.
     """
     groups = list(groups or [])
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
     sizes = df.select(*(F.struct(g).alias(g) for g in groups), F.col(id_col).alias("_id"), size.alias("_size")).filter(F.col("_size") * 2 <= max_bytes)
+    sizes = cut_lineage(sizes)
     most = sizes.agg(F.max("_size")).first()[0] or 0
-    starts = bucket_starts(sizes, by_id("_id"), groups, "_size", max_bytes - most + 1)
-    bucket = F.shiftright(F.col(id_col).cast("long"), BITS).alias("_bucket")
+    starts = cut_lineage(bucket_starts(sizes, by_id("_id"), groups, "_size", max_bytes - most + 1))
+    if (starts.agg(F.sum(F.size("_starts") + 8)).first()[0] or 0) <= BROADCAST_STARTS:
+        starts = F.broadcast(starts)
+    bucket = F.shiftright(F.col(id_col).cast("long"), NEAR_BITS).alias("_bucket")
     keyed = df.select("*", *(F.struct(g).alias(f"_in_{g}") for g in groups), bucket)
     found = keyed.join(starts.withColumnsRenamed({g: f"_in_{g}" for g in groups}), [*(f"_in_{g}" for g in groups), "_bucket"], "left")
-    mine = F.array_max(F.filter("_starts", lambda s: s["id"] <= F.col(id_col)))["shard"]
+    mine = F.col("_first") + F.size(F.filter("_starts", lambda s: s <= F.col(id_col))) - 1
     return found.select(*df.columns, F.when(size * 2 > max_bytes, -1 - F.col(id_col)).otherwise(mine).alias(SHARD))
 
 
+NEAR_BITS = 6
+"""A row is compared with the shards that begin among so few neighbours, ``2**6``."""
+BROADCAST_STARTS = 1 << 22
+"""Up to so many numbers, the ids at which shards begin are sent to all tasks: some 50 MB."""
+
+
 def bucket_starts(sizes: DataFrame, order: Order, groups: list[str], size: str, step: int) -> DataFrame:
-    """``_bucket, _starts`` by group: in each finest bucket of ids the first id of each shard, as ``id, shard``."""
+    """``_bucket, _first, _starts`` by group: of each bucket of near ids the first shard, and the ids at which its shards begin.
+
+    No row is as large as a step, so the shards of a bucket follow one another without a gap.
+    """
     summed = running_sum(sizes, order, size, groups, "_before")
     shard = F.floor(F.col("_before") / step).cast("long")
-    firsts = summed.groupBy(*groups, F.shiftright("_id", BITS).alias("_bucket"), shard.alias("shard")).agg(F.min("_id").alias("id"))
-    return firsts.groupBy(*groups, "_bucket").agg(F.collect_list(F.struct("id", "shard")).alias("_starts"))
+    firsts = summed.groupBy(*groups, F.shiftright(F.col("_id").cast("long"), NEAR_BITS).alias("_bucket"), shard.alias("shard")).agg(F.min("_id").alias("id"))
+    return firsts.groupBy(*groups, "_bucket").agg(F.min("shard").alias("_first"), F.collect_list("id").alias("_starts"))
