@@ -73,7 +73,7 @@ def write_corpus(
     """Write Parquet shards of at most ``max_records`` rows.
 
     With ``max_bytes`` no shard holds more bytes of ``text``, unless it is a single row: see ``with_shards``. Each shard
-    is a folder then, below those of ``partition_by``.
+    is a folder then, below those of ``partition_by``; tasks write them without Spark's writer where they can.
     """
     folders = list(partition_by or [])
     if max_bytes is not None:
